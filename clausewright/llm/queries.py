@@ -13,6 +13,7 @@ from clausewright.llm.mixing import MIX_SQL, mix_digest
 from clausewright.llm.neighbours import classify_quality
 from clausewright.llm.rules import quality_rules
 from clausewright.llm.secrets import secret_digest
+from clausewright.llm.simhash import near_duplicates
 from clausewright.llm.tokens import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +29,7 @@ QUERIES: dict[str, Query] = {
     "op4_quality_classifier": on_documents(classify_quality, "labels"),
     "op5_token_counts": on_documents(count_tokens),
     "op6_quality_rules": on_documents(quality_rules, "labels"),
+    "op8_simhash_near_dedup": on_documents(near_duplicates),
     "op9_benchmark_decontamination": on_documents(contamination_digest, "benchmark"),
     "op10_source_mixing": on_documents(mix_digest),
 }
