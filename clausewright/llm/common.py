@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,3 +101,24 @@ def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
         if size <= 8_000_000:
             _CACHE[base] = kept
     return kept[0][:n], kept[1][:n]
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, for results that are large and read more than once."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="clausewright-")
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """(doc_id, doc, text): doc orders the documents and tells them apart. It is doc_id itself unless that is null or
+    repeated somewhere; then it is the rank among the distinct (doc_id, text), nulls first, found by a distributed sort.
+    Rows that repeat both are one document."""
+    own = texts(docs)
+    if not own.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").limit(1).count():
+        return own.select("doc_id", F.col("doc_id").alias("doc"), "text")
+    keyed = own.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_digest"), F.coalesce("text", F.lit("")).alias("text"))
+    ranks = keyed.select("doc_id", "_digest").distinct().orderBy(F.col("doc_id").asc_nulls_first(), "_digest").rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF("_id long, _of string, doc long")
+    return keyed.join(ranks, keyed["doc_id"].eqNullSafe(ranks["_id"]) & (keyed["_digest"] == ranks["_of"])).select("doc_id", "doc", "text")

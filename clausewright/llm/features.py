@@ -33,6 +33,15 @@ class Features:
         same = self.word_doc[:-1] == doc
         return self._number(pair[same]), doc[same]
 
+    def returns(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each word that its document had before: how far back, as a power of two (under 64)."""
+        order = np.lexsort((np.arange(len(self.word)), self.word, self.word_doc))
+        same = (self.word[order][1:] == self.word[order][:-1]) & (self.word_doc[order][1:] == self.word_doc[order][:-1])
+        later = order[1:][same]
+        distance = later - order[:-1][same]
+        at = np.argsort(later, kind="stable")
+        return np.log2(distance[at]).astype(np.int64), self.word_doc[later[at]]
+
     def chars(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Windows of k <= 4 bytes within one document, digits alike."""
         data = np.where((self.data >= 48) & (self.data <= 57), 48, self.data).astype(np.uint32)

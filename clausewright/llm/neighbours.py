@@ -17,6 +17,7 @@ from clausewright.llm.labelled import labelled_sample
 #: Bounds of the fit: labelled rows broadcast, bits of a hashed term in each of the two families, latent dimensions.
 SAMPLE_ROWS, BITS, DIMENSIONS = 2500, 11, 48
 NEIGHBOURS = 15
+RETURN_WEIGHT = 1.0
 #: Rows of one block of products.
 BLOCK = 256
 HELD_OUT = 1
@@ -27,14 +28,22 @@ def fold(doc_id: F.Column) -> F.Column:
 
 
 def term_counts(column: pa.Array) -> np.ndarray:
-    """Counts of hashed character trigrams and word pairs, one dense row per text."""
+    """Counts of hashed character trigrams, of word pairs, and of returning words by distance; a dense row per text."""
     f = Features(column, BITS)
     out = []
-    for numbers, doc in (f.chars(3), f.word_pairs()):
-        out.append(np.bincount((doc << BITS) + numbers, minlength=f.n << BITS).reshape(f.n, 1 << BITS))
+    for (numbers, doc), bits in ((f.chars(3), BITS), (f.word_pairs(), BITS), (f.returns(), 6)):
+        out.append(np.bincount((doc << bits) + numbers, minlength=f.n << bits).reshape(f.n, 1 << bits))
     return np.hstack(out).astype(np.float32)
 
 
+def damped(counts: np.ndarray) -> np.ndarray:
+    """Logarithms of terms. Words that return are weighed against all words, as two texts that repeat themselves need
+    not share a trigram: RETURN_WEIGHT times the root of their share, near ones more than far ones."""
+    terms, back = counts[:, :-64], counts[:, -64:]
+    share = back / np.maximum(terms[:, 1 << BITS :].sum(axis=1, keepdims=True) + 1, 1)
+    return np.hstack([unit(np.log1p(terms)), RETURN_WEIGHT * np.sqrt(share)])
+
+
 def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
@@ -50,7 +59,7 @@ class Space:
     prior: float
 
     def project(self, counts: np.ndarray) -> np.ndarray:
-        return unit(unit(np.log1p(counts) * self.idf) @ self.directions)
+        return unit(unit(damped(counts) * self.idf) @ self.directions)
 
     def vote(self, vectors: np.ndarray) -> np.ndarray:
         """Similarity-weighted share of label 1 among the nearest; the prior where nothing is similar."""
@@ -81,7 +90,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Space |
     counts = np.array([np.frombuffer(r["counts"], dtype=np.uint16) for r in found], dtype=np.float32)
     y = np.array([r["label"] > 0 for r in found], dtype=np.float64)
     idf = np.log((1 + len(y)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
-    weighted = unit(np.log1p(counts) * idf)
+    idf[-64:] = 1
+    weighted = unit(damped(counts) * idf)
     directions = leading(weighted, min(DIMENSIONS, *weighted.shape))
     return Space(idf, directions, unit(weighted @ directions), y, float(y.mean()))
 

@@ -11,6 +11,8 @@ from clausewright.llm.decontaminate import contamination_digest
 from clausewright.llm.licenses import license_digest
 from clausewright.llm.mixing import MIX_SQL, mix_digest
 from clausewright.llm.neighbours import classify_quality
+from clausewright.llm.passages import passages_digest
+from clausewright.llm.repeats import repeats_digest
 from clausewright.llm.rules import quality_rules
 from clausewright.llm.secrets import secret_digest
 from clausewright.llm.simhash import near_duplicates
@@ -25,10 +27,12 @@ def on_documents(operator: Callable[..., DataFrame], *others: str) -> Query:
 
 QUERIES: dict[str, Query] = {
     "op1_secret_scans": on_documents(secret_digest),
+    "op2_suffix_array_dedup": on_documents(repeats_digest),
     "op3_license_scans": on_documents(license_digest),
     "op4_quality_classifier": on_documents(classify_quality, "labels"),
     "op5_token_counts": on_documents(count_tokens),
     "op6_quality_rules": on_documents(quality_rules, "labels"),
+    "op7_substring_dedup": on_documents(passages_digest),
     "op8_simhash_near_dedup": on_documents(near_duplicates),
     "op9_benchmark_decontamination": on_documents(contamination_digest, "benchmark"),
     "op10_source_mixing": on_documents(mix_digest),
