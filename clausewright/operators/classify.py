@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausewright import rules
@@ -28,12 +28,19 @@ def rule_count(text: Column, low: Column, pattern: str) -> Column:
     return F.when(low.contains(literal), count).otherwise(0) if literal else count
 
 
+def computed(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """rows with columns that later filters refer to as they are. They pass through a generator of one row: a plain
+    projection would be copied, with all its rules, into every filter on a label, and planning would take minutes."""
+    made = F.explode(F.array(F.struct(*(c.alias(name) for name, c in columns.items()))))
+    return rows.select("*", made.alias("_made")).select(*rows.columns, "_made.*")
+
+
 def clause_scores(paragraphs: DataFrame, patterns: dict[str, tuple[str, ...]] = rules.CLAUSE_PATTERNS) -> DataFrame:
     """C1's counts: paragraphs with one column score_<class> each. Wide, so that no paragraph is joined to 145 rules.
     A null text scores 0."""
     with_low = paragraphs.withColumn("_low", folded(F.col("text")))
-    scores = {f"score_{c}": F.coalesce(reduce(lambda a, b: a + b, (rule_count(F.col("text"), F.col("_low"), p) for p in ps)), F.lit(0)) for c, ps in patterns.items()}
-    return with_low.withColumns(scores).drop("_low")
+    counts = {f"score_{c}": F.coalesce(reduce(lambda a, b: a + b, (rule_count(F.col("text"), F.col("_low"), p) for p in ps)), F.lit(0)) for c, ps in patterns.items()}
+    return computed(with_low, counts).drop("_low")
 
 
 def decided(scored: DataFrame, classes: tuple[str, ...] = CLASSES) -> DataFrame:
@@ -41,9 +48,9 @@ def decided(scored: DataFrame, classes: tuple[str, ...] = CLASSES) -> DataFrame:
     columns = [F.col(f"score_{c}") for c in classes]
     total, best = reduce(lambda a, b: a + b, columns), F.greatest(*columns)
     label = reduce(lambda rest, c: F.when(F.col(f"score_{c}") == F.col("best_score"), c).otherwise(rest), reversed(classes), F.lit("other"))
-    measured = scored.withColumn("total_score", total).withColumn("best_score", best)
     confidence = F.when(F.col("total_score") > 0, F.round(F.col("best_score") / F.col("total_score"), 4)).otherwise(0.0)
-    return measured.withColumn("label", F.when(F.col("total_score") > 0, label).otherwise("other")).withColumn("confidence", confidence)
+    measured = computed(scored, {"total_score": total, "best_score": best})
+    return computed(measured, {"label": F.when(F.col("total_score") > 0, label).otherwise("other"), "confidence": confidence})
 
 
 def detect_clauses(paragraphs: DataFrame) -> DataFrame:
@@ -125,8 +132,6 @@ def clause_map(docs: DataFrame, most_snippet: int = 200) -> DataFrame:
 def clause_map_summary(mapped: DataFrame) -> DataFrame:
     """Its groups per document: type, display name, count, mean confidence, and rank by count, ties by first chunk (O2)."""
     groups = mapped.groupBy("doc_id", "clause_type", "label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 4).alias("avg_confidence"), F.min("para_idx").alias("first_idx"))
-    from pyspark.sql import Window
-
     return groups.withColumn("position", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "first_idx")))
 
 
