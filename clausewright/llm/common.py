@@ -118,7 +118,8 @@ def numbered(docs: DataFrame) -> DataFrame:
     Rows that repeat both are one document."""
     own = texts(docs)
     if not own.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").limit(1).count():
-        return own.select("doc_id", F.col("doc_id").alias("doc"), "text")
+        # The filter holds for every row; it makes inner and outer joins read one exchange of the texts.
+        return own.select("doc_id", F.col("doc_id").alias("doc"), "text").filter("doc IS NOT NULL")
     keyed = own.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_digest"), F.coalesce("text", F.lit("")).alias("text"))
     ranks = keyed.select("doc_id", "_digest").distinct().orderBy(F.col("doc_id").asc_nulls_first(), "_digest").rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF("_id long, _of string, doc long")
-    return keyed.join(ranks, keyed["doc_id"].eqNullSafe(ranks["_id"]) & (keyed["_digest"] == ranks["_of"])).select("doc_id", "doc", "text")
+    return keyed.join(ranks, keyed["doc_id"].eqNullSafe(ranks["_id"]) & (keyed["_digest"] == ranks["_of"])).select("doc_id", "doc", "text").filter("doc IS NOT NULL")
