@@ -114,7 +114,7 @@ def cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             out = []
-            for doc, data, asked in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist()):
+            for doc, data, asked in zip(batch.column(1).to_pylist(), text_bytes(batch.column(2)), batch.column(3).to_pylist()):
                 for x in asked:
                     low, n = unpack(x["place"])
                     out.append((x["anchor"], doc, low, data[low : low + n - 1 + LENGTH]))
@@ -123,7 +123,8 @@ def cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], ["anchor", "doc", "low", "text"])
 
     asked = wanted.groupBy("doc").agg(F.collect_list(F.struct("anchor", "place")).alias("asked"))  # bounded by the text
-    return docs.select("doc", "text").join(asked, "doc").select("doc", "text", "asked").mapInArrow(run, "anchor long, doc long, low long, text binary")
+    # All columns of docs, so that this exchange of the texts is the one that the result is made from.
+    return docs.join(asked, "doc").select("doc_id", "doc", "text", "asked").mapInArrow(run, "anchor long, doc long, low long, text binary")
 
 
 def repeated_windows(docs: list[int], lows: list[int], parts: list[bytes]) -> list[tuple[int, int, int]]:
@@ -211,8 +212,10 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     """docs (doc, text) to ranges (doc, low, high) of bytes to remove; ranges may overlap."""
     found = segments(docs)
     anchors = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("segment").alias("s0"), F.max("segment").alias("s1")).filter("n > 1")
-    shared = written(found.join(anchors, "anchor").select("anchor", "segment", "doc", "place", "again", (F.col("s0") != F.col("s1")).alias("several")), "shared-segments")
-    firsts = shared.groupBy("anchor", "segment").agg(F.min("doc").alias("doc0"))
+    # Tables of their own, so that joins with hot anchors and classes stand on plain exchanges, which can be split.
+    anchors = written(anchors.select("anchor", (F.col("s0") != F.col("s1")).alias("several")), "shared-anchors")
+    shared = written(found.join(anchors, "anchor").select("anchor", "segment", "doc", "place", "again", "several"), "shared-segments")
+    firsts = written(shared.groupBy("anchor", "segment").agg(F.min("doc").alias("doc0")), "first-segments")
     first = ~F.col("again") & (F.col("doc") == F.col("doc0"))
     judged = written(shared.join(firsts, ["anchor", "segment"]).filter(~first | F.col("several")).select("anchor", "doc", "place", first.alias("first")), "judged-segments")
     copies = judged.filter("NOT first").select("doc", *covered_by(F.col("place")))
@@ -238,7 +241,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in steps(batches):
             sizes, spans, kept = [], [], []
-            for data, ranges in zip(text_bytes(batch.column(1)), batch.column(2).to_pylist()):
+            for data, ranges in zip(text_bytes(batch.column(2)), batch.column(3).to_pylist()):
                 merged: list[list[int]] = []
                 for x in sorted((r["low"], r["high"]) for r in ranges or ()):
                     if merged and x[0] <= merged[-1][1]:
@@ -251,7 +254,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 kept.append(b"".join(data[a:b] for a, b in zip(edges[0::2], edges[1::2])) if merged else data)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, span_type), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
-    joined = own.join(ranges, "doc", "left").select("doc_id", "text", "ranges")
+    joined = own.join(ranges, "doc", "left").select("doc_id", "doc", "text", "ranges")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
