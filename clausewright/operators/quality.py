@@ -17,7 +17,12 @@ def parsed(lines: DataFrame) -> DataFrame:
     real = lines.filter(T.strip(F.coalesce("raw", F.lit(""))) != "")
     value = F.try_parse_json("raw")
     own = real.withColumn("_v", value)
-    text = F.coalesce(F.try_variant_get("_v", "$.completion", "string"), F.lit("null"))
+    raw = F.try_variant_get("_v", "$.completion", "string")
+    # Anything but a string reads as JSON with a space after every comma and colon: its words are counted.
+    tokens = F.regexp_extract_all(raw, F.lit(r'"(?:[^"\\]|\\.)*+"|[^"]'), F.lit(0))
+    spaced = F.array_join(F.transform(tokens, lambda t: F.when(t.isin(",", ":"), F.concat(t, F.lit(" "))).otherwise(t)), "")
+    kind = F.schema_of_variant(F.try_variant_get("_v", "$.completion", "variant"))
+    text = F.coalesce(F.when(kind.rlike("^(OBJECT|ARRAY)"), spaced).otherwise(raw), F.lit("null"))
     return own.select(
         "line_no",
         F.col("_v").isNull().alias("malformed"),

@@ -44,7 +44,7 @@ def summarise(docs: DataFrame, summarise_chunk=lead, second_pass=None, limit: in
     """(doc_id, overall_summary, key_points, obligations, payment_terms, termination, risks). Blank texts give
     no row, as they are an error in a single call. summarise_chunk: column to column; a model is a pandas UDF."""
     real = docs.filter(T.strip(F.coalesce("text", F.lit(""))) != "")
-    chunked = real.select("doc_id", "text", combined(F.transform(overlap_chunks(F.col("text"), limit), summarise_chunk), second_pass).alias("overall_summary"))
+    chunked = real.select("doc_id", "text", combined(F.transform(overlap_chunks(F.col("text"), limit), lambda c: summarise_chunk(c)), second_pass).alias("overall_summary"))
     points = F.slice(F.filter(T.sentences(F.col("overall_summary")), lambda s: T.word_total(s) > 6), 1, KEY_POINTS)
     listed = sections(sentences_of(real)).groupBy("doc_id").pivot("section", list(rules.SECTION_PATTERNS)).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "sentence"))), lambda x: x["sentence"]))
     none = F.array().cast("array<string>")

@@ -25,9 +25,9 @@ def stream_sliding(events: DataFrame, width: str = "2 hours", step: str = "1 hou
     return sliding(events.withWatermark("ts", late), width, step)
 
 
-def stream_rate_decisions(requests: DataFrame, most: int = RATE, seconds: float = RATE_SECONDS) -> DataFrame:
+def stream_rate_decisions(requests: DataFrame, most: int = RATE, seconds: float = RATE_SECONDS, late: str = "10 minutes") -> DataFrame:
     """ST4 on a stream: requests (user_id, event_id, ts) to (user_id, event_id, allowed). Only the open window of a
-    client is kept, and it is dropped when no request has come for a while."""
+    client is kept. Once the watermark has passed its end, any further request opens a new one, so it is dropped."""
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -38,11 +38,11 @@ def stream_rate_decisions(requests: DataFrame, most: int = RATE, seconds: float
         rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
         allowed = [rate.allow(at) for at in rows["at"]]
         state.update((rate.count, rate.start))
-        state.setTimeoutDuration(int(seconds * 1000) * 10)
+        state.setTimeoutTimestamp(max(int((rate.start + seconds) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "allowed": allowed})
 
-    timed = requests.select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
-    return timed.groupBy("user_id").applyInPandasWithState(decide, "user_id long, event_id long, allowed boolean", "count int, start double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = requests.withWatermark("ts", late).select("user_id", "event_id", "ts", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
+    return timed.groupBy("user_id").applyInPandasWithState(decide, "user_id long, event_id long, allowed boolean", "count int, start double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_histories(messages: DataFrame, most: int = HISTORY) -> DataFrame:
