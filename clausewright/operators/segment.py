@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,14 +101,19 @@ def windows(text: Column, most: int = 900) -> Column:
     return F.aggregate(steps, start, step, lambda acc: acc["out"])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: inside a lambda an expression would be computed at every step."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def clause_chunks(text: Column) -> Column:
     """Chunks for the clause map. Blank-line parts if two are long, else lines if two are long, else the one long
     part (or the whole text) in windows. If just one part is long, the short ones are lost, as in the source behaviour."""
-    t = T.strip(text)
-    blank, lines = long_parts(t, r"\n{2,}"), long_parts(t, r"\n+")
-    blob = F.when(F.size(blank) > 0, F.get(blank, F.lit(0))).otherwise(t)
-    last = F.when(F.length(blob) <= 30, F.array().cast("array<string>")).when(F.length(blob) > 900, windows(blob)).otherwise(F.array(blob))
-    return F.coalesce(F.when(F.size(blank) >= 2, blank).when(F.size(lines) >= 2, lines).otherwise(last), F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    in_windows = lambda blob: F.when(F.length(blob) <= 30, none).when(F.length(blob) > 900, windows(blob)).otherwise(F.array(blob))
+    by_lines = lambda t, blank: let(long_parts(t, r"\n+"), lambda lines: F.when(F.size(lines) >= 2, lines).otherwise(let(F.coalesce(F.get(blank, F.lit(0)), t), in_windows)))
+    chosen = let(T.strip(text), lambda t: let(long_parts(t, r"\n{2,}"), lambda blank: F.when(F.size(blank) >= 2, blank).otherwise(by_lines(t, blank))))
+    return F.coalesce(chosen, none)
 
 
 def restructure(paragraphs: DataFrame) -> DataFrame:

@@ -496,7 +496,7 @@ def stratified_split(spark, sf_dir):
 @query()
 def clause_classifier(spark, sf_dir):
     """A classifier trained on the rules' labels of four fifths of the corpus, and its metrics on the rest."""
-    rows = learn.stratified_split(classify.detect_clauses(corpus(spark, sf_dir)).filter("label <> 'other'").withColumn("key", F.concat_ws("-", "doc_id", "para_idx")), "key", "label")
+    rows = learn.stratified_split(classify.detect_clauses(corpus(spark, sf_dir)).filter("label <> 'other'").withColumn("key", F.concat_ws("-", "doc_id", "para_idx")), "key", "label").cache()
     predict = learn.train(rows.filter("split = 'train'").select("text", "label"))
     return learn.metrics(learn.confusion(predict(rows.filter("split = 'test'").select("doc_id", "text", "label")), "label", "ml_label"))
 
