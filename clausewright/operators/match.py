@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from clausewright.functions import text as T
 
@@ -50,9 +51,12 @@ def embed_with(clauses: DataFrame, encode) -> DataFrame:
     return clauses.withColumn("vector", run("clause"))
 
 
-def dot(a: Column, b: Column) -> Column:
-    """Inner product in double, in order of the elements."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+@F.pandas_udf(DoubleType())
+def dot(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Inner products in double, a batch of pairs at a time: higher-order functions take a hundred times as long."""
+    if not len(a):
+        return pd.Series([], dtype="float64")
+    return pd.Series(np.einsum("ij,ij->i", np.vstack(a).astype(np.float64), np.vstack(b).astype(np.float64)))
 
 
 def similarities(a: DataFrame, b: DataFrame) -> DataFrame:
