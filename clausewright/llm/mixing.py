@@ -20,18 +20,31 @@ BUCKET_ROWS = 4096
 SEED = 42
 
 
-def sized(docs: DataFrame, keep_text: bool) -> DataFrame:
-    """docs with _mix_size (words: runs of anything but ASCII white space; null: 0) and _mix_tie (the text's digest).
+#: Columns that mix adds; columns of the documents that are named so give way.
+ADDED = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
+
+
+def own_prefix(names: list[str]) -> str:
+    """A prefix for columns of the operator's own that no name begins with."""
+    prefix = "_mix_"
+    while any(n.lower().startswith(prefix) for n in names):
+        prefix = "_" + prefix
+    return prefix
+
+
+def sized(docs: DataFrame, keep_text: bool, prefix: str) -> DataFrame:
+    """docs with PREFIXsize (words: runs of anything but ASCII white space; null: 0) and PREFIXtie (the text's digest).
     Splitting the bytes in Arrow batches costs a tenth of a regular expression over the characters."""
     kept = [f for f in docs.schema if keep_text or f.name != "text"]
-    schema = T.StructType([*kept, T.StructField("_mix_size", T.LongType()), T.StructField("_mix_tie", T.StringType())])
+    added = [prefix + "size", prefix + "tie"]
+    schema = T.StructType([*kept, T.StructField(added[0], T.LongType()), T.StructField(added[1], T.StringType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = text_bytes(batch.column(batch.schema.get_field_index("text")))
             size = pa.array([len(x.split()) for x in data], pa.int64())
             tie = pa.array([hashlib.md5(x).hexdigest() for x in data], pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), size, tie], [*(f.name for f in kept), "_mix_size", "_mix_tie"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), size, tie], [*(f.name for f in kept), *added])
 
     return docs.mapInArrow(count, schema)
 
@@ -71,13 +84,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
     crosses. Within a bucket that order spreads the copies over all sizes, so the words taken come near the target.
     Buckets are dealt by a digest of doc_id and their number follows the source's rows, so no task gathers a source.
     Null sources are one source, the last; null texts have size 0; a source without words has target 0 and no copies;
-    rows alike in all columns are told apart by nothing, and any of them may get the copy. Reruns agree."""
-    return _deal(sized(docs, keep_text=True), sized(docs.select("source", "text"), keep_text=False), docs.columns, weights, most, seed)
+    rows alike in all columns are told apart by nothing, and any of them may get the copy. Reruns agree. Columns of docs
+    may have any names; those named like an added one give way to it."""
+    kept = [c for c in docs.columns if c.lower() not in ADDED]
+    prefix, rows = own_prefix(kept), docs.select(*kept)
+    return _deal(sized(rows, True, prefix), sized(docs.select("source", "text"), False, prefix), kept, prefix, weights, most, seed)
 
 
-def _deal(rows: DataFrame, sizes: DataFrame, kept: list[str], weights: tuple[int, ...], most: int, seed: int) -> DataFrame:
-    """rows and sizes: as made by sized(), the second with at least the source."""
-    fresh = lambda name: f"_mix_{name}"
+def _deal(rows: DataFrame, sizes: DataFrame, kept: list[str], prefix: str, weights: tuple[int, ...], most: int, seed: int) -> DataFrame:
+    """rows and sizes: as made by sized() with this prefix, the second with at least the source."""
+    fresh = lambda name: prefix + name
     size, bucket, label = map(fresh, ("size", "bucket", "label"))
     source = F.col("source").cast("string")
     targets = source_targets(sizes.select(source.alias("source"), F.col(size).alias("size")), weights, most)
@@ -96,20 +112,22 @@ def _deal(rows: DataFrame, sizes: DataFrame, kept: list[str], weights: tuple[int
     place = F.col(fresh("before")) + F.col(fresh("rank"))
     offset = _digits(F.concat(F.lit(f"{seed}:"), F.col(label))) / F.lit(float(1 << 28))
     crossed = F.floor(F.col(fresh("rate")) * place + offset) - F.floor(F.col(fresh("rate")) * (place - 1) + offset)
-    return ranked.select(*(F.col(c) for c in kept), F.col(size).alias("mix_size"), F.col(fresh("source_size")).alias("mix_source_size"), F.col(fresh("target")).alias("mix_target"), F.least(crossed, F.lit(most)).cast("long").alias("mix_copies"))
+    return ranked.select(*kept, F.col(size).alias("mix_size"), F.col(fresh("source_size")).alias("mix_source_size"), F.col(fresh("target")).alias("mix_target"), F.least(crossed, F.lit(most)).cast("long").alias("mix_copies"))
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:
     """The contract's columns of mix."""
-    rows = cut(sized(docs.select("doc_id", "text", "source"), keep_text=False))  # a few numbers a document, read three times
-    mixed = _deal(rows, rows, ["doc_id"], WEIGHTS, MOST_COPIES, SEED)
+    prefix = own_prefix([])
+    rows = cut(sized(docs.select("doc_id", "text", "source"), False, prefix))  # a few numbers a document, read three times
+    mixed = _deal(rows, rows, ["doc_id"], prefix, WEIGHTS, MOST_COPIES, SEED)
     return mixed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mixture itself: each document once per copy, with copy_no from 0."""
+    """The mixture itself: each document once per copy, with copy_no from 0. Columns of docs named like copy_no or like
+    what mix adds give way."""
     mixed = mix(docs).filter("mix_copies > 0")
-    return mixed.select(*(F.col(c) for c in docs.columns), F.explode(F.sequence(F.lit(0).cast("long"), F.col("mix_copies") - 1)).alias("copy_no"))
+    return mixed.select(*(c for c in docs.columns if c.lower() not in (*ADDED, "copy_no")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("mix_copies") - 1)).alias("copy_no"))
 
 
 MIX_SQL = rf"""

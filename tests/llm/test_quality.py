@@ -91,6 +91,16 @@ def test_mixture_against_sql(spark, small):
     assert got == sorted(map(tuple, mix_digest(docs.repartition(3)).collect()))
 
 
+def test_mixture_beside_clashing_names(spark, small):
+    docs = table(spark, small, "documents")
+    names = ["_mix_source", "_mix_size", "__mix_tie", "mix_size", "Mix_Copies", "copy_no", "label", "count"]
+    wide = docs.selectExpr("*", *(f"'x' AS `{n}`" for n in names))
+    got = mixed_documents(wide)
+    assert got.columns == [*docs.columns, "_mix_source", "_mix_size", "__mix_tie", "label", "count", "copy_no"]
+    key = lambda df: sorted((r["doc_id"] or -1, r["copy_no"]) for r in df.select("doc_id", "copy_no").collect())
+    assert key(got) == key(mixed_documents(docs))
+
+
 def test_targets_by_repeated_sharing(spark, small):
     """The water level gives what cutting off and sharing anew gives in the end."""
     docs = table(spark, "/root/testdata/sf0.01", "documents")
