@@ -224,3 +224,35 @@ def test_stages_keep_the_columns(spark, small):
     docs = table(spark, small, "documents").limit(50)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, small).columns == docs.columns
+
+
+def distinct_words(n, prefix):
+    return [f"{prefix}{i}".encode() for i in range(n)]
+
+
+def tiles_from(words):
+    return {t: words[t * passages.TILE : (t + 1) * passages.TILE] for t in range(len(words) // passages.TILE + 1)}
+
+
+def test_passages_of_a_chain_that_fails_as_a_whole():
+    same, unlike, other = distinct_words(220, "s"), distinct_words(84, "u"), distinct_words(84, "o")
+    mine, held = [], []
+    for k in range(4):
+        mine += same[55 * k : 55 * k + 55] + unlike[28 * k : 28 * k + 28]
+        held += same[55 * k : 55 * k + 55] + other[28 * k : 28 * k + 28]
+    points = [(83 * k + i, 83 * k + i) for k in range(4) for i in range(0, 50, 7)]
+    assert [p[:4] for p in passages.aligned(mine, points, tiles_from(held))] == [(83 * k, 83 * k + 55) * 2 for k in range(4)]
+
+
+def test_passages_that_cross_the_worst_gap():
+    """Neither side of the first and worst gap has 25 words alone; the later gaps make the whole fail."""
+    mine, held, points = [], [], []
+    for k, (same, unlike) in enumerate([(15, 6), (15, 5), (5, 5), (5, 5), (5, 5), (5, 5), (5, 0)]):
+        points.append((len(mine), len(mine)))
+        if same > 5:
+            points.append((len(mine) + same - 5, len(mine) + same - 5))
+        both = distinct_words(same, f"s{k}x")
+        mine += both + distinct_words(unlike, f"u{k}x")
+        held += both + distinct_words(unlike, f"o{k}x")
+    found = passages.aligned(mine, points, tiles_from(held))
+    assert [p[:4] for p in found] == [(0, 36, 0, 36), (21, 46, 21, 46)] and found[0][4] == 1 - 6 / 36
