@@ -256,3 +256,15 @@ def test_passages_that_cross_the_worst_gap():
         held += both + distinct_words(unlike, f"o{k}x")
     found = passages.aligned(mine, points, tiles_from(held))
     assert [p[:4] for p in found] == [(0, 36, 0, 36), (21, 46, 21, 46)] and found[0][4] == 1 - 6 / 36
+
+
+def test_passages_grow_until_their_score_gives_up(spark):
+    """One run of 30 equal words, then 4 of 5 words equal, on both sides: no seed for 600 words, or in what follows."""
+    same = lambda p, n: [f"{p}{i}" for i in range(n)]
+    held = same("a", 300) + same("m", 30) + same("b", 300)
+    mine = [f"x{i}" if i % 5 == 0 else w for i, w in enumerate(held[:300])] + held[300:330] + [f"y{i}" if i % 5 == 4 else w for i, w in enumerate(held[330:])]
+    rows = [(1, " ".join(same("p", 50) + held + same("q", 50))), (2, " ".join(same("r", 70) + mine + same("s", 70)))]
+    found = {r["doc_id"]: r for r in passages.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1]["passages"] == []
+    # The outermost words of the changed ends are unequal.
+    assert [(p["start"], p["end"], p["other_start"], p["other_end"]) for p in found[2]["passages"]] == [(71, 699, 51, 679)]
