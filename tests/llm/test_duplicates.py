@@ -268,3 +268,49 @@ def test_passages_grow_until_their_score_gives_up(spark):
     assert found[1]["passages"] == []
     # The outermost words of the changed ends are unequal.
     assert [(p["start"], p["end"], p["other_start"], p["other_end"]) for p in found[2]["passages"]] == [(71, 699, 51, 679)]
+
+
+def test_every_shared_seed_counts(spark):
+    """25 words, two of three runs of equal words too short for a sample of one seed in any 20 words."""
+    choose = random.Random(8)
+    rows, wanted = [], set()
+    for i in range(0, 120, 2):
+        same = [f"s{i}x{k}" for k in range(30)]
+        fuzzy = [f"z{i}x{k}" if k in (7, 14, 21) else w for k, w in enumerate(same)]
+        own = lambda p, n=choose.randint(40, 60): [f"{p}{i}x{k}" for k in range(n)]  # noqa: B023, E731
+        rows += [(i, " ".join(own("a") + same + own("b"))), (i + 1, " ".join(own("c") + fuzzy + own("d")))]
+        wanted.add(i + 1)
+    found = passages.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")).filter("size(passages) = 1").collect()
+    assert {r["doc_id"] for r in found} == wanted
+    assert all(p["end"] - p["start"] == 30 and p["similarity"] == 0.9 and p["other_id"] == r["doc_id"] - 1 for r in found for p in r["passages"])
+
+
+@pytest.mark.parametrize("size", [4_000_000, 300])
+def test_matches_are_those_of_all_seeds(spark, size, monkeypatch):
+    monkeypatch.setattr(passages, "BUCKET_BYTES", size)
+    rows = [(k, t) for k, t in passages_of(4) if k]
+    first, expected = {}, []
+    for key, text in sorted(rows):
+        words = passages.plain_words(text.encode())
+        for i in range(len(words) - 4):
+            seed = tuple(words[i : i + 5])
+            holder = first.setdefault(seed, (key, i))
+            if holder[0] != key:
+                expected.append((key, i, *holder))
+    found = passages.matches(spark.createDataFrame(rows, "doc long, text string")).collect()
+    assert sorted(map(tuple, found)) == sorted(expected)
+
+
+def test_edits():
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            corner, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                corner, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, corner + (x != y))
+        return row[-1]
+
+    choose = random.Random(6)
+    for _ in range(500):
+        a, b = ([choose.choice([b"a", b"b", b"cc"]) for _ in range(choose.randint(0, 12))] for _ in range(2))
+        assert passages.edits(a, b) == plain(a, b)
