@@ -271,7 +271,7 @@ def test_passages_grow_until_their_score_gives_up(spark):
 
 
 def test_every_shared_seed_counts(spark):
-    """25 words, two of three runs of equal words too short for a sample of one seed in any 20 words."""
+    """Runs of at most eight equal words: a sample of one seed in any 20 words misses some."""
     choose = random.Random(8)
     rows, wanted = [], set()
     for i in range(0, 120, 2):
@@ -289,14 +289,14 @@ def test_every_shared_seed_counts(spark):
 def test_matches_are_those_of_all_seeds(spark, size, monkeypatch):
     monkeypatch.setattr(passages, "BUCKET_BYTES", size)
     rows = [(k, t) for k, t in passages_of(4) if k]
-    first, expected = {}, []
+    first, wide, expected = {}, {}, set()
     for key, text in sorted(rows):
         words = passages.plain_words(text.encode())
         for i in range(len(words) - 4):
-            seed = tuple(words[i : i + 5])
-            holder = first.setdefault(seed, (key, i))
-            if holder[0] != key:
-                expected.append((key, i, *holder))
+            holders = [first.setdefault(tuple(words[i : i + 5]), (key, i))]
+            if len(words) - i >= 25:
+                holders.append(wide.setdefault(tuple(words[i : i + 25]), (key, i)))
+            expected |= {(key, i, *h) for h in holders if h[0] != key}
     found = passages.matches(spark.createDataFrame(rows, "doc long, text string")).collect()
     assert sorted(map(tuple, found)) == sorted(expected)
 
@@ -314,3 +314,14 @@ def test_edits():
     for _ in range(500):
         a, b = ([choose.choice([b"a", b"b", b"cc"]) for _ in range(choose.randint(0, 12))] for _ in range(2))
         assert passages.edits(a, b) == plain(a, b)
+
+
+def test_passages_whose_parts_earlier_documents_hold(spark):
+    """B and C share 64 words; three earlier documents hold 24 of them each, and so every seed."""
+    own = lambda p: [f"{p}{k}" for k in range(40)]
+    same = [f"s{k}" for k in range(64)]
+    rows = [(k, " ".join(own(f"a{k}x") + same[20 * k : 20 * k + 24] + own(f"e{k}x"))) for k in range(3)]
+    rows += [(k, " ".join(own(f"a{k}x") + same + own(f"e{k}x"))) for k in (3, 4)]
+    found = {r["doc_id"]: r["passages"] for r in passages.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(p["start"], p["end"], p["other_id"], p["other_start"]) for p in found.pop(4)] == [(40, 104, 3, 40)]
+    assert not any(found.values())
