@@ -98,11 +98,13 @@ class NoticeFinder:
         smaller share of edits stays, then the longer, then the earlier notice."""
         found = []
         for k, ranges in self.candidates(joined).items():
-            for a, b in ranges:
-                at = a
-                while m := self.patterns[k].search(joined, at, b):
+            left = list(ranges)
+            while left:
+                # The best match of a range may have others on either side.
+                a, b = left.pop()
+                if m := self.patterns[k].search(joined, a, b):
                     found.append((sum(m.fuzzy_counts) / len(self.notices[k].words), -len(self.notices[k].words), k, m.start(), m.end(), sum(m.fuzzy_counts)))
-                    at = max(m.end(), at + 1)
+                    left += [(a, m.start()), (max(m.end(), a + 1), b)]
         kept: list[tuple[int, int, int, int]] = []
         for _, _, k, start, end, edits in sorted(found):
             if all(end <= s or start >= e for s, e, _, _ in kept):

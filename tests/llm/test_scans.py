@@ -173,3 +173,12 @@ def test_token_counts(spark, small):
         words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
         assert (got[i]["n_words"], got[i]["n_chars"]) == (len(words), len(text or ""))
         assert got[i]["n_tokens"] == sum(plain_tokens(MARK + w, trie) for w in words)
+
+
+def test_notices_before_a_better_one_are_found():
+    from clausewright.llm import licenses
+
+    joined = b" released under the mit licence released under the mit license released under the mit licence "
+    found = licenses.finder(licenses.NOTICES).find(joined)
+    assert [joined[a:b].strip() for a, b, _, _ in found] == [b"released under the mit licence", b"released under the mit license", b"released under the mit licence"]
+    assert [e for _, _, _, e in found] == [1, 0, 1]
