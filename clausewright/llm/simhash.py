@@ -181,10 +181,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: the one with the smallest doc_id. Of rows that repeat its doc_id, one
-    stays. Rows without a doc_id stay. All columns stay as they are."""
-    kept = near_duplicates(docs).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    repeated = docs.groupBy(F.col("doc_id").alias("_id")).count().filter("count > 1").isEmpty()
-    unique = docs if repeated else docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL"))
-    known = unique.join(kept, unique["doc_id"].cast("long") == kept["_kept"], "left_semi")
-    return known.unionByName(unique.filter("doc_id IS NULL"))
+    """docs with one document of each component: the one with the smallest doc_id. Where doc_ids repeat, texts that
+    share one are told apart, and one row of each component stays. Rows without a doc_id stay. All columns stay."""
+    if docs.groupBy(F.col("doc_id").alias("_id")).count().filter("count > 1 AND _id IS NOT NULL").isEmpty():
+        kept = near_duplicates(docs).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
+        known = docs.join(kept, docs["doc_id"].cast("long") == kept["_kept"], "left_semi")
+        return known.unionByName(docs.filter("doc_id IS NULL"))
+    rows = docs.filter("doc_id IS NOT NULL").withColumn("_row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    groups = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    ids = rows.select("_row", F.col("doc_id").cast("long").alias("_id")).distinct()
+    kept = groups.join(ids, "_row").groupBy("component_id").agg(F.min(F.struct("_id", "_row")).alias("least")).select(F.col("least._row").alias("_row"))
+    known = rows.dropDuplicates(["_row"]).join(kept, "_row", "left_semi").drop("_row")
+    return known.unionByName(docs.filter("doc_id IS NULL"))

@@ -325,3 +325,10 @@ def test_passages_whose_parts_earlier_documents_hold(spark):
     found = {r["doc_id"]: r["passages"] for r in passages.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [(p["start"], p["end"], p["other_id"], p["other_start"]) for p in found.pop(4)] == [(40, 104, 3, 40)]
     assert not any(found.values())
+
+
+def test_texts_that_share_a_doc_id_stay_apart(spark):
+    text = lambda p: " ".join(f"{p}{i}" for i in range(60))
+    rows = [(1, text("a")), (5, text("a")), (5, text("b")), (5, text("c")), (5, text("c")), (7, text("b")), (None, text("a"))]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {tuple(r) for r in kept} == {(1, text("a")), (5, text("b")), (5, text("c")), (None, text("a"))} and len(kept) == 4
