@@ -24,12 +24,24 @@ def texts(docs: DataFrame, *extra: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir; a folder of its own only where none is set (local tests)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as spark.checkpoint.dir or setCheckpointDir name it. Only a session in one
+    JVM, where every folder is shared, gets one of its own when none is set."""
     sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="clausewright-")
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="clausewright-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -103,15 +115,32 @@ def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     return kept[0][:n], kept[1][:n]
 
 
+#: Releases the exchanges of a query when it ends.
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, for results that are large and read more than once."""
+    """df as a Parquet table in the shared folder, for results that are large and read more than once. The exchanges
+    that made it are released as soon as it stands."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="clausewright-")
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_RELEASE, "false")
+    spark.conf.set(_RELEASE, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_RELEASE, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes written tables that have been read for the last time, on whatever file system they are."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:
+        where = jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(conf).delete(where, True)
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """(doc_id, doc, text): doc orders the documents and tells them apart. It is doc_id itself unless that is null or
     repeated somewhere; then it is the rank among the distinct (doc_id, text), nulls first, found by a distributed sort.
