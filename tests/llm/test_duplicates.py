@@ -287,7 +287,7 @@ def test_every_shared_seed_counts(spark):
 
 @pytest.mark.parametrize("size", [4_000_000, 300])
 def test_matches_are_those_of_all_seeds(spark, size, monkeypatch):
-    monkeypatch.setattr(passages, "PARCEL_BYTES", size)
+    monkeypatch.setattr(passages, "PARCEL_SEEDS", size)
     rows = [(k, t) for k, t in passages_of(4) if k]
     first, wide, expected = {}, {}, set()
     for key, text in sorted(rows):
@@ -297,8 +297,8 @@ def test_matches_are_those_of_all_seeds(spark, size, monkeypatch):
             if len(words) - i >= 25:
                 holders.append(wide.setdefault(tuple(words[i : i + 25]), (key, i)))
             expected |= {(key, i, *h) for h in holders if h[0] != key}
-    docs = spark.createDataFrame(rows, "doc long, text string")
-    parcels = passages.matches(docs, 1 + 100_000 // size, 40).collect()
+    own = passages.bodies(spark.createDataFrame([(k, k, t) for k, t in rows], "doc_id long, doc long, text string"))
+    parcels = passages.matches(own, 1 + 100_000 // size, 40).collect()
     found = [m for r in parcels for m in zip(*(c.tolist() for c in passages.unpacked_matches(r["n"], r["data"])))]
     assert sorted(found) == sorted(expected)
 
