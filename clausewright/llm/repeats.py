@@ -1,44 +1,54 @@
 """Operator 2, suffix-array dedup: bytes inside any 100-byte string that also starts earlier in the corpus go.
 
-Equal strings must meet. Every window of LENGTH bytes has an anchor, the place of its least hashed GRAM-byte piece, and
-equal windows have equal anchors. The windows around one anchor form a segment. Segments whose anchor occurs once
-cannot repeat and are never moved. Of equal segments the first is kept as the class's representative, by hashes alone;
-representatives that share an anchor are brought together as text, and a suffix array of them with the common prefixes
-of neighbours shows which windows are equal. An anchor with very many different segments (a frequent short line amid
-ever different text) is divided into its windows, so that no task gathers a frequent anchor.
+Equal strings must meet. Every window of LENGTH bytes has an anchor, the place of its least hashed piece of GRAMS[0]
+bytes, and equal windows have equal anchors. The windows around one anchor form a segment. Segments move packed, without
+text, to their anchor's bucket. Of equal ones (by 96 bits of XXH3 over their bytes) the first stands for all: the others
+start earlier there, and are settled before anything else moves, in part before the exchange. What stands for a class
+and shares its anchor with other classes is brought together as text, and a suffix array with the common prefixes of
+neighbours shows which of its windows are equal.
+
+An anchor with very many different segments (a frequent line amid ever different text) is divided: its segments are
+anchored again by longer pieces, which differ more often, and then go the same way.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.llm.common import RollingHash, joined_bytes, mix64, numbered, steps, text_bytes, written
+from clausewright.llm.common import RollingHash, joined_bytes, mix64, numbered, removed, steps, text_bytes, written
+from clausewright.llm.packing import packed, parcels, unpacked
 from clausewright.llm.suffixes import common_prefixes, suffix_array
 
-LENGTH, GRAM = 100, 20
-#: Different segments of one anchor beyond which it is divided into its windows.
+LENGTH = 100
+#: Bytes of the pieces that anchor windows, and those that divide hot anchors, one after another. The last are whole
+#: windows, of which an anchor has one.
+GRAMS = (40, 70, 88, LENGTH)
+#: Different segments of one anchor beyond which it is divided.
 HOT_SEGMENTS = 2048
 #: Window starts of one vectorised piece (places take 22 bits), and text bytes of one suffix array.
 PIECE, SHARD_BYTES = 2_000_000, 1_000_000
+#: Bytes of text whose segments share a bucket, on average; bytes of text whose segments one parcel of a bucket holds.
+BUCKET_BYTES, PARCEL_BYTES = 16_000_000, 16_000_000
 _PLACE = np.uint64((1 << 22) - 1)
 
 
-def anchored(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Segments of joined texts: text number, first window's start in the joined array, windows, anchor's offset from
-    the first window, and hashes of the anchor's piece and of the whole segment."""
-    per_window = LENGTH - GRAM + 1
+def anchored(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, gram: int) -> tuple[np.ndarray, ...]:
+    """Segments of joined texts: text number, first window's start in the joined array, windows, the hash of the
+    anchor's piece, and two hashes (64 and 32 bits) of the whole segment."""
+    per_window = LENGTH - gram + 1
     long = np.flatnonzero(lengths >= LENGTH)
     if not len(long):
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    rolling = RollingHash(data)
-    at = np.arange(len(data) - GRAM + 1)
-    pieces = rolling.ranges(at, at + GRAM)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint64)
+    at = np.arange(len(data) - gram + 1)
+    pieces = RollingHash(data).ranges(at, at + gram)
     least = (pieces & ~_PLACE) | at.astype(np.uint64)
     width = 1
     while 2 * width <= per_window:
@@ -55,14 +65,15 @@ def anchored(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple
     begins = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (doc[1:] != doc[:-1]))))
     count = np.diff(np.concatenate((begins, [len(start)])))
     low, place, doc = start[begins], place[begins], doc[begins]
-    whole = rolling.ranges(low, low + count - 1 + LENGTH)
-    return doc, low, count, place - low, pieces[place], mix64(whole ^ (place - low).astype(np.uint64))
+    raw, digest = memoryview(data.tobytes()), xxhash.xxh3_128_digest
+    whole = np.frombuffer(b"".join([digest(raw[a:b]) for a, b in zip(low.tolist(), (low + count - 1 + LENGTH).tolist())]), dtype="<u8").reshape(-1, 2)
+    return doc, low, count, pieces[place], whole[:, 0], whole[:, 1] >> np.uint64(32)
 
 
-def long_pieces(batch: pa.RecordBatch, column: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+def long_pieces(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
     """Joined texts of a step, with the offset of the first; one long text alone comes in pieces that share their
     borders' windows."""
-    data, starts, lengths = joined_bytes(batch.column(column), 1)
+    data, starts, lengths = joined_bytes(column, 1)
     if len(data) <= 2 * PIECE:
         yield data, starts, lengths, 0
         return
@@ -74,57 +85,167 @@ def long_pieces(batch: pa.RecordBatch, column: int) -> Iterator[tuple[np.ndarray
             yield part, own_start, own_length, at
 
 
-def segments(docs: DataFrame) -> DataFrame:
-    """docs (doc, text) to (anchor, segment, doc, place, again). place packs the first window's start, the anchor's
-    offset and the number of windows. again: the document has the same segment earlier."""
+#: Bytes by which segments are packed: steps between sorted anchors, two hashes, documents (places in a sorted list),
+#: first windows' starts, windows. Then places, dealt by document: steps between documents, starts, windows, whether the
+#: windows start earlier elsewhere (0), are to be compared (1) or divided (2), and anchors.
+_SEGMENT, _PLACES = (8, 8, 4, 4, 4, 2), (8, 4, 2, 1, 8)
+_PARCEL, _NAMES = "bucket long, n long, n_ids long, ids binary, data binary", ["bucket", "n", "n_ids", "ids", "data"]
+EARLIER, COMPARE, DIVIDE = 0, 1, 2
+
+
+def document_parcels(doc: np.ndarray, low: np.ndarray, count: np.ndarray, kind: np.ndarray, anchor: np.ndarray, buckets: int) -> list[tuple]:
+    """Parcels of places, dealt by document; their buckets follow those of the anchors."""
+    to = (mix64(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((low, doc, to))
+    to, doc, low, count, kind, anchor = (x[order] for x in (to, doc, low, count, kind, anchor))
+    ends = [0, *(np.flatnonzero(np.diff(to)) + 1).tolist(), len(to)]
+    return [(int(to[i]) + buckets, j - i, 0, b"", packed([np.diff(doc[i:j], prepend=0), low[i:j], count[i:j], kind[i:j], anchor[i:j]], _PLACES)) for i, j in zip(ends, ends[1:]) if i < j]
+
+
+def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], _NAMES)
+
+
+def segments(texts: DataFrame, gram: int, buckets: int, bits: int) -> DataFrame:
+    """texts (doc, at, text), at: where in the document the text begins, to parcels of segments, dealt by anchor. A
+    segment that equals an earlier one of its parcel starts earlier: it goes to its document's bucket at once."""
+    edges = np.array([-(-(b << bits) // buckets) for b in range(1, buckets)], dtype=np.uint64)
+
+    def parcel(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        doc, low, count, anchor, one, two = (np.concatenate(c) for c in zip(*held))
+        order = np.lexsort((low, doc, two, one, anchor))
+        doc, low, count, anchor, one, two = (x[order] for x in (doc, low, count, anchor, one, two))
+        again = np.concatenate(([False], (anchor[1:] == anchor[:-1]) & (one[1:] == one[:-1]) & (two[1:] == two[:-1])))
+        # Rows that repeat both id and text are one document: the same place again is no copy.
+        twice = np.concatenate(([False], (doc[1:] == doc[:-1]) & (low[1:] == low[:-1]))) & again
+        doc, low, count, anchor, one, two, again = (x[~twice] for x in (doc, low, count, anchor, one, two, again))
+        if again.any():
+            yield batch_of(document_parcels(doc[again], low[again], count[again], np.zeros(again.sum(), np.int64), np.zeros(again.sum(), np.int64), buckets))
+        doc, low, count, anchor, one, two = (x[~again] for x in (doc, low, count, anchor, one, two))
+        ends = [0, *np.searchsorted(anchor, edges).tolist(), len(anchor)]
+        out = []
+        for b, (i, j) in enumerate(zip(ends, ends[1:])):
+            if i < j:
+                known, place = np.unique(doc[i:j], return_inverse=True)
+                out.append((b, j - i, len(known), packed([np.diff(known, prepend=0)], (8,)), packed([np.diff(anchor[i:j], prepend=np.uint64(0)), one[i:j], two[i:j], place, low[i:j], count[i:j]], _SEGMENT)))
+        yield batch_of(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in steps(batches):
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            earlier = np.zeros(0, dtype=np.uint64)
-            for data, starts, lengths, offset in long_pieces(batch, 1):
-                doc, low, count, lead, anchor, segment = anchored(data, starts, lengths)
-                key = mix64(anchor ^ mix64(segment ^ mix64(doc.astype(np.uint64))))
-                _, first = np.unique(key, return_index=True)
-                again = np.ones(len(key), dtype=bool)
-                again[first] = False
-                if offset:
-                    again |= np.isin(key, earlier)
-                earlier = np.concatenate([earlier, key]) if offset or len(data) > PIECE else earlier
-                place = (low - starts[doc] + offset) << 16 | lead << 8 | count
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor.view(np.int64), segment.view(np.int64), ids[doc], place, again)], ["anchor", "segment", "doc", "place", "again"])
+            ids, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            for data, starts, lengths, offset in long_pieces(batch.column(2)):
+                doc, low, count, anchor, one, two = anchored(data, starts, lengths, gram)
+                if len(doc):
+                    held.append((ids[doc], low - starts[doc] + offset + at[doc], count, anchor >> np.uint64(64 - bits), one, two))
+            size += batch.column(2).nbytes
+            if held and size >= PARCEL_BYTES:
+                yield from parcel(held)
+                held, size = [], 0
+        if held:
+            yield from parcel(held)
 
-    return docs.select("doc", "text").mapInArrow(run, "anchor long, segment long, doc long, place long, again boolean")
+    return texts.select("doc", "at", "text").mapInArrow(run, _PARCEL)
 
 
-def covered_by(place: F.Column) -> tuple[F.Column, F.Column]:
-    """Range of bytes that the windows of a packed place cover."""
-    low = F.shiftright(place, 16)
-    return low.alias("low"), (low + place.bitwiseAND(F.lit(255).cast("long")) - 1 + LENGTH).alias("high")
+def classes(found: DataFrame, buckets: int, most: int) -> DataFrame:
+    """Parcels of segments to parcels of places, dealt by document: of each class all but the first are EARLIER; firsts
+    whose anchor has several classes are to COMPARE, or to DIVIDE if it has more than `most`."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, group in groupby(parcels(batches), key=lambda r: r[0]):
+            if bucket >= buckets:
+                for row in group:
+                    yield batch_of([row])
+                continue
+            parts = []
+            for _, n, n_ids, ids, data in group:
+                step, one, two, place, low, count = unpacked(data, n, _SEGMENT)
+                known = np.cumsum(unpacked(ids, n_ids, (8,))[0].view(np.int64))
+                parts.append((known[place.view(np.int64)], low.view(np.int64), count.view(np.int64), np.cumsum(step, dtype=np.uint64), one, two))
+            doc, low, count, anchor, one, two = (np.concatenate(c) for c in zip(*parts))
+            order = np.argsort(anchor, kind="stable")
+            alike = anchor[order][1:] == anchor[order][:-1]
+            order = order[np.concatenate(([False], alike)) | np.concatenate((alike, [False]))]
+            if not len(order):
+                continue
+            order = order[np.lexsort((low[order], doc[order], two[order], one[order], anchor[order]))]
+            doc, low, count, anchor, one, two = (x[order] for x in (doc, low, count, anchor, one, two))
+            same = (anchor[1:] == anchor[:-1]) & (one[1:] == one[:-1]) & (two[1:] == two[:-1]) & (doc[1:] == doc[:-1]) & (low[1:] == low[:-1])
+            doc, low, count, anchor, one, two = (x[np.concatenate(([True], ~same))] for x in (doc, low, count, anchor, one, two))
+            fresh = np.concatenate(([True], anchor[1:] != anchor[:-1]))
+            first = fresh | np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
+            number = np.cumsum(fresh) - 1
+            several = np.bincount(number, first)[number]
+            kind = np.where(~first, EARLIER, np.where(several > most, DIVIDE, COMPARE))
+            needed = ~first | (several > 1)
+            if needed.any():
+                yield batch_of(document_parcels(*(x[needed] for x in (doc, low, count, kind, anchor.view(np.int64))), buckets))
+
+    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _PARCEL)
+
+
+PLACES = "doc long, ranges array<struct<low:long,high:long>>, compare array<struct<anchor:long,low:long,n:long>>, divide array<struct<anchor:long,low:long,n:long>>"
+
+
+def by_document(found: DataFrame) -> DataFrame:
+    """Parcels of places to one row per document: merged ranges of the EARLIER ones, and lists of the others."""
 
-def unpack(place: int) -> tuple[int, int]:
-    """First window's start, windows."""
-    return place >> 16, place & 255
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in groupby(parcels(batches), key=lambda r: r[0]):
+            parts = []
+            for _, n, _, _, data in group:
+                step, low, count, kind, anchor = (x.view(np.int64) for x in unpacked(data, n, _PLACES))
+                parts.append((np.cumsum(step), low, count, kind, anchor))
+            doc, low, count, kind, anchor = (np.concatenate(c) for c in zip(*parts))
+            order = np.lexsort((low, doc))
+            doc, low, count, kind, anchor = (x[order] for x in (doc, low, count, kind, anchor))
+            ids = np.unique(doc)
+            gone = kind == EARLIER
+            d, a, b = merged(doc[gone], low[gone], low[gone] + count[gone] - 1 + LENGTH)
+            columns = [pa.array(ids), listed(ids, d, {"low": a, "high": b})]
+            for k in (COMPARE, DIVIDE):
+                own = kind == k
+                columns.append(listed(ids, doc[own], {"anchor": anchor[own], "low": low[own], "n": count[own]}))
+            whole = pa.RecordBatch.from_arrays(columns, ["doc", "ranges", "compare", "divide"])
+            for i in range(0, len(ids), 2000):
+                yield whole.slice(i, 2000)
+
+    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, PLACES)
+
+
+def merged(doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges sorted by document and start, with those that meet or overlap joined."""
+    if not len(doc):
+        return doc, low, high
+    # Documents are put one after another, so that one running maximum serves all.
+    number = np.cumsum(np.concatenate(([0], (doc[1:] != doc[:-1]).astype(np.int64))))
+    shift = number * (int(high.max()) + 2)
+    reach = np.maximum.accumulate(high + shift)
+    fresh = np.concatenate(([True], low[1:] + shift[1:] > reach[:-1]))
+    last = np.append(np.flatnonzero(fresh)[1:] - 1, len(doc) - 1)
+    return doc[fresh], low[fresh], (reach - shift)[last]
+
+
+def listed(ids: np.ndarray, doc: np.ndarray, columns: dict[str, np.ndarray]) -> pa.Array:
+    """For each of the sorted ids the rows of its documents, as a list of structs; doc is sorted."""
+    inner = pa.StructArray.from_arrays([pa.array(c.astype(np.int64)) for c in columns.values()], list(columns))
+    return pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(doc, ids), len(doc)).astype(np.int32)), inner)
 
 
 def cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(anchor, doc, low, text) of wanted (doc, anchor, place): each document once, with its segments."""
+    """(anchor, doc, low, text) of wanted (doc, asked): each document once, with its segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             out = []
-            for doc, data, asked in zip(batch.column(1).to_pylist(), text_bytes(batch.column(2)), batch.column(3).to_pylist()):
-                for x in asked:
-                    low, n = unpack(x["place"])
-                    out.append((x["anchor"], doc, low, data[low : low + n - 1 + LENGTH]))
-            if out:
-                columns = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], ["anchor", "doc", "low", "text"])
+            for doc, data, asked in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist()):
+                out += [(x["anchor"], doc, x["low"], data[x["low"] : x["low"] + x["n"] - 1 + LENGTH]) for x in asked]
+            columns = list(zip(*out))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], ["anchor", "doc", "low", "text"])
 
-    asked = wanted.groupBy("doc").agg(F.collect_list(F.struct("anchor", "place")).alias("asked"))  # bounded by the text
-    # All columns of docs, so that this exchange of the texts is the one that the result is made from.
-    return docs.join(asked, "doc").select("doc_id", "doc", "text", "asked").mapInArrow(run, "anchor long, doc long, low long, text binary")
+    joined = docs.join(wanted.filter(F.size("asked") > 0), "doc").select("doc", "text", "asked")
+    return joined.mapInArrow(run, "anchor long, doc long, low long, text binary")
 
 
 def repeated_windows(docs: list[int], lows: list[int], parts: list[bytes]) -> list[tuple[int, int, int]]:
@@ -182,49 +303,28 @@ def compare_segments(cuts: DataFrame) -> DataFrame:
     return cuts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc long, low long, high long")
 
 
-def windows_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(one, two, doc, low) for each window of wanted: two independent hashes of its bytes, once per document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, starts, _ = joined_bytes(batch.column(3), 1)
-            lengths = np.diff(np.concatenate((starts, [len(data)]))) - 1
-            n = lengths - LENGTH + 1
-            part = np.repeat(np.arange(len(n)), n)
-            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at = starts[part] + inner
-            one, two = (RollingHash(data, base).ranges(at, at + LENGTH) for base in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
-            doc, low = batch.column(1).to_numpy()[part], batch.column(2).to_numpy()[part] + inner
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (one.view(np.int64), two.view(np.int64), doc, low)], ["one", "two", "doc", "low"])
-
-    return cut_out(docs, wanted).mapInArrow(run, "one long, two long, doc long, low long")
-
-
-def divided(windows: DataFrame) -> DataFrame:
-    """Ranges of windows that start earlier, by hashes of whole windows: partial minima, then a join back."""
-    per_doc = windows.groupBy("one", "two", "doc").agg(F.min("low").alias("low0"))
-    first = per_doc.groupBy("one", "two").agg(F.min("doc").alias("doc0"))
-    joined = windows.join(per_doc, ["one", "two", "doc"]).join(first, ["one", "two"])
-    return joined.filter("doc <> doc0 OR low <> low0").select("doc", "low", (F.col("low") + LENGTH).alias("high"))
-
-
-def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """docs (doc, text) to ranges (doc, low, high) of bytes to remove; ranges may overlap."""
-    found = segments(docs)
-    anchors = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("segment").alias("s0"), F.max("segment").alias("s1")).filter("n > 1")
-    # Tables of their own, so that joins with hot anchors and classes stand on plain exchanges, which can be split.
-    anchors = written(anchors.select("anchor", (F.col("s0") != F.col("s1")).alias("several")), "shared-anchors")
-    shared = written(found.join(anchors, "anchor").select("anchor", "segment", "doc", "place", "again", "several"), "shared-segments")
-    firsts = written(shared.groupBy("anchor", "segment").agg(F.min("doc").alias("doc0")), "first-segments")
-    first = ~F.col("again") & (F.col("doc") == F.col("doc0"))
-    judged = written(shared.join(firsts, ["anchor", "segment"]).filter(~first | F.col("several")).select("anchor", "doc", "place", first.alias("first")), "judged-segments")
-    copies = judged.filter("NOT first").select("doc", *covered_by(F.col("place")))
-    wanted = judged.filter("first").select("anchor", "doc", "place")
-    hot = written(wanted.groupBy("anchor").count().filter(F.col("count") > HOT_SEGMENTS).select("anchor"), "hot-anchors")
-    if hot.isEmpty():
-        return copies.unionByName(compare_segments(cut_out(docs, wanted)))
-    compared = compare_segments(cut_out(docs, wanted.join(hot, "anchor", "left_anti")))
-    return copies.unionByName(compared).unionByName(divided(written(windows_of(docs, wanted.join(hot, "anchor", "left_semi")), "hot-windows")))
+def repeated_ranges(docs: DataFrame, size: int) -> DataFrame:
+    """docs (doc, text) of `size` bytes to ranges (doc, low, high) of bytes to remove; ranges may overlap."""
+    spark = docs.sparkSession
+    out, texts = [], docs.select("doc", F.lit(0).cast("long").alias("at"), "text")
+    for gram in GRAMS:
+        buckets, bits = 1 + size // BUCKET_BYTES, min(62, (size // 16 + 1).bit_length() + 8)
+        most = HOT_SEGMENTS if gram < LENGTH else size
+        places = written(by_document(classes(segments(texts, gram, buckets, bits), buckets, most)), "places")
+        if gram != GRAMS[0]:
+            removed(spark, texts)
+        out.append(places.select("doc", F.explode("ranges").alias("r")).select("doc", "r.low", "r.high"))
+        cuts = cut_out(docs, places.select("doc", F.col("compare").alias("asked")))
+        out.append(written(compare_segments(cuts), "compared"))
+        hot = places.select("doc", F.col("divide").alias("asked"))
+        if hot.filter(F.size("asked") > 0).isEmpty():
+            break
+        pieces = written(cut_out(docs, hot).select("doc", F.col("low").alias("at"), "text"), "pieces")
+        texts, size = pieces, pieces.agg(F.sum(F.octet_length("text"))).first()[0]
+    ranges = out[0]
+    for more in out[1:]:
+        ranges = ranges.unionByName(more)
+    return ranges
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -235,7 +335,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows that repeat both id and text are one document. Null and short texts keep everything. An empty table gives no
     rows. Other columns are not read."""
     own = numbered(docs)
-    ranges = repeated_ranges(own).groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))  # bounded by the text
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = repeated_ranges(own, size).groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))  # bounded by the text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
