@@ -1,14 +1,12 @@
-"""Column functions and folds against plain Python models."""
+"""Column functions and folds: inputs with the results written out, and what holds for any text."""
 
 from __future__ import annotations
 
 import random
-import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from clausewright import rules
 from clausewright.functions import text as T
 from clausewright.operators import segment
 
@@ -18,46 +16,66 @@ def values(spark, texts, column):
     return [r["v"] for r in frame.select("i", column(F.col("text")).alias("v")).orderBy("i").collect()]
 
 
+def array_values(spark, rows, column):
+    frame = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, parts array<string>")
+    return [r["v"] for r in frame.select("i", column(F.col("parts")).alias("v")).orderBy("i").collect()]
+
+
+def by_document(frame):
+    out: dict[int, list] = {}
+    for r in frame.orderBy("doc_id", "para_idx").collect():
+        out.setdefault(r["doc_id"], []).append(r["text"])
+    return out
+
+
+def check(spark, table, column):
+    """table: input to expected result."""
+    assert dict(zip(table, values(spark, list(table), column))) == table
+
+
 def random_texts(seed, parts, n=150, most=25):
     choose = random.Random(seed)
     return ["".join(choose.choice(parts) for _ in range(choose.randint(0, most))) for _ in range(n)]
 
 
-def test_clean_extracted(spark):
-    def model(t):
-        t = re.sub(r"\n\s*\n+", "\n\n", re.sub(" +", " ", t.replace("\x00", "")))
-        t = "\n".join(x.strip() for x in t.split("\n"))
-        return re.sub(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]", "", t).strip()
+def solid(text):
+    """The text without white space."""
+    return "".join(text.split())
 
-    texts = random_texts(1, ["a", "bc", " ", "  ", "\n", "\t", "\n\n", "é", "\x01", "\r"])
-    assert values(spark, texts, T.clean_extracted) == [model(t) for t in texts]
 
+def test_clean_extracted(spark):
+    table = {"pay   now": "pay now", "one\n \n\n\ntwo": "one\n\ntwo", "  left \n right\t": "left\nright", "a\x00b\x01c": "abc", "": "", "\n\n": ""}
+    check(spark, table, T.clean_extracted)
+    texts = random_texts(1, ["a", "bc", " ", "  ", "\n", "\t", "\n\n", "é"])
+    for before, after in zip(texts, values(spark, texts, T.clean_extracted)):
+        assert solid(after) == solid(before)
+        assert "  " not in after and "\n\n\n" not in after and all(x == x.strip() for x in after.split("\n"))
 
-def test_clean_ocr(spark):
-    def model(t):
-        t = re.sub(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]", "", t)
-        for wrong, right in (("|", "I"), ("0", "O"), ("§", "S"), ("¢", "c"), ("©", "(c)")):
-            t = re.sub(rf"([a-zA-Z]){re.escape(wrong)}([a-zA-Z])", rf"\1{right}\2", t)
-        t = re.sub(r"\t+", " ", re.sub(" +", " ", t))
-        t = "\n".join(x for x in t.split("\n") if len(re.findall("[a-zA-Z0-9]", x)) >= 3)
-        t = re.sub(r"\n\s*\n+", "\n\n", t)
-        t = re.sub(r"^[\s\-]*(?:Page\s*)?\d+[\s\-]*$", "", t, flags=re.MULTILINE)
-        t = re.sub(r"\.{4,}", "...", re.sub("-{3,}", "", t))
-        return "\n".join(x.strip() for x in t.split("\n")).strip()
 
-    texts = random_texts(2, ["abc", "l|ne", "c0de", "0", " ", "\n", "Page 12", "- 505 -", "....", "-----", "©a", "x", "\t", "\n\n"])
-    assert values(spark, texts, T.clean_ocr) == [model(t) for t in texts]
+def test_clean_ocr(spark):
+    table = {
+        "l|ne up": "lIne up",
+        "c0de red": "cOde red",
+        "room 101": "room 101",
+        "ab§cd ef¢gh ij©kl": "abScd efcgh ij(c)kl",
+        "x\nabc\n..": "abc",
+        "Page 12\nreal text": "real text",
+        "real text\n- 505 -": "real text",
+        "wait..... done": "wait... done",
+        "abc-----def": "abcdef",
+        "one\ttwo": "one two",
+        "bell\x07 rings": "bell rings",
+        "": "",
+    }
+    check(spark, table, T.clean_ocr)
 
 
 def test_clean_paragraph(spark):
-    def model(t):
-        t = re.sub(r"\s+([.,;:)])", r"\1", t.replace("\n", " "))
-        t = re.sub(r"([(])\s+", r"\1", re.sub(r"([.,;:)])([A-Za-z0-9])", r"\1 \2", t))
-        return re.sub(" +", " ", re.sub(r"\s+([)])", r"\1", t)).strip()
-
-    texts = [*random_texts(3, ["a", "B2", " ", "\n", ".", ",", "(", ")", ";"]), "1.5"]
-    got = values(spark, texts, T.clean_paragraph)
-    assert got == [model(t) for t in texts] and got[-1] == "1. 5"
+    table = {"Fee , due": "Fee, due", "end.Next": "end. Next", "( a )": "(a)", "two\nlines": "two lines", "far   apart": "far apart", "1.5": "1. 5", "so ; then : this": "so; then: this", "": ""}
+    check(spark, table, T.clean_paragraph)
+    texts = random_texts(3, ["a", "B2", " ", "\n", ".", ",", "(", ")", ";"])
+    for before, after in zip(texts, values(spark, texts, T.clean_paragraph)):
+        assert solid(after) == solid(before) and "  " not in after and "\n" not in after and after == after.strip()
 
 
 def test_heading_predicates(spark):
@@ -68,8 +86,8 @@ def test_heading_predicates(spark):
 
 
 def test_normalisers(spark):
-    assert values(spark, ["Ｎo  Réfund\u2011s ", None], T.normalise_risk) == ["no refunds", None]
-    assert values(spark, ["  A\u200b b\n c "], T.normalise_clause) == ["A b c"]
+    assert values(spark, ["Ｎo  Réfund‑s ", None], T.normalise_risk) == ["no refunds", None]
+    assert values(spark, ["  A​ b\n c "], T.normalise_clause) == ["A b c"]
     assert values(spark, ["A, b! C_d"], T.lexical) == ["a b c_d"]
     assert values(spark, ["One two. Three! four? Five"], T.sentences) == [["One two.", "Three! four?", "Five"]]
     assert values(spark, ["x" * 205, "y"], T.snippet) == ["x" * 200 + "...", "y"]
@@ -79,137 +97,132 @@ def test_normalisers(spark):
     assert values(spark, ["../n/x.pdf", "y.docx"], lambda c: T.stored_name(F.lit("id"), c)) == ["id_x.pdf", "id_y.docx"]
 
 
-BOUNDARY = (re.compile(rules.BOUNDARY_NUMBERED), re.compile(rules.BOUNDARY_KEYWORD), re.compile(rules.BOUNDARY_BULLET), re.compile(rules.BOUNDARY_CAPS))
-LINES = ["alpha beta", "1. Scope of work", "Section 2 fees", "- bullet", "TERMS:", "", "", "continued here", "(3) third", "word", "\tindent  x"]
+def test_confidence_bands(spark):
+    rows = spark.createDataFrame([(0.8,), (0.75,), (0.6,), (0.5,), (0.49,)], "c double").select(T.confidence_band(F.col("c")).alias("b")).collect()
+    assert [r["b"] for r in rows] == ["high", "high", "medium", "medium", "low"]
 
 
-def test_structural_split(spark):
-    def model(text):
-        t = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \f\r\v]{2,}", " ", text.replace("\t", " "))).strip()
-        out, current = [], []
-        for line in (x.strip() for x in t.splitlines()):
-            if not line or any(b.search(line) for b in BOUNDARY):
-                if current:
-                    out.append(" ".join(current))
-                current = []
-            if line:
-                current.append(line)
-        return out + ([" ".join(current)] if current else [])
+LINES = ["alpha beta", "1. Scope of work", "Section 2 fees", "- bullet", "", "", "continued here", "word", "\tindent  x"]
+
 
+def test_structural_split(spark):
+    texts = [
+        "alpha beta\ncontinued here",
+        "intro line\n1. Scope of work\nmore of it\n\nword",
+        "Section 2 fees\n- bullet\n* other\ntail",
+        "one\n\n\n\n\ttwo  words",
+        "  \n ",
+        "",
+    ]
+    expected = [["alpha beta continued here"], ["intro line", "1. Scope of work more of it", "word"], ["Section 2 fees", "- bullet", "* other tail"], ["one", "two words"], [], []]
+    docs = spark.createDataFrame([*enumerate(texts), (9, None)], "doc_id int, text string")
+    got = by_document(segment.split_structural(docs))
+    assert [got.get(i, []) for i in range(len(texts))] == expected and 9 not in got
     choose = random.Random(4)
-    texts = ["\n".join(choose.choice(LINES) for _ in range(choose.randint(0, 12))) for _ in range(80)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
-    got: dict[int, list] = {}
-    for r in segment.split_structural(docs).orderBy("doc_id", "para_idx").collect():
-        got.setdefault(r["doc_id"], []).append(r["text"])
-    assert [got.get(i, []) for i in range(len(texts))] == [model(t) for t in texts]
+    some = ["\n".join(choose.choice(LINES) for _ in range(choose.randint(0, 12))) for _ in range(60)]
+    got = by_document(segment.split_structural(spark.createDataFrame(list(enumerate(some)), "doc_id int, text string")))
+    for i, text in enumerate(some):
+        parts = got.get(i, [])
+        assert " ".join(parts).split() == text.split()
+        # A numbered line, a keyword line or a bullet stands at the start of a paragraph only.
+        assert sum(text.count(x) for x in ("1. Scope", "Section 2", "- bullet")) == sum(p.startswith(("1. Scope", "Section 2", "- bullet")) for p in parts)
 
 
-def test_orphans(spark):
-    heads = (BOUNDARY[0], BOUNDARY[1], BOUNDARY[3])
-
-    def model(parts):
-        parts, out = list(parts), []
-        for i, p in enumerate(parts):
-            if len(p) < 40 and not any(h.search(p.strip()) for h in heads):
-                if i + 1 < len(parts):
-                    parts[i + 1] = p + " " + parts[i + 1]
-                    continue
-                if out:
-                    out[-1] += " " + p
-                    continue
-            out.append(p)
-        return out
+LONG = "this paragraph is long enough to stand alone"
+
 
+def test_orphans(spark):
+    table = [
+        (["short", LONG], ["short " + LONG]),
+        ([LONG, "short"], [LONG + " short"]),
+        (["1. Head", LONG], ["1. Head", LONG]),
+        (["one", "two", LONG, LONG], ["one two " + LONG, LONG]),
+        (["only"], ["only"]),
+        ([LONG, "Section 3", "tail"], [LONG, "Section 3 tail"]),
+        # Two orphans that are long enough together join nothing else.
+        (["twenty characters ok", "and twenty more of it", LONG], ["twenty characters ok and twenty more of it", LONG]),
+        ([], []),
+    ]
+    assert array_values(spark, [t[0] for t in table], segment.merge_orphans) == [t[1] for t in table]
     choose = random.Random(5)
-    bank = ["short", "1. Head", "x" * 45, "Section 3", "a bit longer but no head", "TITLE HERE"]
-    rows = [[choose.choice(bank) for _ in range(choose.randint(1, 8))] for _ in range(120)]
-    frame = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, parts array<string>")
-    got = [r["v"] for r in frame.select("i", segment.merge_orphans(F.col("parts")).alias("v")).orderBy("i").collect()]
-    assert got == [model(r) for r in rows]
+    rows = [[choose.choice(["short", "1. Head", LONG, "Section 3", "a bit longer but no head"]) for _ in range(choose.randint(1, 8))] for _ in range(80)]
+    for before, after in zip(rows, array_values(spark, rows, segment.merge_orphans)):
+        assert " ".join(after) == " ".join(before)
+        assert all(len(p) >= 40 or p.startswith(("1. Head", "Section 3")) for p in after) or len(after) == 1
 
 
 def test_clause_chunks(spark):
-    def windows(s):
-        out, i = [], 0
-        while i < len(s):
-            j = min(i + 900, len(s))
-            piece = s[i:j].strip()
-            if j < len(s) and (cut := piece.rfind(" ")) > 450:
-                piece, i = s[i : i + cut].strip(), i + cut + 1
-            else:
-                i = j
-            if len(piece) > 30:
-                out.append(piece)
-        return out
-
-    def model(text):
-        text = text.strip()
-        blank = [p.strip() for p in re.split(r"\n{2,}", text) if len(p.strip()) > 30]
-        lines = [p.strip() for p in re.split(r"\n+", text) if len(p.strip()) > 30]
-        blob = blank[0] if blank else text
-        return blank if len(blank) >= 2 else lines if len(lines) >= 2 else [] if len(blob) <= 30 else windows(blob) if len(blob) > 900 else [blob]
-
-    choose = random.Random(6)
-    bank = ["a word ", "x" * 35, "\n", "\n\n", "more text with spaces ", "y" * 500, " "]
-    texts = ["".join(choose.choice(bank) for _ in range(choose.randint(0, 30))) for _ in range(150)] + ["word " * 1000, "z" * 3000, ""]
-    assert values(spark, texts, segment.clause_chunks) == [model(t) for t in texts]
+    first, second = "the first long part, over thirty", "the second long part, over thirty"
+    table = {
+        f"{first}\n\ntiny\n\n\n{second}": [first, second],
+        f"{first}\n{second}\nshort": [first, second],
+        first: [first],
+        f"{first}\n\ntiny": [first],
+        "tiny": [],
+        "": [],
+        "y" * 500: ["y" * 500],
+        "z" * 2000: ["z" * 900, "z" * 900, "z" * 200],
+    }
+    check(spark, table, segment.clause_chunks)
+    texts = ["word " * 1000, "some longer words in between " * 70]
+    for text, chunks in zip(texts, values(spark, texts, segment.clause_chunks)):
+        assert " ".join(chunks) == text.strip() and all(30 < len(c) <= 900 for c in chunks)
+        assert all(len(c) > 450 for c in chunks[:-1])
+
+
+def sentence(name, n):
+    """n words, the first with a capital, the last with a full stop."""
+    return " ".join([name.upper(), *(f"{name}{i}" for i in range(2, n)), f"{name}{n}."])
 
 
 def test_overlap_chunks(spark):
-    def model(text, limit):
-        overlap, out, now = max(50, limit // 10), [], []
-        t = re.sub(r"[^\x20-\x7E\n]", " ", re.sub(r"[ \t]+", " ", re.sub(r"\n{3,}", "\n\n", text))).strip()
-        for sentence in (s.strip() for s in re.split(r"(?<=[.!?])\s+(?=[A-Z])", t) if s.strip()):
-            own = sentence.split()
-            if len(own) > limit:
-                out += [" ".join(own[i : i + limit]) for i in range(0, len(own), limit)]
-            elif len(now) + len(own) > limit:
-                out += [" ".join(now)] if now else []
-                now = now[-overlap:] + own
-            else:
-                now = now + own
-        return out + ([" ".join(now)] if now else [])
-
-    choose = random.Random(7)
-    texts = [" ".join("Word " + "w " * choose.randint(1, 150) + "end." for _ in range(choose.randint(0, 9))) for _ in range(30)]
-    assert values(spark, texts, lambda c: segment.overlap_chunks(c, 100)) == [model(t, 100) for t in texts]
-
-
-@pytest.mark.parametrize("kind", ["extract", "ocr", "legacy", "legacy_few", "blank"])
-def test_simple_splitters(spark, kind):
-    def model(text):
-        if kind in ("extract", "ocr"):
-            flat = [re.sub(" +", " ", p.replace("\n", " ")).strip() for p in (text.split("\n\n") if kind == "extract" else re.split(r"\n\s*\n", text))]
-            return [p for p in flat if (len(p) > 10 if kind == "extract" else len(p) >= 20)]
-        parts, lines = ([p.strip() for p in text.split(sep) if p.strip()] for sep in ("\n\n", "\n"))
-        return lines if kind == "legacy" and not parts or kind == "legacy_few" and len(parts) < 5 else parts
-
-    texts = random_texts(8, ["some words here ", "tiny", "\n", "\n\n", " ", "another part of it"], 60, 20)
-    assert values(spark, texts, lambda c: segment.simple_split(c, kind)) == [model(t) for t in texts]
+    a, b, c, long = sentence("a", 60), sentence("b", 60), sentence("c", 60), sentence("d", 250)
+    last = lambda s, n=50: " ".join(s.split()[-n:])
+    pieces = [" ".join(long.split()[i : i + 100]) for i in (0, 100, 200)]
+    table = {
+        sentence("a", 30) + " " + sentence("b", 30): [sentence("a", 30) + " " + sentence("b", 30)],
+        f"{a} {b} {c}": [a, f"{last(a)} {b}", f"{last(b)} {c}"],
+        f"{a} {long}": [*pieces, a],
+        long: pieces,
+        "": [],
+    }
+    check(spark, table, lambda x: segment.overlap_chunks(x, 100))
+
+
+@pytest.mark.parametrize(
+    "kind, table",
+    [
+        ("extract", {"some words here\nand more\n\ntiny\n\nanother  part": ["some words here and more", "another part"], "": []}),
+        ("ocr", {"some words here\nand more\n \ntiny\n\nanother part of it all": ["some words here and more", "another part of it all"], "under twenty": []}),
+        ("legacy", {"a\nb\n\n c \n\n": ["a\nb", "c"], " \n ": []}),
+        ("legacy_few", {"a\nb\n\nc": ["a", "b", "c"], "a\n\nb\n\nc\n\nd\n\ne\nf": ["a", "b", "c", "d", "e\nf"]}),
+        ("blank", {"a\nb\n\n\n\nc": ["a\nb", "c"], "": []}),
+    ],
+)
+def test_simple_splitters(spark, kind, table):
+    check(spark, table, lambda c: segment.simple_split(c, kind))
 
 
 def test_restructure(spark):
-    words = rules.CONTINUATION_WORDS
-
-    def start(t):
-        first = " ".join(t.split()[:3])
-        return bool(re.match(r"^\d+(\.\d+)*\.?\s+|^\([a-zA-Z0-9]+\)\s+|^[IVX]+\.?\s+|^(?i:ARTICLE|SECTION|CLAUSE|SCHEDULE|APPENDIX|EXHIBIT)\s+", t)) or len(t.split()) >= 3 and first.isupper() and len(first) > 10
-
-    def model(parts):
-        out: list[str] = []
-        for p in parts:
-            if out and not start(p) and (not re.search(r"[.;:)]$", out[-1]) or p[0].islower() or p.split()[0].lower() in words):
-                out[-1] += ("" if out[-1][-1] in " -" else " ") + p
-            else:
-                out.append(p)
-        return out
-
+    table = [
+        (["The fee is due.", "and more is due"], ["The fee is due. and more is due"]),
+        (["open end", "Next words here."], ["open end Next words here."]),
+        (["The fee is due.", "Next words here."], ["The fee is due.", "Next words here."]),
+        (["open end", "(a) one thing"], ["open end", "(a) one thing"]),
+        (["open end", "2. Two parts"], ["open end", "2. Two parts"]),
+        (["hyphen-", "ated word."], ["hyphen-ated word."]),
+        (["Due.", "", "ALL CAPS WORDS HERE"], ["Due.", "ALL CAPS WORDS HERE"]),
+        (["spaced , out", "to( the )end"], ["spaced, out to(the) end"]),
+    ]
+    frame = spark.createDataFrame([(i, j, t) for i, (r, _) in enumerate(table) for j, t in enumerate(r)], "doc_id int, para_idx int, text string")
+    got = by_document(segment.restructure(frame))
+    assert [got[i] for i in range(len(table))] == [t[1] for t in table]
     choose = random.Random(9)
-    bank = ["The fee is due.", "and more is due", "(a) one thing", "open end", "Provided that", "hyphen-", "ALL CAPS WORDS HERE", "Next one;", "2. Two parts"]
-    rows = [[choose.choice(bank) for _ in range(choose.randint(1, 8))] for _ in range(80)]
+    bank = ["The fee is due.", "and more is due", "(a) one thing", "open end", "Provided that", "hyphen-", "Next one;", "2. Two parts"]
+    rows = [[choose.choice(bank) for _ in range(choose.randint(1, 8))] for _ in range(60)]
     frame = spark.createDataFrame([(i, j, t) for i, r in enumerate(rows) for j, t in enumerate(r)], "doc_id int, para_idx int, text string")
-    got: dict[int, list] = {}
-    for r in segment.restructure(frame).orderBy("doc_id", "para_idx").collect():
-        got.setdefault(r["doc_id"], []).append(r["text"])
-    assert [got[i] for i in range(len(rows))] == [model(r) for r in rows]
+    got = by_document(segment.restructure(frame))
+    for i, r in enumerate(rows):
+        assert solid("".join(got[i])) == solid("".join(r))
+        # Numbered and lettered clauses are never merged into what precedes them.
+        assert sum(x in ("(a) one thing", "2. Two parts") for x in r) == sum(x.startswith(("(a) one", "2. Two")) for x in got[i])
