@@ -11,7 +11,8 @@ import pyarrow as pa
 def packed(columns: list[np.ndarray], widths: tuple[int, ...]) -> bytes:
     """Equally long columns of numbers below 256 ** width, byte by byte: bytes that hardly vary stand together and
     compress."""
-    planes = [c.astype("<i8", copy=False).view(np.uint8).reshape(-1, 8)[:, :w].T.tobytes() if c.dtype != np.uint64 else c.view(np.uint8).reshape(-1, 8)[:, :w].T.tobytes() for c, w in zip(map(np.ascontiguousarray, columns), widths)]
+    whole = (c.view(np.uint64) if c.dtype == np.uint64 else c.astype(np.int64) for c in map(np.ascontiguousarray, columns))
+    planes = [c.view(np.uint8).reshape(-1, 8)[:, :w].T.tobytes() for c, w in zip(whole, widths)]
     return pa.compress(b"".join(planes), codec="zstd", asbytes=True)
 
 
@@ -28,6 +29,7 @@ def unpacked(data: bytes, n: int, widths: tuple[int, ...]) -> list[np.ndarray]:
 
 
 def parcels(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """The rows of few, large values."""
+    """The rows of few, large values, one in memory at a time."""
     for batch in batches:
-        yield from zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)))
+        for i in range(batch.num_rows):
+            yield tuple(column[i].as_py() for column in batch.columns)

@@ -34,8 +34,10 @@ GRAMS = (40, 70, 88, LENGTH)
 HOT_SEGMENTS = 2048
 #: Window starts of one vectorised piece (places take 22 bits), and text bytes of one suffix array.
 PIECE, SHARD_BYTES = 2_000_000, 1_000_000
+#: Text bytes anchored at once: some 150 bytes of arrays each.
+STEP = 800_000
 #: Bytes of text whose segments share a bucket, on average; bytes of text whose segments one parcel of a bucket holds.
-BUCKET_BYTES, PARCEL_BYTES = 16_000_000, 16_000_000
+BUCKET_BYTES, PARCEL_BYTES = 8_000_000, 8_000_000
 _PLACE = np.uint64((1 << 22) - 1)
 
 
@@ -132,7 +134,7 @@ def segments(texts: DataFrame, gram: int, buckets: int, bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in steps(batches):
+        for batch in steps(batches, limit=STEP):
             ids, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
             for data, starts, lengths, offset in long_pieces(batch.column(2)):
                 doc, low, count, anchor, one, two = anchored(data, starts, lengths, gram)
