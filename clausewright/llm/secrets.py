@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -12,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausewright.llm.automaton import Dfa, Parser, determinise, reverse
-from clausewright.llm.common import text_bytes, texts
+from clausewright.llm.common import steps, text_bytes, texts
 
 
 def either_case(word: str) -> str:
@@ -22,18 +21,16 @@ def either_case(word: str) -> str:
 @dataclass(frozen=True)
 class Rule:
     """body: the expression (at least one byte). prefix: what precedes the secret itself, if the length counts only
-    what follows it. least: shorter finds are consumed, then dropped. trigger: begins every match of body; by default
-    the body without the open-ended run at its end, which keeps the states of the combined automaton few."""
+    what follows it. least: shorter finds are consumed, then dropped."""
 
     kind: str
     body: str
     least: int = 0
     prefix: str = ""
-    trigger: str = ""
 
-    def trigger_tree(self):
-        if self.trigger:
-            return Parser(self.trigger).parse()
+    def closed(self):
+        """The body's tree with an open-ended run at its end cut to its least length: a text holds a match of the one
+        if it holds one of the other, and the combined automaton has no states for runs that cross each other."""
         tree = Parser(self.body).parse()
         if tree[0] == "cat" and tree[1] and tree[1][-1][0] == "rep" and tree[1][-1][3] is None:
             _, item, least, _ = tree[1][-1]
@@ -53,82 +50,63 @@ RULES = (
     Rule("slack", "xox[abprs]-[A-Za-z0-9-]+", 15),
     Rule("google", "AIza[A-Za-z0-9_-]+", 39),
     Rule("stripe", "[rs]k_live_[A-Za-z0-9]+", 24),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40, trigger="eyJ[A-Za-z0-9_-]"),
-    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", trigger="-----BEGIN "),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40),
+    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
 BASE_KINDS = ("assign", "access", "hex")
 
 
 class Scanner:
-    """Finds the leftmost, longest, non-overlapping matches of each rule.
+    """Finds the leftmost, longest, non-overlapping matches of each rule, in time linear in the text.
 
-    One pass of the combined automaton notes where the triggers of which rules end. A text in which none does (nearly
-    all) needs nothing more. For a rule that fired, its mirrored automaton marks the places where triggers begin, and
-    the anchored one gives each chosen place its longest end.
+    One pass of the combined automaton tells which rules match at all; nearly all texts need nothing more. For each of
+    those rules its mirrored automaton, run once from the end, marks the places where a match begins, and the anchored
+    one gives each chosen place its longest end. No place that begins no match is ever walked from.
     """
 
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
-        triggers = [r.trigger_tree() for r in rules]
-        self.all = determinise(triggers, floating=True)
-        self.ahead = [determinise([Parser(r.body).parse()], floating=False) for r in rules]
-        self.back = [determinise([reverse(t)], floating=False) for t in triggers]
+        self.all = determinise([r.closed() for r in rules], floating=True)
+        bodies = [Parser(r.body).parse() for r in rules]
+        self.ahead = [determinise([b], floating=False) for b in bodies]
+        self.back = [determinise([reverse(b)], floating=True) for b in bodies]
         self.prefix = [determinise([Parser(r.prefix).parse()], floating=False) if r.prefix else None for r in rules]
 
-    def ends(self, data: bytes) -> dict[int, list[int]]:
-        """Rule number to the ends of its triggers, in order."""
+    def matching(self, data: bytes) -> list[int]:
+        """Numbers of the rules that match somewhere."""
         table, accepts, accepting = self.all.next, self.all.accepts, self.all.accepting
-        state, found = 0, []
-        for i, byte in enumerate(data):
+        state, found = 0, 0
+        for byte in data:
             state = table[state + byte]
             if state >= accepting:
-                found.append((i + 1, accepts[state >> 8]))
-        by_rule: dict[int, list[int]] = {}
-        for end, bits in found:
-            for k in range(len(self.rules)):
-                if bits >> k & 1:
-                    by_rule.setdefault(k, []).append(end)
-        return by_rule
+                found |= accepts[state >> 8]
+        return [k for k in range(len(self.rules)) if found >> k & 1]
+
+    def starts(self, data: bytes, k: int) -> list[int]:
+        """Where matches of a rule begin, in order."""
+        table, accepting = self.back[k].next, self.back[k].accepting
+        state, found, at = 0, [], len(data)
+        for byte in reversed(data):
+            at -= 1
+            state = table[state + byte]
+            if state >= accepting:
+                found.append(at)
+        return found[::-1]
 
     def spans(self, data: bytes) -> list[tuple[int, int, int]]:
         """(start, rule number, end) in bytes, in order."""
         out = []
-        for k, ends in self.ends(data).items():
+        for k in self.matching(data):
             rule, done = self.rules[k], 0
-            for start in sorted(self.starts(data, k, ends)):
+            for start in self.starts(data, k):
                 if start < done:
                     continue
-                end = longest(self.ahead[k], data, start)
-                if end == start:
-                    continue
-                done = end
+                done = end = longest(self.ahead[k], data, start)
                 body = start if self.prefix[k] is None else longest(self.prefix[k], data, start)
                 if end - body >= rule.least:
                     out.append((start, k, end))
         return sorted(out)
 
-    def starts(self, data: bytes, k: int, ends: list[int]) -> set[int]:
-        """Where triggers that end at `ends` begin: one walk backwards, skipping from island to island of ends."""
-        table, accepting, dead = self.back[k].next, self.back[k].accepting, self.back[k].dead
-        starts: set[int] = set()
-        states: set[int] = set()
-        waiting = set(ends)
-        at = ends[-1]
-        while at > 0:
-            if at in waiting:
-                states.add(0)
-            at -= 1
-            byte = data[at]
-            states = {s for x in states if (s := table[x + byte]) != dead}
-            if any(s >= accepting for s in states):
-                starts.add(at)
-            if not states:
-                i = bisect_right(ends, at) - 1
-                if i < 0:
-                    break
-                at = ends[i]
-        return starts
-
 
 def longest(dfa: Dfa, data: bytes, start: int) -> int:
     """End of the longest match from `start`, or `start`."""
@@ -165,13 +143,14 @@ def text_spans(scan: Scanner, data: bytes) -> list[tuple[int, int, int]]:
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per row of docs: doc_id, spans array of (kind, start, end) in code points, ends exclusive, ordered by
     start and then by the rules' order. A null text is empty; an empty table gives none; repeated rows give repeated
-    results; other columns of docs are not read. Texts of any length are scanned whole, in memory one at a time."""
+    results; other columns of docs are not read. Texts of any length are scanned whole, one step at a time in memory and
+    in linear time."""
 
     def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = scanner(rules)
         kind = [r.kind for r in rules]
         out = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in steps(batches):
             rows = [[{"kind": kind[k], "start": s, "end": e} for s, k, e in text_spans(scan, x)] for x in text_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, out)], ["doc_id", "spans"])
 
@@ -184,7 +163,7 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, .
 
     def redact_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = scanner(rules)
-        for batch in batches:
+        for batch in steps(batches):
             column = batch.schema.get_field_index("text")
             done = []
             for data in batch.column(column).cast(pa.large_binary()).to_pylist():
