@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -13,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.llm.common import text_bytes, texts
+from clausewright.llm.common import steps, text_bytes, texts
 from clausewright.llm.words import gaps, padded, plain_spans, plain_words
 
 #: Phrases whose words must stand consecutively (fixed values of the contract).
@@ -72,44 +73,33 @@ class NoticeFinder:
             self.seeds.add_word(piece, (len(piece), found))
         self.seeds.make_automaton()
 
-    def candidates(self, joined: bytes) -> dict[int, list[tuple[int, int]]]:
-        """Notice number to the ranges of `joined` that hold every occurrence, overlapping ranges merged."""
-        ranges: dict[int, list[list[int]]] = {}
+    def candidates(self, joined: bytes) -> set[tuple[int, int, int]]:
+        """(notice number, start, end) of ranges of `joined`, one of which holds each occurrence whole. Every range is
+        little longer than its notice, so two occurrences apart from each other never share one."""
+        ranges = set()
         for end, (length, found) in self.seeds.iter(joined.decode("latin-1")):
             for k, offset in found:
                 n = self.notices[k]
                 start = end + 1 - length - offset - n.edits
-                stop = start + len(n.words) + 2 * n.edits
-                ranges.setdefault(k, []).append([max(0, start), min(len(joined), stop)])
-        merged: dict[int, list[tuple[int, int]]] = {}
-        for k, own in ranges.items():
-            own.sort()
-            out = [own[0]]
-            for a, b in own[1:]:
-                if a < out[-1][1]:
-                    out[-1][1] = max(out[-1][1], b)
-                else:
-                    out.append([a, b])
-            merged[k] = [(a, b) for a, b in out]
-        return merged
+                ranges.add((k, max(0, start), min(len(joined), start + len(n.words) + 2 * n.edits)))
+        return ranges
 
     def find(self, joined: bytes) -> list[tuple[int, int, int, int]]:
         """(start, end, notice number, edits) of the best matches in `joined`. Of matches that overlap, the one with the
-        smaller share of edits stays, then the longer, then the earlier notice."""
-        found = []
-        for k, ranges in self.candidates(joined).items():
-            left = list(ranges)
-            while left:
-                # The best match of a range may have others on either side.
-                a, b = left.pop()
-                if m := self.patterns[k].search(joined, a, b):
-                    found.append((sum(m.fuzzy_counts) / len(self.notices[k].words), -len(self.notices[k].words), k, m.start(), m.end(), sum(m.fuzzy_counts)))
-                    left += [(a, m.start()), (max(m.end(), a + 1), b)]
+        smaller share of edits stays, then the longer, then the earlier notice, then the earlier place."""
+        found = set()
+        for k, a, b in self.candidates(joined):
+            if m := self.patterns[k].search(joined, a, b):
+                edits = sum(m.fuzzy_counts)
+                found.add((edits / len(self.notices[k].words), -len(self.notices[k].words), k, m.start(), m.end(), edits))
+        starts: list[int] = []
         kept: list[tuple[int, int, int, int]] = []
         for _, _, k, start, end, edits in sorted(found):
-            if all(end <= s or start >= e for s, e, _, _ in kept):
-                kept.append((start, end, k, edits))
-        return sorted(kept)
+            i = bisect_left(starts, end)
+            if not i or kept[i - 1][1] <= start:
+                starts.insert(i, start)
+                kept.insert(i, (start, end, k, edits))
+        return kept
 
 
 @lru_cache(4)
@@ -120,9 +110,11 @@ def finder(notices: tuple[Notice, ...]) -> NoticeFinder:
 def phrase_starts(joined: bytes, phrase: str) -> list[int]:
     """Word numbers at which the phrase's words stand consecutively."""
     sought, out = b" " + phrase.encode() + b" ", []
-    at = joined.find(sought)
+    at, counted, words = joined.find(sought), 0, 0
     while at >= 0:
-        out.append(joined.count(b" ", 0, at))
+        words += joined.count(b" ", counted, at)
+        counted = at
+        out.append(words)
         at = joined.find(sought, at + 1)
     return out
 
@@ -133,13 +125,14 @@ SCHEMA = "doc_id long, n_words long, base array<struct<label:string,word:long>>,
 def find_licenses(docs: DataFrame, phrases: tuple[tuple[str, str], ...] = PHRASES, notices: tuple[Notice, ...] = NOTICES) -> DataFrame:
     """One row per row of docs: doc_id, n_words, base (each place of a phrase, by its first word) and notices (verified
     fuzzy spans in code points of the original, ends exclusive, with edits and score = 1 - edits / length).
-    A null text is empty; empty tables give none; repeated rows repeat; other columns are not read."""
+    A null text is empty; texts of any length are read whole, one step at a time; an empty table gives no rows; repeated
+    rows repeat; other columns are not read."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = finder(notices)
         base_type = pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64())]))
         notice_type = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32()), ("score", pa.float64())]))
-        for batch in batches:
+        for batch in steps(batches):
             counts, base, fuzzy = [], [], []
             for data in text_bytes(batch.column(1)):
                 words = plain_words(data)
@@ -169,7 +162,8 @@ def original_spans(search: NoticeFinder, data: bytes, joined: bytes) -> list[dic
 
 
 def license_digest(docs: DataFrame) -> DataFrame:
-    """The contract's columns of find_licenses. score: 1 if a base phrase stands in the text, else the best notice's, else 0."""
+    """The contract's columns of find_licenses, and spans: the verified notices as label:start:end:edits, by start,
+    comma-joined. score: 1 if a base phrase stands in the text, else the best notice's, else 0."""
     label = lambda x: x["label"]
     word = F.transform("base", lambda x: x["word"])
     base, fuzzy = F.transform("base", label), F.transform("notices", label)
@@ -183,4 +177,5 @@ def license_digest(docs: DataFrame) -> DataFrame:
         F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union(base, fuzzy)), ",").alias("labels"),
         F.when(F.size("base") > 0, 1.0).otherwise(best).alias("score"),
+        F.array_join(F.transform("notices", lambda x: F.concat_ws(":", x["label"], *(x[c].cast("string") for c in ("start", "end", "edits")))), ",").alias("spans"),
     )
