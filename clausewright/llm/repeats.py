@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.llm.common import RollingHash, joined_bytes, mix64, numbered, removed, steps, text_bytes, written
+from clausewright.llm.common import RollingHash, joined_bytes, merged, mix64, numbered, removed, steps, text_bytes, written
 from clausewright.llm.packing import packed, parcels, unpacked
 from clausewright.llm.suffixes import common_prefixes, suffix_array
 
@@ -31,7 +31,7 @@ LENGTH = 100
 #: windows, of which an anchor has one.
 GRAMS = (40, 70, 88, LENGTH)
 #: Different segments of one anchor beyond which it is divided.
-HOT_SEGMENTS = 2048
+HOT_SEGMENTS = 256
 #: Window starts of one vectorised piece (places take 22 bits), and text bytes of one suffix array.
 PIECE, SHARD_BYTES = 2_000_000, 1_000_000
 #: Text bytes anchored at once: some 150 bytes of arrays each.
@@ -216,19 +216,6 @@ def by_document(found: DataFrame) -> DataFrame:
     return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, PLACES)
 
 
-def merged(doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ranges sorted by document and start, with those that meet or overlap joined."""
-    if not len(doc):
-        return doc, low, high
-    # Documents are put one after another, so that one running maximum serves all.
-    number = np.cumsum(np.concatenate(([0], (doc[1:] != doc[:-1]).astype(np.int64))))
-    shift = number * (int(high.max()) + 2)
-    reach = np.maximum.accumulate(high + shift)
-    fresh = np.concatenate(([True], low[1:] + shift[1:] > reach[:-1]))
-    last = np.append(np.flatnonzero(fresh)[1:] - 1, len(doc) - 1)
-    return doc[fresh], low[fresh], (reach - shift)[last]
-
-
 def listed(ids: np.ndarray, doc: np.ndarray, columns: dict[str, np.ndarray]) -> pa.Array:
     """For each of the sorted ids the rows of its documents, as a list of structs; doc is sorted."""
     inner = pa.StructArray.from_arrays([pa.array(c.astype(np.int64)) for c in columns.values()], list(columns))
