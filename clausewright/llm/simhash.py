@@ -165,31 +165,47 @@ def links(distinct: DataFrame) -> DataFrame:
     return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(search, "u long, v long")
 
 
+def components_of(found: DataFrame) -> DataFrame:
+    """(fp, component) of the distinct fingerprints of found: nodes within RADIUS bits are linked, and component is one
+    fingerprint of those reachable."""
+    distinct = cut(found.select("fp").distinct())
+    components = connected_components(links(distinct.select(F.col("fp").alias("rep"), "fp")))
+    return distinct.join(components, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id.
 
-    Equal fingerprints are one node, named by their smallest doc_id; nodes within RADIUS bits are linked, and the
-    component is the smallest doc_id reachable. Texts without words have fingerprint zero and are linked like others.
-    Rows with a null doc_id get the component of their fingerprint (null if only such rows have it, as they name no
-    node); repeated rows repeat; an empty table gives no rows; other columns are not read."""
+    Equal fingerprints are one node; nodes within RADIUS bits are linked, and the component is named by the smallest
+    doc_id of any row in it. Rows that share a doc_id and differ in text are nodes of their own: the id links nothing.
+    Texts without words have fingerprint zero and are linked like others. Rows with a null doc_id get the component of
+    their fingerprint (null if only such rows are in it, as they name none); texts of any length are read whole;
+    repeated rows repeat; an empty table gives no rows; other columns are not read."""
     found = cut(fingerprints(docs))
-    distinct = cut(found.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    components = connected_components(links(distinct))
-    named = distinct.join(components, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    components = components_of(found)
+    smallest = found.groupBy("fp").agg(F.min("doc_id").alias("least")).join(components, "fp").groupBy("component").agg(F.min("least").alias("component_id"))
+    named = components.join(smallest, "component").select("fp", "component_id")
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return found.join(named, "fp", "left").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: the one with the smallest doc_id. Where doc_ids repeat, texts that
-    share one are told apart, and one row of each component stays. Rows without a doc_id stay. All columns stay."""
-    if docs.groupBy(F.col("doc_id").alias("_id")).count().filter("count > 1 AND _id IS NOT NULL").isEmpty():
-        kept = near_duplicates(docs).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-        known = docs.join(kept, docs["doc_id"].cast("long") == kept["_kept"], "left_semi")
-        return known.unionByName(docs.filter("doc_id IS NULL"))
-    rows = docs.filter("doc_id IS NOT NULL").withColumn("_row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    groups = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id").distinct()
-    ids = rows.select("_row", F.col("doc_id").cast("long").alias("_id")).distinct()
-    kept = groups.join(ids, "_row").groupBy("component_id").agg(F.min(F.struct("_id", "_row")).alias("least")).select(F.col("least._row").alias("_row"))
-    known = rows.dropDuplicates(["_row"]).join(kept, "_row", "left_semi").drop("_row")
-    return known.unionByName(docs.filter("doc_id IS NULL"))
+    """docs with one document of each component: the one with the smallest doc_id, and where rows share that, the one
+    whose text has the smallest SHA-256, whatever the order of the rows. Rows without a doc_id stay. Of rows that repeat
+    id and text (null: empty) one stays. All columns stay."""
+    ids, digest = F.col("doc_id").cast("long"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    known = docs.filter("doc_id IS NOT NULL")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            found = np.array([fingerprint(x.lower().split()) for x in text_bytes(batch.column(1))], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found.view(np.int64))], ["doc_id", "digest", "fp"])
+
+    nodes = cut(texts(known, digest.alias("digest")).mapInArrow(run, "doc_id long, digest string, fp long"))
+    least = nodes.join(components_of(nodes), "fp").groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("least"))
+    chosen = least.select(F.col("least.doc_id").alias("kept_id"), F.col("least.digest").alias("kept"))
+    kept = known.join(chosen, (ids == chosen["kept_id"]) & (digest == chosen["kept"]), "left_semi")
+    if not nodes.groupBy("doc_id", "digest").count().filter("count > 1").limit(1).isEmpty():
+        extra = "_" * (1 + max(map(len, docs.columns)))
+        kept = kept.withColumn(extra, digest).dropDuplicates(["doc_id", extra]).drop(extra)
+    return kept.unionByName(docs.filter("doc_id IS NULL"))
