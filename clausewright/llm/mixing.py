@@ -82,17 +82,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
     Within a source, documents stand in order of (bucket, size, doc_id, digest of the text); each is expected `rate`
     times, and gets one copy for every integer that the running sum of rates, begun at the source's random offset,
     crosses. Within a bucket that order spreads the copies over all sizes, so the words taken come near the target.
-    Buckets are dealt by a digest of doc_id and their number follows the source's rows, so no task gathers a source.
+    Buckets are dealt by a digest of doc_id and text and their number follows the source's rows, so no task gathers a
+    source, nor the rows of one id.
     Null sources are one source, the last; null texts have size 0; a source without words has target 0 and no copies;
     rows alike in all columns are told apart by nothing, and any of them may get the copy. Reruns agree. Columns of docs
     may have any names; those named like an added one give way to it."""
     kept = [c for c in docs.columns if c.lower() not in ADDED]
     prefix, rows = own_prefix(kept), docs.select(*kept)
-    return _deal(sized(rows, True, prefix), sized(docs.select("source", "text"), False, prefix), kept, prefix, weights, most, seed)
+    return _deal(sized(rows, True, prefix), sized(docs.select("doc_id", "source", "text"), False, prefix), kept, prefix, weights, most, seed)
 
 
 def _deal(rows: DataFrame, sizes: DataFrame, kept: list[str], prefix: str, weights: tuple[int, ...], most: int, seed: int) -> DataFrame:
-    """rows and sizes: as made by sized() with this prefix, the second with at least the source."""
+    """rows and sizes: as made by sized() with this prefix, the second with doc_id and source at least."""
     fresh = lambda name: prefix + name
     size, bucket, label = map(fresh, ("size", "bucket", "label"))
     source = F.col("source").cast("string")
@@ -101,10 +102,10 @@ def _deal(rows: DataFrame, sizes: DataFrame, kept: list[str], prefix: str, weigh
     place_in = lambda df: (
         df.join(targets, source.eqNullSafe(F.col(fresh("source"))))
         .withColumn(label, F.coalesce(F.concat(F.lit("s:"), source), F.lit("null")))
-        .withColumn(bucket, F.coalesce(_digits(F.col("doc_id").cast("string")), F.lit(0)) % F.ceil(F.col(fresh("n_docs")) / BUCKET_ROWS))
+        .withColumn(bucket, _digits(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), fresh("tie"))) % F.ceil(F.col(fresh("n_docs")) / BUCKET_ROWS))
     )
     # Rows before each bucket of a source: from counts of the buckets alone.
-    counts = place_in(rows.select("doc_id", "source")).groupBy(label, bucket).agg(F.count(F.lit(1)).alias(fresh("rows")))
+    counts = place_in(sizes.select("doc_id", "source", fresh("tie"))).groupBy(label, bucket).agg(F.count(F.lit(1)).alias(fresh("rows")))
     earlier = Window.partitionBy(label).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(F.col(label).alias(fresh("l")), F.col(bucket).alias(fresh("b")), F.coalesce(F.sum(fresh("rows")).over(earlier), F.lit(0)).alias(fresh("before")))
     within = Window.partitionBy(label, bucket).orderBy(size, F.col("doc_id").asc_nulls_first(), fresh("tie"))
@@ -147,7 +148,7 @@ WITH sized AS (
 ), dealt AS (
   SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size::DOUBLE ELSE 0.0 END AS rate,
     coalesce('s:' || d.source, 'null') AS label,
-    coalesce(('0x' || left(md5(doc_id::VARCHAR), 7))::BIGINT, 0) % ceil(t.n_docs / {BUCKET_ROWS}.0)::BIGINT AS bucket
+    ('0x' || left(md5(concat(coalesce(doc_id::VARCHAR, ''), ':', tie)), 7))::BIGINT % ceil(t.n_docs / {BUCKET_ROWS}.0)::BIGINT AS bucket
   FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
 ), placed AS (
   SELECT *, row_number() OVER (PARTITION BY label ORDER BY bucket, size, doc_id NULLS FIRST, tie) AS place,
