@@ -62,15 +62,19 @@ class Space:
         return unit(unit(damped(counts) * self.idf) @ self.directions)
 
     def vote(self, vectors: np.ndarray) -> np.ndarray:
-        """Similarity-weighted share of label 1 among the nearest; the prior where nothing is similar."""
+        """Share of label 1 among the NEIGHBOURS most similar labelled vectors, each weighed by the fourth power of its
+        similarity; the prior where nothing is similar. Ties at the last place go to the earlier vectors of the sample,
+        which is in order of content."""
         scores = np.empty(len(vectors))
         k = min(NEIGHBOURS, len(self.labels))
         for at in range(0, len(vectors), BLOCK):
             similar = vectors[at : at + BLOCK] @ self.vectors.T
-            near = np.argpartition(-similar, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(similar, near, axis=1), 0.0).astype(np.float64) ** 4
+            least = -np.partition(-similar, k - 1, axis=1)[:, k - 1 : k]
+            above, level = similar > least, similar == least
+            near = above | level & (np.cumsum(level, axis=1) <= k - above.sum(axis=1, keepdims=True))
+            weight = np.where(near, np.maximum(similar, 0.0).astype(np.float64) ** 4, 0.0)
             total = weight.sum(axis=1)
-            scores[at : at + BLOCK] = np.where(total > 1e-9, (weight * self.labels[near]).sum(axis=1) / np.maximum(total, 1e-9), self.prior)
+            scores[at : at + BLOCK] = np.where(total > 1e-9, weight @ self.labels / np.maximum(total, 1e-9), self.prior)
         return scores
 
 

@@ -14,7 +14,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Stands for the white space before a pre-token, as in the vocabulary's own pieces.
 MARK = "▁"
 #: A pre-token's count is kept between batches; the trie starts afresh beyond so many nodes (a bound on memory alone).
-TRIE_NODES = 400_000
+TRIE_NODES = 1_000_000
 #: Characters of a pre-token beyond which it is scored by itself, outside the trie.
 LONG = 1000
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -14,6 +15,7 @@ from clausewright.llm.decontaminate import contamination_digest, drop_contaminat
 from clausewright.llm.licenses import NOTICES, PHRASES, finder, find_licenses, license_digest
 from clausewright.llm.secrets import BASE_KINDS, RULES, find_secrets, longest, redact_secrets, scanner, secret_digest, text_spans
 from clausewright.llm.tokens import MARK, Trie, count_tokens, load_pieces
+from tests.llm.plain import plain_contamination, plain_secrets, plain_words
 
 SCHEMA = "doc_id long, text string, kind string, start long, spans string"
 
@@ -33,15 +35,6 @@ def test_automaton_agrees_with_regular_expressions(pattern):
         assert longest(dfa, text.encode(), 0) == (match.end() if match else 0), text
 
 
-def plain_secrets(text):
-    assign = r"((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
-    found = [(m.start(), 0, m.end()) for m in re.finditer(assign, text) if len(m[2]) >= 6]
-    for k, rule in list(enumerate(RULES))[1:]:
-        body = "[0-9a-f]+" if rule.kind == "hex" else rule.body
-        found += [(m.start(), k, m.end()) for m in re.finditer(body, text) if len(m[0]) >= rule.least]
-    return sorted(found)
-
-
 def test_secrets_of_random_texts():
     parts = ["token", "TOKEN", "secret", "passwd", "api_key", "apikey", " = ", "=", ":", '"', "'", "abc", "abcdef", "é", "AKIA", "ABCDEFGH01234567", "0123456789abcdef01234567", " ", "ghp_", "0123456789" * 4, "eyJ", ".", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "xoxb-", "AIza", "_", "\n"]
     choose = random.Random(4)
@@ -68,13 +61,6 @@ def test_redaction_and_empty_table(spark):
     assert find_secrets(docs.filter("doc_id < 0")).count() == 0
 
 
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-
-
-def plain_words(text):
-    return WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
-
-
 def test_license_query(spark, small):
     docs = [d["text"] for d in table(spark, small, "documents").select("text").collect()]
     texts = [None, "", "CC BY cc-by", "Released under teh MIT Licence.", "Licensed under the Apache License, Version 2.0.", "gnu general  public\nlicense", "é" * 9, *docs]
@@ -87,20 +73,42 @@ def test_license_query(spark, small):
         assert got[i]["base_labels"] == ",".join(sorted({p[1] for p in places}))
         assert set(filter(None, got[i]["base_labels"].split(","))) <= set(got[i]["labels"].split(","))
         assert 0 <= got[i]["score"] <= 1
-    assert got[3]["labels"] == "mit" and 0 < got[3]["score"] < 1
+    assert got[3]["labels"] == "mit" and 0 < got[3]["score"] < 1 and got[3]["spans"] == "mit:0:30:3"
     assert got[4]["score"] == 1.0 and got[6]["score"] == 0.0
 
 
-def test_notice_search_misses_nothing_within_its_edits():
-    search, choose = finder(NOTICES), random.Random(8)
+def least_edits(pattern, text):
+    """The least edits of `pattern` against any part of `text` (the table of distances with a free start)."""
+    row = list(range(len(pattern) + 1))
+    best = row[-1]
+    for c in text:
+        corner, row[0] = 0, 0
+        for i, p in enumerate(pattern, 1):
+            corner, row[i] = row[i], min(row[i] + 1, row[i - 1] + 1, corner + (p != c))
+        best = min(best, row[-1])
+    return best
+
+
+def test_notices_against_the_edit_distance():
+    choose = random.Random(8)
     for n in NOTICES:
-        for _ in range(20):
+        search = finder((n,))
+        for _ in range(25):
             text = list(n.words)
-            for _ in range(choose.randint(0, n.edits)):
+            for _ in range(choose.randint(0, n.edits + 2)):
                 at, how = choose.randrange(len(text)), choose.random()
                 text[at : at + (how < 0.7)] = [] if how < 0.3 else ["z"]
-            joined = (" on the " + "".join(text) + " we ").encode()
-            assert any(search.notices[k].label == n.label for *_, k, _ in search.find(joined)) or any(e < n.edits for *_, e in search.find(joined)), joined
+            joined = " on the " + "".join(text) + " we "
+            found, least = search.find(joined.encode()), least_edits(n.words, joined)
+            assert [e for *_, e in found] == ([least] if least <= n.edits else []), joined
+
+
+def test_many_notices_each_once():
+    search = finder(NOTICES)
+    for phrase, edits in (("mozila public licence version 2 0 mozilla public license version 2 0", [2, 0]), ("released undr the mit licence released under the mit license", [2, 0])):
+        assert [e for *_, e in search.find(f" {phrase} ".encode())] == edits
+    many = b" " + b"released under teh mit licence " * 1000
+    assert len(search.find(many)) == 1000
 
 
 def test_license_spans_are_code_points(spark):
@@ -109,20 +117,6 @@ def test_license_spans_are_code_points(spark):
     assert text[spans[0]["start"] : spans[0]["end"]].startswith("Released under")
 
 
-def plain_contamination(text, items, size=10):
-    words = plain_words(text)
-    hit, found = set(), set()
-    for item, body in items:
-        own = plain_words(body)
-        for i in range(max(1, len(own) - size + 1) if own else 0):
-            window = own[i : i + size]
-            for w in range(len(words) - len(window) + 1):
-                if words[w : w + len(window)] == window:
-                    hit.update(range(w, w + len(window)))
-                    found.add(str(item))
-    return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
-
-
 @pytest.mark.parametrize("block", [8_000_000, 40])
 def test_contamination(spark, block):
     choose = random.Random(6)
@@ -182,3 +176,38 @@ def test_notices_before_a_better_one_are_found():
     found = licenses.finder(licenses.NOTICES).find(joined)
     assert [joined[a:b].strip() for a, b, _, _ in found] == [b"released under the mit licence", b"released under the mit license", b"released under the mit licence"]
     assert [e for _, _, _, e in found] == [1, 0, 1]
+
+
+def test_secret_scans_are_linear():
+    """A run that begins nothing is walked once: quadratic walks would take hours."""
+    scan = scanner(RULES)
+    began = time.perf_counter()
+    assert scan.spans(b"eyJa" * 250_000) == [] and scan.spans(b"-----BEGIN " * 90_000) == []
+    assert len(scan.spans(b"token = abcdef1 " * 60_000)) == 60_000
+    assert time.perf_counter() - began < 20
+
+
+def test_scans_of_odd_tables(spark):
+    empty, bench = rows(spark, []), spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    for scan in (secret_digest, license_digest, count_tokens, lambda d: contamination_digest(d, bench)):
+        assert scan(empty).count() == 0
+        twice = scan(rows(spark, ["a b c " * 50_000, None]).unionByName(rows(spark, ["a b c " * 50_000, None])))
+        assert sorted(twice.groupBy("doc_id").count().collect()) == [(0, 2), (1, 2)]
+    assert contamination_digest(rows(spark, ["a b c " * 50_000]), bench).first()["n_hit"] == 150_000
+
+
+def test_benchmark_bound(spark, monkeypatch):
+    from clausewright.llm import decontaminate
+
+    monkeypatch.setattr(decontaminate, "MOST_BYTES", 10)
+    with pytest.raises(ValueError, match="benchmark"):
+        find_contamination(rows(spark, ["a"]), spark.createDataFrame([(1, "many words of a benchmark")], "item_id long, text string"))
+
+
+def test_long_tokens_outside_the_trie():
+    pieces = load_pieces()
+    trie, choose = Trie(pieces), random.Random(3)
+    word = MARK + "".join(choose.choice("abcdeé漢ing") for _ in range(5000))
+    assert trie.count(word) == plain_tokens(word, trie) and len(trie.children) == 1
+    for n in (5, 40, 999):
+        assert trie.count(word[:n]) == trie.count_long(word[:n])
