@@ -6,12 +6,11 @@ the shared folder in spark.checkpoint.dir and reads it again, so that a lost exe
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausewright.llm.common import table
+from clausewright.llm.common import removed, shared_folder, table
 from clausewright.llm.decontaminate import drop_contaminated
 from clausewright.llm.mixing import mixed_documents
 from clausewright.llm.rules import keep_quality
@@ -46,25 +45,18 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality), ("simhash_near_dedup", near_duplicates), ("benchmark_decontamination", leaks), ("secret_scans", secrets), ("source_mixing", mixture)]
 
-#: A trained classifier and fingerprint components are beyond SQL; tests hold run() against a brute-force version.
+#: A trained classifier and fingerprint components are beyond SQL; a test holds run() against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="clausewright-")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, last = table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-        if i:
-            _remove(spark, f"{folder}/{i - 1}-{STAGES[i - 1][0]}")
+        if last is not None:
+            removed(spark, last)
+        last = docs
     return docs
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    """Deletes a stage's result that has been read for the last time, on whatever file system it is."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
