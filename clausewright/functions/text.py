@@ -13,6 +13,8 @@ from clausewright import rules
 
 #: What Python's str.strip() and \s take for white space, as a Java class.
 SPACE = r"[\s\x1c-\x1f\x85\xa0  -     　]"
+#: The same as a set of characters, for trims: a regular expression would try its end at every run of them.
+SPACE_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"
 
 
@@ -21,7 +23,7 @@ def sub(text: Column, pattern: str, replacement: str) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return sub(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
 
 def strip_lines(text: Column) -> Column:

@@ -87,10 +87,8 @@ def grouped(found: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "clause_type").agg(F.array_sort(F.collect_list(F.struct("para_idx", "text", "confidence"))).alias("clauses"))
 
 
-def hybrid(ruled: DataFrame, learned: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """A sure rule decides; else the model, if it is surer than the rule. ruled: keys, label, confidence;
-    learned: keys, ml_label, ml_confidence. Keyed, so blanks never shift results."""
-    both = ruled.join(learned, ["doc_id", "para_idx"], "left")
+def judged(both: DataFrame, threshold: float) -> DataFrame:
+    """C7's decision on rows with label, confidence, ml_label and ml_confidence."""
     sure, surer = F.col("confidence") >= threshold, F.coalesce(F.col("ml_confidence"), F.lit(0.0)) > F.col("confidence")
     return both.select(
         "doc_id",
@@ -103,13 +101,24 @@ def hybrid(ruled: DataFrame, learned: DataFrame, threshold: float = 0.75) -> Dat
     )
 
 
+def hybrid(ruled: DataFrame, learned: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """A sure rule decides; else the model, if it is surer than the rule. ruled: keys, label, confidence;
+    learned: keys, ml_label, ml_confidence. Keyed, so blanks never shift results."""
+    return judged(ruled.join(learned, ["doc_id", "para_idx"], "left"), threshold)
+
+
 def cascade(ruled: DataFrame, model, threshold: float = 0.75) -> DataFrame:
-    """C7 with a costly model: only paragraphs whose rule is unsure reach `model` (DataFrame to keys, ml_label,
-    ml_confidence). The split is a plan, not a condition: a Python function inside WHEN would run for every row."""
-    unsure = ruled.filter(F.col("confidence") < threshold)
-    sure = ruled.filter(F.col("confidence") >= threshold)
-    none = sure.select("doc_id", "para_idx", F.lit(None).cast("string").alias("ml_label"), F.lit(None).cast("double").alias("ml_confidence"))
-    return hybrid(sure, none, threshold).unionByName(hybrid(unsure, model(unsure), threshold))
+    """C7 with a costly model: only paragraphs whose rule is unsure reach `model`, which adds ml_label and ml_confidence
+    to the rows it is given. The split is a plan, not a condition: a Python function inside WHEN would run for every
+    row. Nothing is joined."""
+    unsure, sure = ruled.filter(F.col("confidence") < threshold), ruled.filter(F.col("confidence") >= threshold)
+    unasked = sure.withColumn("ml_label", F.lit(None).cast("string")).withColumn("ml_confidence", F.lit(None).cast("double"))
+    return judged(unasked, threshold).unionByName(judged(model(unsure), threshold))
+
+
+def prediction(label: Column, score: Column) -> Column:
+    """A prediction as callers get it: (clause_type, confidence to 4 places)."""
+    return F.struct(label.alias("clause_type"), F.round(score.cast("double"), 4).alias("confidence"))
 
 
 def statistics(found: DataFrame, label: str = "label") -> DataFrame:

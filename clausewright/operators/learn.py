@@ -27,11 +27,20 @@ def encode_labels(rows: DataFrame, labels: tuple[str, ...] = rules.MODEL_LABELS)
 
 
 def stratified_split(rows: DataFrame, key: str, label: str, share: float = 0.8, seed: int = 42) -> DataFrame:
-    """Rows with `split`: exactly the given share of each label (rounded up) trains, by a digest of the key. Labels
-    with many rows are ranked within their own window; the digest is md5, which any engine has."""
-    order = Window.partitionBy(label).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key)
-    count = F.count(F.lit(1)).over(Window.partitionBy(label))
-    return rows.withColumn("split", F.when(F.row_number().over(order) <= F.ceil(count * F.lit(share)), "train").otherwise("test"))
+    """Rows with `split`: exactly the given share of each label (rounded up) trains, by a digest of the key. The
+    digest is md5, which any engine has. Its first characters are buckets: how many rows of a label stand in earlier
+    ones is a sum over counts, so that a label with most of the rows is ranked in many windows."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    marked = rows.withColumn("_digest", digest).withColumn("_bucket", F.substring(digest, 1, 3)).withColumn("_label", F.col(label))
+    counts = marked.groupBy("_label", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    # At most 4096 rows a label.
+    whole = Window.partitionBy("_label")
+    earlier = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("_label").alias("_l"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_total"))
+    rank = F.row_number().over(Window.partitionBy("_label", "_bucket").orderBy("_digest", key))
+    placed = marked.withColumn("_rank", rank).join(starts, F.col("_label").eqNullSafe(F.col("_l")) & (F.col("_bucket") == F.col("_b")))
+    trains = F.col("_before") + F.col("_rank") <= F.ceil(F.col("_total") * F.lit(share))
+    return placed.withColumn("split", F.when(trains, "train").otherwise("test")).select(*rows.columns, "split")
 
 
 def clause_pipeline(label: str = "label", regularisation: float = 0.002, features: int = FEATURES, iterations: int = 40):

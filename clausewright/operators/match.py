@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from clausewright.functions import text as T
+from clausewright.operators.segment import split_structural
 
 IDENTICAL, MODIFIED, RELATED = 0.90, 0.75, 0.60
 DIMENSIONS = 256
+#: Vectors of one block; a pair of blocks is one matrix product.
+BLOCK_ROWS = 512
 
 
 def preprocess(clauses: DataFrame) -> DataFrame:
@@ -25,7 +30,7 @@ def embed(clauses: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
     """J2's default model: hashed words and word pairs, unit length; adds `vector`, the same anywhere. Words become
     buckets in the JVM; only the counting of buckets, which built-in functions do once per dimension, is in Arrow."""
     pairs = F.zip_with(F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0))), F.slice("_w", 2, F.greatest(F.size("_w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    buckets = F.transform(F.concat("_w", pairs), lambda w: F.pmod(F.xxhash64(w), F.lit(dimensions)).cast("int"))
+    buckets = F.transform(F.concat("_w", pairs), lambda w: (F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("long") % dimensions).cast("int"))
 
     @F.pandas_udf("array<float>")
     def unit_counts(rows: pd.Series) -> pd.Series:
@@ -51,19 +56,49 @@ def embed_with(clauses: DataFrame, encode) -> DataFrame:
     return clauses.withColumn("vector", run("clause"))
 
 
-@F.pandas_udf(DoubleType())
-def dot(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Inner products in double, a batch of pairs at a time: higher-order functions take a hundred times as long."""
-    if not len(a):
-        return pd.Series([], dtype="float64")
-    return pd.Series(np.einsum("ij,ij->i", np.vstack(a).astype(np.float64), np.vstack(b).astype(np.float64)))
+def in_blocks(clauses: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
+    """(doc_id, block): the vectors of a contract by index, at most `rows` in a block."""
+    numbered = clauses.select("doc_id", F.floor(F.col("idx") / rows).alias("_k"), F.struct(F.col("idx").cast("int").alias("idx"), F.col("vector").cast("array<float>").alias("vector")).alias("v"))
+    return numbered.groupBy("doc_id", "_k").agg(F.array_sort(F.collect_list("v"), lambda a, b: a["idx"] - b["idx"]).alias("block")).drop("_k")
+
+
+def block_of(column: pa.ListArray, row: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices and vectors (in double) of a row's block."""
+    inner = column[row].values
+    vectors = inner.field("vector")
+    return inner.field("idx").to_numpy(zero_copy_only=False), vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(inner), -1)
+
+
+def nearest(products: np.ndarray, k: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k largest products of each row (ties: the earlier column), or of all."""
+    n, m = products.shape
+    if k is None or k >= m:
+        return np.repeat(np.arange(n), m), np.tile(np.arange(m), n)
+    found = products.argmax(axis=1)[:, None] if k == 1 else np.argsort(-products, axis=1, kind="stable")[:, :k]
+    return np.repeat(np.arange(n), k), found.ravel()
+
+
+def block_similarities(a: DataFrame, b: DataFrame, k: int | None = None) -> DataFrame:
+    """(doc_id, idx_a, idx_b, similarity) of the clauses of one contract: all pairs, or for each clause of a the k most
+    similar of every block of b. Blocks meet in an equi-join on the contract, one matrix product per pair of blocks, so
+    neither pairs nor vectors become rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                (idx_a, left), (idx_b, right) = (block_of(batch.column(i), row) for i in (1, 2))
+                products = np.round(left @ right.T, 6)
+                at, to = nearest(products, k)
+                docs = batch.column(0).take(pa.array(np.full(len(at), row)))
+                yield pa.RecordBatch.from_arrays([docs, pa.array(idx_a[at]), pa.array(idx_b[to]), pa.array(products[at, to])], ["doc_id", "idx_a", "idx_b", "similarity"])
+
+    pairs = in_blocks(a).withColumnRenamed("block", "_a").join(in_blocks(b).withColumnRenamed("block", "_b"), "doc_id").select("doc_id", "_a", "_b")
+    return pairs.mapInArrow(run, f"doc_id {a.schema['doc_id'].dataType.simpleString()}, idx_a int, idx_b int, similarity double")
 
 
 def similarities(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(doc_id, idx_a, idx_b, similarity) of all pairs of one contract's clauses: an equi-join on the contract."""
-    left = a.select("doc_id", F.col("idx").alias("idx_a"), F.col("vector").alias("_a"))
-    right = b.select("doc_id", F.col("idx").alias("idx_b"), F.col("vector").alias("_b"))
-    return left.join(right, "doc_id").select("doc_id", "idx_a", "idx_b", F.round(dot(F.col("_a"), F.col("_b")), 6).alias("similarity"))
+    """(doc_id, idx_a, idx_b, similarity) of all pairs of one contract's clauses."""
+    return block_similarities(a, b)
 
 
 def matrix(pairs: DataFrame, columns: int) -> DataFrame:
@@ -71,35 +106,51 @@ def matrix(pairs: DataFrame, columns: int) -> DataFrame:
     return pairs.groupBy("doc_id", "idx_a").pivot("idx_b", list(range(columns))).agg(F.first("similarity"))
 
 
-def best(pairs: DataFrame) -> DataFrame:
-    """J4 with k = 1: the most similar b of each a, ties to the smaller index. One aggregation: joining the maximum back
-    would make all pairs, and the vectors below them, twice."""
-    top = pairs.groupBy("doc_id", "idx_a").agg(F.max(F.struct("similarity", (-F.col("idx_b")).alias("n"))).alias("t"))
+def best(a: DataFrame, b: DataFrame) -> DataFrame:
+    """J4 with k = 1: the most similar b of each a, ties to the smaller index."""
+    top = block_similarities(a, b, 1).groupBy("doc_id", "idx_a").agg(F.max(F.struct("similarity", (-F.col("idx_b")).alias("n"))).alias("t"))
     return top.select("doc_id", "idx_a", F.col("t.similarity").alias("similarity"), (-F.col("t.n")).alias("idx_b"))
 
 
-def top_k(pairs: DataFrame, k: int) -> DataFrame:
-    """The k most similar, ranked."""
+def top_k(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
+    """The k most similar, ranked: of every block k reach the ranking."""
     order = Window.partitionBy("doc_id", "idx_a").orderBy(F.desc("similarity"), "idx_b")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return block_similarities(a, b, k).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def packed_blocks(vectors: DataFrame, rows: int) -> DataFrame:
+    """(ids, matrix): vectors (vec_id, embedding) in blocks of at most `rows`, as they lie in their partitions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                ids = part.column(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes()
+                flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f4").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([ids], pa.binary()), pa.array([flat], pa.binary())], ["ids", "matrix"])
+
+    return vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>")).filter("vec_id IS NOT NULL AND embedding IS NOT NULL").mapInArrow(run, "ids binary, matrix binary")
 
 
-def top_k_blocked(queries: DataFrame, corpus: DataFrame, k: int, broadcast_rows: int = 50_000) -> DataFrame:
-    """J3 and J4 for free-standing vectors, all against all: (query_id, match_id, similarity, rank).
-
-    A corpus of at most `broadcast_rows` rows goes to every task as one matrix. A larger one is dealt into blocks of
-    that many rows; each block meets all queries in an equi-join on the block, and the blocks' best k are merged."""
-    total = corpus.count()
-    blocks = max(1, -(-total // broadcast_rows))
-    dealt = corpus.select(F.col("vec_id").alias("match_id"), F.col("embedding").alias("_m"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("_block"))
-    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q")).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    if blocks == 1:
-        dealt = F.broadcast(dealt)
-    pairs = asked.join(dealt, "_block").select("query_id", "match_id", "_block", F.round(dot(F.col("_q"), F.col("_m")), 6).alias("similarity"))
-    within = Window.partitionBy("query_id", "_block").orderBy(F.desc("similarity"), "match_id")
-    few = pairs.withColumn("_n", F.row_number().over(within)).filter(F.col("_n") <= k)
+def top_k_blocked(queries: DataFrame, corpus: DataFrame, k: int, block_rows: int = 4096) -> DataFrame:
+    """J3 and J4 for free-standing vectors of one length: (query_id, match_id, similarity, rank), exact, ties to the
+    smaller id. Both sides are packed where they lie; every block of the stated queries meets every block of the corpus
+    in one matrix product, of which k per query are ranked at last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                asked, known = (np.frombuffer(row[i], "<i8") for i in (0, 2))
+                left, right = (np.frombuffer(row[i], "<f4").astype(np.float64).reshape(n, -1) for i, n in ((1, len(asked)), (3, len(known))))
+                order = np.argsort(known, kind="stable")
+                products = np.round(left @ right[order].T, 6)
+                at, to = nearest(products, k)
+                yield pa.RecordBatch.from_arrays([pa.array(asked[at]), pa.array(known[order][to]), pa.array(products[at, to])], ["query_id", "match_id", "similarity"])
+
+    asked = packed_blocks(queries, block_rows).select(F.col("ids").alias("_q"), F.col("matrix").alias("_a"))
+    pairs = asked.crossJoin(packed_blocks(corpus, block_rows)).mapInArrow(run, "query_id long, match_id long, similarity double")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "match_id")
-    return few.select("query_id", "match_id", "similarity", F.row_number().over(order).alias("rank")).filter(F.col("rank") <= k)
+    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def change_status(similarity: Column, identical: float = IDENTICAL, modified: float = MODIFIED, related: float = RELATED) -> Column:
@@ -110,14 +161,13 @@ def classify_changes(a: DataFrame, b: DataFrame, identical: float = IDENTICAL, m
     """(doc_id, status, idx_a, idx_b, clause_a, clause_b, similarity). A removed clause keeps its best
     similarity, but no partner; added clauses of b are those that no clause of a has as an at least related best. If b has
     no clause at all, every clause of a is removed at -1. a and b: (doc_id, idx, clause, vector)."""
-    found = a.select("doc_id", F.col("idx").alias("idx_a"), F.col("clause").alias("clause_a")).join(best(similarities(a, b)), ["doc_id", "idx_a"], "left")
+    found = a.select("doc_id", F.col("idx").alias("idx_a"), F.col("clause").alias("clause_a")).join(best(a, b), ["doc_id", "idx_a"], "left")
     judged = found.withColumn("similarity", F.coalesce("similarity", F.lit(-1.0))).withColumn("status", change_status(F.col("similarity"), identical, modified, related))
     matched = judged.withColumn("idx_b", F.when(F.col("status") != "removed", F.col("idx_b")))
-    right = b.select("doc_id", F.col("idx").alias("idx_b"), F.col("clause").alias("clause_b"))
-    of_a = matched.join(right, ["doc_id", "idx_b"], "left").select("doc_id", "status", "idx_a", "idx_b", "clause_a", "clause_b", "similarity")
-    added = right.join(matched.filter("idx_b IS NOT NULL"), ["doc_id", "idx_b"], "left_anti")
-    none = F.lit(None)
-    return of_a.unionByName(added.select("doc_id", F.lit("added").alias("status"), none.cast("int").alias("idx_a"), "idx_b", none.cast("string").alias("clause_a"), "clause_b", none.cast("double").alias("similarity")))
+    right = b.select("doc_id", F.col("idx").cast("int").alias("idx_b"), F.col("clause").alias("clause_b"))
+    # One full join: a side without partner is a removed clause, or an added one.
+    both = matched.join(right, ["doc_id", "idx_b"], "full").withColumn("status", F.coalesce("status", F.lit("added")))
+    return both.select("doc_id", "status", "idx_a", "idx_b", "clause_a", "clause_b", "similarity")
 
 
 def compare(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -142,6 +192,42 @@ def comparable(requests: DataFrame, contracts: DataFrame) -> DataFrame:
     return joined.withColumn("problem", F.when(F.col("id_a") == F.col("id_b"), "same_contract").when(F.col("_a").isNull() | F.col("_b").isNull(), "unknown_contract")).drop("_a", "_b")
 
 
+def compare_texts(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The comparison of whole texts (doc_id, text), split into paragraphs first."""
+    return compare(split_structural(a), split_structural(b))
+
+
+#: The lists of a comparison's answer and the statuses in each.
+RESPONSE = {"removed_clauses": ("removed",), "modified_clauses": ("modified",), "similar_clauses": ("identical", "related")}
+
+
+def response(changes: DataFrame, contracts: DataFrame) -> DataFrame:
+    """One typed row per contract of `contracts` (doc_id): added_clauses, as texts, and lists of items (clause_a,
+    clause_b, similarity, status), in order; lists without items are empty. Identical ones come before related ones."""
+    item = F.struct(F.coalesce("clause_a", F.lit("")).alias("clause_a"), "clause_b", F.coalesce("similarity", F.lit(-1.0)).alias("similarity"), "status")
+
+    def listed(statuses: tuple[str, ...], value: Column) -> Column:
+        place = F.struct(*(F.col(c) for c in ("status", "idx_a", "idx_b")), value.alias("v"))
+        return F.transform(F.array_sort(F.collect_list(F.when(F.col("status").isin(*statuses), place))), lambda x: x["v"])
+
+    named = changes.groupBy("doc_id").agg(listed(("added",), F.col("clause_b")).alias("added_clauses"), *(listed(s, item).alias(n) for n, s in RESPONSE.items()))
+    items = "array<struct<clause_a:string,clause_b:string,similarity:double,status:string>>"
+    filled = [F.coalesce(n, F.array().cast("array<string>" if n == "added_clauses" else items)).alias(n) for n in ("added_clauses", *RESPONSE)]
+    return contracts.select("doc_id").distinct().join(named, "doc_id", "left").select("doc_id", *filled)
+
+
+def report(changes: DataFrame, output_format: str = "dict") -> DataFrame:
+    """SK4: one row per contract: `dict` as JSON of the lists by status, `text` as lines, `report` as typed lists."""
+    if output_format == "text":
+        return report_text(changes)
+    typed = response(changes, changes)
+    if output_format == "report":
+        return typed
+    if output_format == "dict":
+        return typed.select("doc_id", F.to_json(F.struct(*typed.columns[1:])).alias("report"))
+    raise ValueError(f"output format {output_format!r}: choose dict, text or report")
+
+
 def report_text(changes: DataFrame) -> DataFrame:
     """SK4: one text per contract, a line for every change in order."""
     line = F.format_string("[%s] %s -> %s", "status", F.coalesce("clause_a", F.lit("-")), F.coalesce("clause_b", F.lit("-")))

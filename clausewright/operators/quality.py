@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausewright import rules
@@ -38,9 +38,10 @@ def dataset_issues(lines: DataFrame) -> DataFrame:
     good = ~F.col("malformed")
     both = good & (F.col("prompt") != "") & (F.col("completion") != "")
     norm = T.normalise_prompt(F.col("prompt"))
-    twins = Window.partitionBy("_both", "_norm")
-    named = rows.withColumn("_both", both).withColumn("_norm", F.when(both, norm))
-    counted = named.withColumn("_twins", F.count(F.lit(1)).over(twins)).withColumn("_first", F.min("line_no").over(twins))
+    named = rows.withColumn("_norm", F.when(both, norm))
+    # Good prompts alone are counted, by partial aggregates; rows without one meet nothing in the join.
+    repeated = named.filter("_norm IS NOT NULL").groupBy("_norm").agg(F.count(F.lit(1)).alias("_n"), F.min("line_no").alias("_first")).filter("_n > 1").select(F.col("_first"))
+    counted = named.join(repeated, F.col("line_no") == F.col("_first"), "left")
     law = F.nullif(T.strip(F.regexp_extract("prompt", "(?i)" + rules.PROMPT_LAW, 1)), F.lit(""))
     actual = T.normalise_prompt(F.coalesce("completion_law", "completion"))
     expected = reduce(lambda rest, h: F.when(F.col("prompt").rlike("(?i)" + h[0]), h[1].lower()).otherwise(rest), reversed(rules.LAW_HINTS), F.lit(None).cast("string"))
@@ -48,7 +49,7 @@ def dataset_issues(lines: DataFrame) -> DataFrame:
         "malformed_json": F.col("malformed"),
         "missing_prompt": good & (F.col("prompt") == ""),
         "missing_completion": good & (F.col("completion") == ""),
-        "duplicate_prompt": both & (F.col("_twins") > 1) & (F.col("_first") == F.col("line_no")),
+        "duplicate_prompt": both & F.col("_first").isNotNull(),
         "law_mismatch": both & (T.normalise_prompt(law) != T.normalise_prompt(F.col("completion_law"))),
         "scenario_law_suspicious": both & ~actual.contains(expected),
         "short_completion": both & (T.word_total(F.col("completion")) < 8),
@@ -71,7 +72,7 @@ def prompt_text(rows: DataFrame) -> DataFrame:
 
 def shuffled_first(rows: DataFrame, key: str, most: int = 10_000, seed: int = 42) -> DataFrame:
     """A fixed pseudo-random order, and its first rows (a top-k, not a full sort)."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(most)
+    return rows.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(most)
 
 
 def message_view(summaries: DataFrame, most: int = 10) -> DataFrame:

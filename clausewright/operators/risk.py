@@ -62,23 +62,19 @@ def keyword_hits(norm: Column, keywords: Column, whole_word: Column) -> Column:
     return F.filter(keywords, lambda k: inside(k) & (~whole_word | alone(k)))
 
 
-def risk_matches(paragraphs: DataFrame, table: DataFrame, ascii_only: bool = True) -> DataFrame:
+def template_note(found: DataFrame) -> Column:
+    """R7's default: the rule's template with the phrase in its place."""
+    return F.replace(found["template"], F.lit("{phrase}"), found["matched_phrase"])
+
+
+def risk_matches(paragraphs: DataFrame, table: DataFrame, ascii_only: bool = True, explain=template_note) -> DataFrame:
     """At most one finding per paragraph and rule: (doc_id, para_idx, rule_ord, category, severity, matched_phrase,
-    hits, explanation, text). The rule table holds a row per rule, set by its author: it is broadcast."""
+    hits, explanation, text). The rule table holds a row per rule, set by its author: it is broadcast. explain: the rows
+    with template, category, matched_phrase and text to the column of explanations, such as a pandas UDF's."""
     found = first_paragraphs(paragraphs, ascii_only).join(F.broadcast(active_rules(table)), F.exists("keywords", lambda k: F.col("norm").contains(k)))
     hits = found.withColumn("found", keyword_hits(F.col("norm"), F.col("keywords"), F.col("whole_word"))).filter(F.size("found") > 0)
-    phrase = F.get("found", F.lit(0))
-    return hits.select(
-        "doc_id",
-        "para_idx",
-        "rule_ord",
-        "category",
-        escalated(F.col("severity"), F.size("found")).alias("severity"),
-        phrase.alias("matched_phrase"),
-        F.size("found").alias("hits"),
-        F.replace(F.col("template"), F.lit("{phrase}"), phrase).alias("explanation"),
-        "text",
-    )
+    named = hits.select("doc_id", "para_idx", "rule_ord", "category", escalated(F.col("severity"), F.size("found")).alias("severity"), F.get("found", F.lit(0)).alias("matched_phrase"), F.size("found").alias("hits"), "template", "text")
+    return named.withColumn("explanation", explain(named)).select("doc_id", "para_idx", "rule_ord", "category", "severity", "matched_phrase", "hits", "explanation", "text")
 
 
 def risk_report(paragraphs: DataFrame, matches: DataFrame) -> DataFrame:
@@ -96,10 +92,27 @@ def ranked_findings(matches: DataFrame) -> DataFrame:
     return matches.withColumn("position", F.row_number().over(order))
 
 
+def category_note(category: Column) -> Column:
+    """The service's note on a category: the first whose key its name holds, else the general one."""
+    low = F.lower(category)
+    other = F.replace(F.lit(rules.OTHER_NOTE), F.lit("{category}"), low)
+    return reduce(lambda rest, e: F.when(low.contains(e[0]), e[1]).otherwise(rest), reversed(rules.CATEGORY_NOTES), other)
+
+
 def report_texts(matches: DataFrame) -> DataFrame:
-    """One explanation per document, each distinct category once, in order of the findings."""
+    """R9's texts: per document its distinct categories in order of the findings, and their distinct notes."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("position", "category"))), lambda x: x["category"])
-    return ranked_findings(matches).groupBy("doc_id").agg(F.array_join(F.array_distinct(ordered), "; ").alias("categories"))
+    found = ranked_findings(matches).groupBy("doc_id").agg(F.array_distinct(ordered).alias("found"))
+    notes = F.array_distinct(F.transform("found", category_note))
+    return found.select("doc_id", F.array_join("found", "; ").alias("categories"), F.array_join(notes, "\n\n").alias("explanation"))
+
+
+def service_report(report: DataFrame, matches: DataFrame) -> DataFrame:
+    """The service's answer per document: (doc_id, risk_score, risk_level, total_paragraphs, risky_count, explanation).
+    risky_count counts findings of high severity; a document without findings has the reassuring note."""
+    texts = report_texts(matches).select("doc_id", "explanation")
+    joined = report.join(texts, "doc_id", "left")
+    return joined.select("doc_id", "risk_score", "risk_level", "total_paragraphs", F.col("high_count").alias("risky_count"), F.coalesce("explanation", F.lit(rules.NO_RISK_NOTE)).alias("explanation"))
 
 
 def report_json(report: DataFrame, matches: DataFrame) -> DataFrame:

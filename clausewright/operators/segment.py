@@ -14,20 +14,25 @@ SHORT = 40
 LINE_ENDS = r"\r\n|[\n\r\x0B\f\x1c-\x1e\x85  ]"
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line): stripped lines of normalised text."""
-    return docs.select("doc_id", F.posexplode(F.split(T.normalise_layout(F.col("text")), LINE_ENDS)).alias("line_no", "line")).withColumn("line", T.strip(F.col("line")))
+def paragraphs_of(text: Column) -> Column:
+    """G4 within one text: the array of its paragraphs. A paragraph begins after a blank line and at every boundary
+    line; its lines are joined by one space. A fold over the lines, so that no line leaves its row."""
+    found = F.transform(F.split(T.normalise_layout(text), LINE_ENDS), T.strip)
+    lines = F.transform(found, lambda x: F.struct(x.alias("line"), T.is_boundary(x).alias("starts")))
+    empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("open"))
+
+    def step(acc: Column, x: Column) -> Column:
+        blank = x["line"] == ""
+        closes = acc["open"].isNotNull() & (blank | x["starts"])
+        now = F.when(blank, F.lit(None)).when(x["starts"] | acc["open"].isNull(), x["line"]).otherwise(F.concat_ws(" ", acc["open"], x["line"]))
+        return F.struct(F.when(closes, F.array_append(acc["out"], acc["open"])).otherwise(acc["out"]).alias("out"), now.alias("open"))
+
+    return F.aggregate(lines, empty, step, lambda acc: F.when(acc["open"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], acc["open"])))
 
 
 def split_structural(docs: DataFrame) -> DataFrame:
-    """(doc_id, para_idx, text). A paragraph begins after a blank line and at every boundary line; its lines are
-    joined by one space. The break depends on one line before, so islands over a lag say it all.
-    Null and blank texts have no paragraphs."""
-    order = Window.partitionBy("doc_id").orderBy("line_no")
-    marked = lines_of(docs).withColumn("after_blank", F.coalesce(F.lag("line").over(order) == "", F.lit(True))).filter("line <> ''")
-    starts = (F.col("after_blank") | T.is_boundary(F.col("line"))).cast("int")
-    islands = marked.withColumn("para_idx", (F.sum(starts).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int"))
-    return islands.groupBy("doc_id", "para_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), " ").alias("text"))
+    """(doc_id, para_idx, text) of every paragraph. Null and blank texts have none."""
+    return docs.select("doc_id", F.posexplode(paragraphs_of(F.col("text"))).alias("para_idx", "text"))
 
 
 def ordered_texts(paragraphs: DataFrame) -> DataFrame:

@@ -41,6 +41,23 @@ def recent_messages(messages: DataFrame, most: int = HISTORY) -> DataFrame:
     return messages.withColumn("back", F.row_number().over(order)).filter(F.col("back") <= most)
 
 
+def session_states(accesses: DataFrame, idle: int = IDLE_SECONDS, most: int = HISTORY) -> DataFrame:
+    """ST1 in batch: accesses (user_id, event_id, ts) with the session's state after each: session_no, created (the
+    access found none, or one idle for more than `idle` seconds, and made it), and n_messages kept, up to `most`."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(order).cast("timestamp"))
+    marked = accesses.withColumn("created", F.coalesce(gap > idle * 1_000_000, F.lit(True)))
+    numbered = marked.withColumn("session_no", F.sum(F.col("created").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    within = Window.partitionBy("user_id", "session_no").orderBy("ts", "event_id")
+    return numbered.withColumn("n_messages", F.least(F.row_number().over(within), F.lit(most))).select("user_id", "event_id", "session_no", "created", "n_messages")
+
+
+def raw_requests(requests: DataFrame) -> DataFrame:
+    """SC12: requests (request_id, text, use_preprocessing, use_hybrid) as they are analysed: a missing flag takes its
+    default (preprocessing on, hybrid off), and a blank text is a problem."""
+    return requests.select("request_id", "text", F.coalesce("use_preprocessing", F.lit(True)).alias("use_preprocessing"), F.coalesce("use_hybrid", F.lit(False)).alias("use_hybrid"), F.when(F.btrim(F.coalesce("text", F.lit(""))) == "", "empty_text").alias("problem"))
+
+
 def session_context(messages: DataFrame) -> DataFrame:
     """ST8: messages (session_id, ts, message, contract_text, text) with the text in force. A registered contract comes
     before a pasted text, that before the last one of the session; an intent that needs a text and has none is GENERAL."""
@@ -120,8 +137,8 @@ def retry_delay(attempt, base: int = 5, most: int = 3) -> Any:
 
 
 def registry(uploads: DataFrame) -> DataFrame:
-    """ST9 and O3: the latest record of each contract, newest first."""
-    latest = uploads.groupBy("contract_id").agg(F.max_by(F.struct(*(c for c in uploads.columns if c != "contract_id")), "uploaded_at").alias("r"))
+    """ST9 and O3: the latest record of each contract (ties: the larger name), newest first."""
+    latest = uploads.groupBy("contract_id").agg(F.max_by(F.struct(*(c for c in uploads.columns if c != "contract_id")), F.struct("uploaded_at", "name")).alias("r"))
     return latest.select("contract_id", "r.*").orderBy(F.desc("uploaded_at"), "contract_id")
 
 
@@ -134,14 +151,14 @@ def search_landmarks(cards: DataFrame, query: str) -> DataFrame:
     """Cards in any column of which the query occurs, in any case."""
     low = F.lit(query.lower())
     hit = F.lit(False)
-    for c in ("title", "citation", "tag", "summary", "region"):
-        hit = hit | F.lower(c).contains(low)
+    for c in ("title", "citation", "tag", "summary", "region", "details"):
+        hit = hit | F.coalesce(F.lower(c).contains(low), F.lit(False))
     return cards.filter(hit)
 
 
 def landmark_cards(spark) -> DataFrame:
-    rows = [(*card, rules.ANSWERS[card[0]]) for card in rules.LANDMARKS]
-    return spark.createDataFrame(rows, "id string, region string, tag string, title string, citation string, summary string")
+    rows = [(*card, rules.ANSWERS[card[0]], f"{card[3]} ({card[4]}), {card[1]}; field: {card[2]}") for card in rules.LANDMARKS]
+    return spark.createDataFrame(rows, "id string, region string, tag string, title string, citation string, summary string, details string")
 
 
 def event_log(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -40,21 +40,65 @@ def combined(parts: Column, second_pass=None, most: int = 200) -> Column:
     return F.when(F.size(own) == 0, "").when(F.size(own) == 1, F.get(own, F.lit(0))).otherwise(F.when(T.word_total(joined) <= most, joined).otherwise(second_pass(joined) if second_pass else joined))
 
 
+def sections_within(found: Column, most: int = PER_SECTION) -> dict[str, Column]:
+    """S1 within one text: the array of its sentences to one array per section, as sections() gives them."""
+    long = F.filter(found, lambda s: T.word_total(s) > 5)
+    return {name: F.array_distinct(F.slice(F.filter(long, lambda s: F.lower(s).rlike(pattern)), 1, most)) for name, pattern in rules.SECTION_PATTERNS.items()}
+
+
 def summarise(docs: DataFrame, summarise_chunk=lead, second_pass=None, limit: int = 700) -> DataFrame:
     """(doc_id, overall_summary, key_points, obligations, payment_terms, termination, risks). Blank texts give
-    no row, as they are an error in a single call. summarise_chunk: column to column; a model is a pandas UDF."""
+    no row, as they are an error in a single call. summarise_chunk: column to column; a model is a pandas UDF. Nothing
+    leaves its row."""
     real = docs.filter(T.strip(F.coalesce("text", F.lit(""))) != "")
-    chunked = real.select("doc_id", "text", combined(F.transform(overlap_chunks(F.col("text"), limit), lambda c: summarise_chunk(c)), second_pass).alias("overall_summary"))
+    chunked = real.select("doc_id", T.sentences(T.clean_summary(F.col("text"))).alias("_s"), combined(F.transform(overlap_chunks(F.col("text"), limit), lambda c: summarise_chunk(c)), second_pass).alias("overall_summary"))
     points = F.slice(F.filter(T.sentences(F.col("overall_summary")), lambda s: T.word_total(s) > 6), 1, KEY_POINTS)
-    listed = sections(sentences_of(real)).groupBy("doc_id").pivot("section", list(rules.SECTION_PATTERNS)).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "sentence"))), lambda x: x["sentence"]))
-    none = F.array().cast("array<string>")
     names = {"obligations": "obligations", "payment": "payment_terms", "termination": "termination", "risk": "risks"}
-    return chunked.select("doc_id", "overall_summary", points.alias("key_points")).join(listed, "doc_id", "left").select("doc_id", "overall_summary", F.when(F.size("key_points") > 0, F.col("key_points")).otherwise(F.array("overall_summary")).alias("key_points"), *(F.coalesce(s, none).alias(n) for s, n in names.items()))
+    listed = [c.alias(names[s]) for s, c in sections_within(F.col("_s")).items()]
+    return chunked.select("doc_id", "overall_summary", points.alias("key_points"), *listed).withColumn("key_points", F.when(F.size("key_points") > 0, F.col("key_points")).otherwise(F.array("overall_summary")))
+
+
+def wrapped(text: Column, width: int) -> Column:
+    """Lines of at most `width` characters, broken between words; a longer word is a line of its own."""
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("n"))
 
+    def step(acc: Column, word: Column) -> Column:
+        fits = (acc["n"] > 0) & (acc["n"] + 1 + F.length(word) <= width)
+        gap = F.when(acc["n"] == 0, "").when(fits, " ").otherwise("\n")
+        return F.struct(F.concat(acc["out"], gap, word).alias("out"), F.when(fits, acc["n"] + 1 + F.length(word)).otherwise(F.length(word)).alias("n"))
 
-def summary_text(summaries: DataFrame) -> DataFrame:
-    """SK5: a plain text report per document."""
+    return F.aggregate(T.words(text), start, step, lambda acc: acc["out"])
+
+
+def summary_text(summaries: DataFrame, width: int = 100) -> DataFrame:
+    """SK5: a plain text report per document, its summary wrapped."""
     bullets = lambda c: F.array_join(F.transform(c, lambda s: F.concat(F.lit("  - "), s)), "\n")
     heads = (("Key points", "key_points"), ("Obligations", "obligations"), ("Payment terms", "payment_terms"), ("Termination", "termination"), ("Risks", "risks"))
     parts = [F.when(F.size(c) > 0, F.concat(F.lit(f"{h}\n"), bullets(F.col(c)))) for h, c in heads]
-    return summaries.select("doc_id", F.concat_ws("\n\n", F.concat(F.lit("Summary\n"), F.col("overall_summary")), *parts).alias("report"))
+    return summaries.select("doc_id", F.concat_ws("\n\n", F.concat(F.lit("Summary\n"), wrapped(F.col("overall_summary"), width)), *parts).alias("report"))
+
+
+PLAIN_PROMPT = "Explain this contract summary briefly and simply, for someone who is no lawyer:\n"
+
+
+def plain_words(summary: Column, sentences: int = 2) -> Column:
+    """S8's default: the first sentences, after a note on what they are."""
+    first = F.slice(T.sentences(summary), 1, sentences)
+    return F.when(F.size(first) > 0, F.concat(F.lit("In short: "), F.array_join(first, " "))).otherwise(F.lit(""))
+
+
+def explained(summaries: DataFrame, explain=None) -> DataFrame:
+    """The summary service's rows: (doc_id, summary, key_points, prompt, explanation). A blank overall summary gives
+    way to the joined key points. explain: column of prompts to column of answers, such as a pandas UDF over a model; the
+    default needs none."""
+    text = F.when(T.strip(F.col("overall_summary")) != "", F.col("overall_summary")).otherwise(F.array_join("key_points", " "))
+    named = summaries.select("doc_id", text.alias("summary"), "key_points").withColumn("prompt", F.concat(F.lit(PLAIN_PROMPT), "summary"))
+    return named.withColumn("explanation", explain(F.col("prompt")) if explain else plain_words(F.col("summary")))
+
+
+def summary_message(rows: DataFrame) -> DataFrame:
+    """SK9's summary form: explained() rows as one display text each: the summary, the key points as a list, and the
+    plain-language part; parts without content are left out."""
+    points = F.when(F.size("key_points") > 0, F.concat(F.lit("\n**Key points**\n"), F.array_join(F.transform("key_points", lambda p: F.concat(F.lit("- "), p)), "\n")))
+    plain = F.when(T.strip(F.col("explanation")) != "", F.concat(F.lit("\n**In plain language**\n"), T.strip(F.col("explanation"))))
+    return rows.select("doc_id", F.concat_ws("\n", F.nullif(T.strip(F.col("summary")), F.lit("")), points, plain).alias("message"))

@@ -11,7 +11,9 @@ from clausewright import rules
 from clausewright.corpus import CORPUS_SQL, REVISED_SQL, corpus, joined, revised
 from clausewright.functions import text as T
 from clausewright.operators import classify, drafts, learn, match, quality, risk, segment, sessions, summary
+from clausewright.plans import folds
 from clausewright.plans import sql as S
+from clausewright.sources import files
 from clausewright.sources.files import html_text
 from clausewright.tables import table
 
@@ -91,17 +93,21 @@ def hybrid_decision(spark, sf_dir):
     """The hybrid decision, with a stand-in for the model whose answers are arithmetic on the keys."""
 
     def model(unsure):
-        return unsure.select("doc_id", "para_idx", F.element_at(F.array(F.lit("termination"), F.lit("other"), F.lit("parties")), F.col("para_idx") % 3 + 1).alias("ml_label"), (((F.col("doc_id") * 31 + F.col("para_idx") * 7) % 100) / F.lit(100.0)).alias("ml_confidence"))
+        named = F.element_at(F.array(F.lit("termination"), F.lit("other"), F.lit("parties")), F.col("para_idx") % 3 + 1)
+        return unsure.withColumn("ml_label", named).withColumn("ml_confidence", ((F.col("doc_id") * 31 + F.col("para_idx") * 7) % 100) / F.lit(100.0))
 
     return classify.cascade(classify.detect_clauses(corpus(spark, sf_dir)), model)
 
 
-@query()
+@query(folds.map_summary("SELECT doc_id, text FROM documents"))
 def clause_map_summary(spark, sf_dir):
     return classify.clause_map_summary(classify.clause_map(table(spark, sf_dir, "documents")))
 
 
-@query()
+_JOINED_SQL = f"SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY para_idx) AS text FROM ({CORPUS_SQL}) AS c GROUP BY doc_id"
+
+
+@query(f"SELECT doc_id, string_agg(label || ': ' || n || ' (' || round(avg_confidence * 100)::INT || '%)', chr(10) ORDER BY position) AS message FROM ({folds.map_summary(_JOINED_SQL)}) AS g WHERE position <= 10 GROUP BY doc_id")
 def clause_map_messages(spark, sf_dir):
     return quality.message_view(classify.clause_map_summary(classify.clause_map(joined(corpus(spark, sf_dir)))))
 
@@ -112,6 +118,36 @@ def clause_groups(spark, sf_dir):
     return found.select("doc_id", "clause_type", F.size("clauses").cast("long").alias("n_clauses"), F.aggregate("clauses", F.lit(0).cast("long"), lambda s, c: s + F.length(c["text"])).alias("n_chars"))
 
 
+@query(f"SELECT doc_id, para_idx, label AS clause_type, CASE WHEN doc_id % 2 = 0 THEN para_idx // 3 + 1 END AS page_number FROM ({S.decided(f'SELECT * FROM ({CORPUS_SQL}) AS q WHERE {S.strip('text')} <> {S.quote('')}')}) AS d")
+def clause_pages(spark, sf_dir):
+    """Detections with page numbers: three paragraphs a page, known for every second contract."""
+    paragraphs = corpus(spark, sf_dir)
+    pages = paragraphs.filter("doc_id % 2 = 0").select("doc_id", "para_idx", (F.floor(F.col("para_idx") / 3) + 1).cast("int").alias("page_number"))
+    return classify.structured(paragraphs, pages).select("doc_id", "para_idx", "clause_type", "page_number")
+
+
+@query(f"SELECT doc_id, para_idx, CASE WHEN confidence < 0.3 THEN 'other' ELSE label END AS clause_type, confidence, CASE WHEN confidence >= 0.75 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' ELSE 'low' END AS band FROM ({S.decided(CORPUS_SQL)}) AS d")
+def clause_predictions(spark, sf_dir):
+    """Gated, formatted and banded predictions."""
+    found = classify.detect_clauses(corpus(spark, sf_dir))
+    made = classify.prediction(classify.accept(F.col("label"), F.col("confidence")), F.col("confidence"))
+    return found.select("doc_id", "para_idx", made.alias("p"), T.confidence_band(F.col("confidence")).alias("band")).select("doc_id", "para_idx", "p.*", "band")
+
+
+@query(
+    f"""WITH d AS MATERIALIZED (SELECT doc_id, para_idx, label, confidence FROM ({S.decided(CORPUS_SQL)}) AS x),
+    m AS (SELECT doc_id, para_idx, CASE WHEN doc_id % 4 = 0 THEN 'other' ELSE label END AS label, CASE WHEN doc_id % 4 = 0 THEN 0.0 ELSE confidence END AS confidence FROM d),
+    u AS (SELECT doc_id, bool_and(label = 'other' AND confidence = 0) AS useless FROM m GROUP BY doc_id)
+    SELECT m.doc_id, para_idx, label, confidence, 'model' AS classifier FROM m JOIN u ON m.doc_id = u.doc_id AND NOT useless UNION ALL SELECT d.doc_id, para_idx, label, confidence, 'rules' FROM d JOIN u ON d.doc_id = u.doc_id AND useless"""
+)
+def classifier_fallback(spark, sf_dir):
+    """A stand-in for a model that finds nothing in every fourth contract: there the rules answer."""
+    ruled = classify.detect_clauses(corpus(spark, sf_dir)).select("doc_id", "para_idx", "label", "confidence")
+    useless = F.col("doc_id") % 4 == 0
+    learned = ruled.withColumn("label", F.when(useless, "other").otherwise(F.col("label"))).withColumn("confidence", F.when(useless, 0.0).otherwise(F.col("confidence")))
+    return classify.with_fallback(learned, ruled)
+
+
 # Risk -----------------------------------------------------------------------------------------------------------------
 
 
@@ -143,7 +179,36 @@ def risk_by_category(spark, sf_dir):
 
 @query(f"SELECT doc_id, string_agg(category, '; ' ORDER BY p) AS categories FROM (SELECT doc_id, category, min(p) AS p FROM (SELECT doc_id, category, row_number() OVER (PARTITION BY doc_id ORDER BY {S.WEIGHT} DESC, para_idx, rule_ord) AS p FROM ({S.risk_matches()}) AS m) AS n GROUP BY doc_id, category) AS o GROUP BY doc_id")
 def risk_report_texts(spark, sf_dir):
-    return risk.report_texts(_risks(spark, sf_dir))
+    return risk.report_texts(_risks(spark, sf_dir)).select("doc_id", "categories")
+
+
+_TEMPLATES = " ".join(f"WHEN {S.quote(c)} THEN {S.quote(rules.RISK_TEMPLATES.get(c, rules.GENERIC_TEMPLATE))}" for c, _, _ in rules.RISK_RULES)
+
+
+@query(f"SELECT doc_id, para_idx, rule_ord, replace(CASE category {_TEMPLATES} END, '{{phrase}}', matched_phrase) AS explanation FROM ({S.risk_matches()}) AS m")
+def risk_explanations(spark, sf_dir):
+    return _risks(spark, sf_dir).select("doc_id", "para_idx", "rule_ord", "explanation")
+
+
+_NOTE = "CASE " + " ".join(f"WHEN contains(lower(category), {S.quote(k)}) THEN {S.quote(note)}" for k, note in rules.CATEGORY_NOTES) + f" ELSE replace({S.quote(rules.OTHER_NOTE)}, '{{category}}', lower(category)) END"
+_RANKED = f"SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {S.WEIGHT} DESC, para_idx, rule_ord) AS p FROM ({S.risk_matches()}) AS m"
+
+
+@query(
+    f"""SELECT r.doc_id, risk_score, CASE WHEN risk_score < 3 THEN 'Low Risk' WHEN risk_score < 6 THEN 'Medium Risk' ELSE 'High Risk' END AS risk_level, total_paragraphs, high_count AS risky_count, coalesce(explanation, {S.quote(rules.NO_RISK_NOTE)}) AS explanation
+    FROM ({_REPORT_SQL}) AS r LEFT JOIN (SELECT doc_id, string_agg(note, chr(10) || chr(10) ORDER BY p) AS explanation FROM (SELECT doc_id, {_NOTE} AS note, min(p) AS p FROM ({_RANKED}) AS n GROUP BY 1, 2) AS o GROUP BY doc_id) AS e ON r.doc_id = e.doc_id"""
+)
+def risk_service(spark, sf_dir):
+    found = _risks(spark, sf_dir)
+    return risk.service_report(risk.risk_report(corpus(spark, sf_dir), found), found)
+
+
+@query(f"SELECT doc_id, p::INT AS position, category, severity, matched_phrase, para_idx, replace(CASE category {_TEMPLATES} END, '{{phrase}}', matched_phrase) AS explanation FROM ({_RANKED}) AS r")
+def risk_report_fields(spark, sf_dir):
+    """The findings of risk_report_json, read back from its JSON."""
+    schema = "risk_score double, risks_detected array<struct<position:int,category:string,severity:string,matched_phrase:string,para_idx:int,explanation:string>>"
+    found = risk_report_json(spark, sf_dir).select("doc_id", F.inline(F.from_json("report", schema)["risks_detected"]))
+    return found
 
 
 @query()
@@ -160,14 +225,7 @@ def paragraph_dedupe(spark, sf_dir):
 # Cleaning and segmentation --------------------------------------------------------------------------------------------
 
 
-@query(
-    f"""SELECT doc_id, para_idx, string_agg(line, ' ' ORDER BY line_no) AS text FROM (
-    SELECT *, (sum(starts) OVER (PARTITION BY doc_id ORDER BY line_no) - 1)::INT AS para_idx FROM (
-      SELECT *, (after_blank OR {S.is_boundary('line')})::INT AS starts FROM (
-        SELECT doc_id, line_no, line, coalesce(lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) = '', true) AS after_blank FROM (
-          SELECT doc_id, line_no, {S.strip('line')} AS line FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS line_no FROM (
-            SELECT doc_id, {S.strip(S.sub("replace(text, chr(9), ' ')", '[ \\f\\r\\x0B]{2,}', ' '))} AS t FROM documents) AS a) AS b) AS c) AS d WHERE line <> '') AS e) AS f GROUP BY doc_id, para_idx"""
-)
+@query(folds.PARAGRAPHS)
 def split_structural(spark, sf_dir):
     return segment.split_structural(table(spark, sf_dir, "documents"))
 
@@ -183,19 +241,19 @@ def restructure_merge(spark, sf_dir):
     return segment.restructure(corpus(spark, sf_dir))
 
 
-@query()
+@query(folds.ORPHANS)
 def merge_short_orphans(spark, sf_dir):
     parts = segment.ordered_texts(segment.split_structural(table(spark, sf_dir, "documents")))
     return segment.numbered(parts.select("doc_id", segment.merge_orphans(F.col("parts")).alias("parts")))
 
 
-@query()
+@query(folds.chunks("SELECT doc_id, text FROM documents"))
 def clause_chunks(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.posexplode(segment.clause_chunks(F.col("text"))).alias("para_idx", "text"))
 
 
-@query()
+@query(folds.overlapping("SELECT doc_id, text FROM documents"))
 def overlap_chunks(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.posexplode(segment.overlap_chunks(F.col("text"))).alias("chunk_no", "chunk"))
@@ -217,11 +275,58 @@ def text_normalise(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean_summary(t)).alias("summary_digest"), F.md5(T.normalise_prompt(t)).alias("prompt_digest"))
 
 
-@query()
+@query(f"SELECT doc_id, md5(lower({S.strip(S.sub(S.sub('strip_accents(text)', '[^\\x00-\\x{7F}]', ''), '\\s+', ' '))})) AS digest FROM documents")
 def risk_normalise(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalise_risk(F.col("text"))).alias("digest"))
 
 
+@query(
+    f"""SELECT doc_id, md5({S.strip(S.sub(f"array_to_string(list_transform(string_split({S.sub(S.sub("replace(text, chr(0), '')", ' +', ' '), '[\\n][ \\t\\f\\r\\n]*[\\n]+', 'Z').replace("'Z'", "chr(10) || chr(10)")}, chr(10)), lambda x: {S.strip('x')}), chr(10))", '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x{7F}-\\x{9F}]', ''))}) AS digest FROM documents"""
+)
+def extract_clean(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean_extracted(F.col("text"))).alias("digest"))
+
+
+_FLAT = lambda parts, least: f"len(list_filter(list_transform({parts}, lambda p: {S.strip(S.sub('replace(p, chr(10), chr(32))', ' +', ' '))}), lambda p: length(p) {least}))"
+_FULL = lambda separator: f"list_filter(list_transform(string_split(text, {separator}), lambda p: {S.strip('p')}), lambda p: p <> '')"
+
+
+@query(
+    f"""SELECT doc_id, {_FLAT('string_split(text, chr(10) || chr(10))', '> 10')}::INT AS n_extract, {_FLAT(f"regexp_split_to_array(text, {S.quote('[\\n][ \\t\\f\\r\\n]*[\\n]')})", '>= 20')}::INT AS n_ocr, len(CASE WHEN len(parts) = 0 THEN lines ELSE parts END)::INT AS n_legacy, len(CASE WHEN len(parts) < 5 THEN lines ELSE parts END)::INT AS n_legacy_few, len(parts)::INT AS n_blank
+    FROM (SELECT doc_id, text, {_FULL('chr(10) || chr(10)')} AS parts, {_FULL('chr(10)')} AS lines FROM documents) AS d"""
+)
+def simple_splits(spark, sf_dir):
+    """Parts that each of the plain splitters finds."""
+    kinds = ("extract", "ocr", "legacy", "legacy_few", "blank")
+    return table(spark, sf_dir, "documents").select("doc_id", *(F.size(segment.simple_split(F.col("text"), k)).alias(f"n_{k}") for k in kinds))
+
+
+#: Ten lines are a page; every third page has no text layer, and what is recognised there is in small letters.
+_PAGES_SQL = f"SELECT doc_id, (line_no // 10 + 1)::INT AS page_no, CASE WHEN (doc_id + line_no // 10) % 3 = 0 THEN '' ELSE string_agg(text, chr(10) ORDER BY line_no) END AS layer, lower(string_agg(text, chr(10) ORDER BY line_no)) AS recognised FROM ({LINES_SQL}) AS l GROUP BY doc_id, line_no // 10"
+
+
+def _pages(spark, sf_dir):
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n")
+    paged = lines(spark, sf_dir).withColumn("p", F.floor(F.col("line_no") / 10)).groupBy("doc_id", "p").agg(text.alias("t"))
+    empty = (F.col("doc_id") + F.col("p")) % 3 == 0
+    return paged.select(F.col("doc_id").alias("path"), (F.col("p") + 1).cast("int").alias("page_no"), F.when(empty, "").otherwise(F.col("t")).alias("text"), F.lower("t").alias("recognised"))
+
+
+@query(f"SELECT doc_id, page_no, md5(CASE WHEN length({S.strip('layer')}) > 30 THEN layer WHEN {S.strip('recognised')} <> '' THEN recognised ELSE layer END) AS digest FROM ({_PAGES_SQL}) AS p WHERE {S.strip('layer')} <> '' OR {S.strip('recognised')} <> ''")
+def page_texts(spark, sf_dir):
+    """The text layer or the recognised text, page by page."""
+    pages = _pages(spark, sf_dir)
+    chosen = files.chosen_pages(pages.drop("recognised"), pages.select("path", "page_no", F.col("recognised").alias("text")))
+    return chosen.select(F.col("path").alias("doc_id"), "page_no", F.md5("text").alias("digest"))
+
+
+@query(f"SELECT doc_id, count(*) AS num_pages, coalesce(avg(length({S.strip('layer')})) FILTER (page_no <= 3) < 100, true) AS is_scanned FROM ({_PAGES_SQL}) AS p GROUP BY doc_id")
+def page_statistics(spark, sf_dir):
+    pages = _pages(spark, sf_dir).drop("recognised")
+    found = files.page_counts(pages).join(files.scanned_files(pages), "path", "left")
+    return found.select(F.col("path").alias("doc_id"), "num_pages", F.coalesce("is_scanned", F.lit(True)).alias("is_scanned"))
+
+
 @query("SELECT doc_id, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS snippet FROM documents")
 def snippets(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.snippet(F.col("text")).alias("snippet"))
@@ -271,7 +376,7 @@ def similarity_matrix(spark, sf_dir):
 
 @query(f"SELECT doc_id, idx_a, idx_b, similarity, row_number() OVER (PARTITION BY doc_id, idx_a ORDER BY similarity DESC, idx_b)::INT AS rank FROM ({_PAIRS_SQL}) AS p QUALIFY rank <= 3")
 def similarity_topk(spark, sf_dir):
-    return match.top_k(match.similarities(*_sides(spark, sf_dir)), 3)
+    return match.top_k(*_sides(spark, sf_dir), 3)
 
 
 @query("SELECT q.vec_id AS query_id, m.vec_id AS match_id, round(list_dot_product(q.embedding::DOUBLE[], m.embedding::DOUBLE[]), 6) AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY similarity DESC, m.vec_id)::INT AS rank FROM embeddings q JOIN embeddings m ON q.vec_id % 20 = 0 QUALIFY rank <= 5")
@@ -295,17 +400,54 @@ def compare_change_summary(spark, sf_dir):
     return match.change_summary(match.classify_changes(*_sides(spark, sf_dir), **THRESHOLDS))
 
 
-@query()
+_ITEMS = lambda s, text="clause": f"coalesce(string_agg({text}, ';' ORDER BY status, idx_a, idx_b) FILTER (status IN ({s})), '')"
+_ITEM = "concat_ws('|', idx_a::VARCHAR, coalesce(idx_b::VARCHAR, '-'), similarity::DECIMAL(12, 6)::VARCHAR, status)"
+
+
+@query(f"SELECT doc_id, {_ITEMS(S.quote('added'), 'idx_b::VARCHAR')} AS added_clauses, {_ITEMS(S.quote('removed'), _ITEM)} AS removed_clauses, {_ITEMS(S.quote('modified'), _ITEM)} AS modified_clauses, {_ITEMS(S.quote('identical') + ', ' + S.quote('related'), _ITEM)} AS similar_clauses FROM ({_STATUS_SQL}) AS s GROUP BY doc_id")
+def compare_response(spark, sf_dir):
+    """The typed answer per contract, its items as texts."""
+    sides = _sides(spark, sf_dir)
+    typed = match.response(match.classify_changes(*sides, **THRESHOLDS), sides[0].unionByName(sides[1]))
+    item = lambda x: F.concat_ws("|", x["clause_a"], F.coalesce(x["clause_b"], F.lit("-")), x["similarity"].cast("decimal(12,6)").cast("string"), x["status"])
+    return typed.select("doc_id", F.array_join("added_clauses", ";").alias("added_clauses"), *(F.array_join(F.transform(n, item), ";").alias(n) for n in match.RESPONSE))
+
+
+@query(f"SELECT doc_id, string_agg(format('[{{}}] {{}} -> {{}}', status, coalesce(idx_a::VARCHAR, '-'), coalesce(idx_b::VARCHAR, '-')), chr(10) ORDER BY coalesce(idx_a, 2147483647), coalesce(idx_b, -1)) AS report FROM ({_STATUS_SQL}) AS s GROUP BY doc_id")
+def compare_report(spark, sf_dir):
+    return match.report(match.classify_changes(*_sides(spark, sf_dir), **THRESHOLDS), "text")
+
+
+def _clauses_sql(source: str) -> str:
+    """Clauses as preprocess() gives them."""
+    return f"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1)::INT AS idx, clause FROM (SELECT doc_id, clause, min(para_idx) AS p FROM (SELECT doc_id, para_idx, {S.strip(S.sub('text', r'\s+', ' '))} AS clause FROM ({source}) AS r) AS n WHERE clause <> '' GROUP BY doc_id, clause) AS f"
+
+
+def _vectors_sql(source: str) -> str:
+    """Entries of the unit vectors of hashed words and word pairs."""
+    return rf"""SELECT doc_id, idx, bucket, (n / sqrt(sum(n * n) OVER (PARTITION BY doc_id, idx)))::FLOAT::DOUBLE AS x FROM (
+      SELECT doc_id, idx, ('0x' || left(md5(w), 7))::BIGINT % {match.DIMENSIONS} AS bucket, count(*)::DOUBLE AS n FROM (
+        SELECT doc_id, idx, unnest(list_concat(l, list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1]))) AS w FROM (SELECT doc_id, idx, regexp_extract_all(lower(clause), '\w+') AS l FROM ({_clauses_sql(source)}) AS c) AS t) AS u GROUP BY 1, 2, 3) AS k"""
+
+
+@query(
+    f"""WITH a AS MATERIALIZED ({_clauses_sql(CORPUS_SQL)}), b AS MATERIALIZED ({_clauses_sql(REVISED_SQL)}),
+    p AS (SELECT doc_id, i AS idx_a, j AS idx_b, round(sum(s), 6) AS similarity FROM (
+      SELECT x.doc_id, x.idx AS i, y.idx AS j, x.x * y.x AS s FROM ({_vectors_sql(CORPUS_SQL)}) AS x JOIN ({_vectors_sql(REVISED_SQL)}) AS y ON x.doc_id = y.doc_id AND x.bucket = y.bucket
+      UNION ALL SELECT a.doc_id, a.idx, b.idx, 0.0 FROM a JOIN b ON a.doc_id = b.doc_id) AS q GROUP BY 1, 2, 3),
+    t AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY doc_id, idx_a ORDER BY similarity DESC, idx_b) = 1),
+    f AS (SELECT a.doc_id, a.idx AS idx_a, a.clause AS clause_a, t.idx_b AS best, coalesce(similarity, -1.0::DOUBLE) AS similarity FROM a LEFT JOIN t ON a.doc_id = t.doc_id AND a.idx = t.idx_a),
+    j AS (SELECT *, CASE WHEN similarity >= {match.IDENTICAL} THEN 'identical' WHEN similarity >= {match.MODIFIED} THEN 'modified' WHEN similarity >= {match.RELATED} THEN 'related' ELSE 'removed' END AS status FROM f)
+    SELECT j.doc_id, status, idx_a, b.idx AS idx_b, clause_a, b.clause AS clause_b, similarity FROM j LEFT JOIN b ON j.doc_id = b.doc_id AND j.best = b.idx AND status <> 'removed'
+    UNION ALL SELECT doc_id, 'added', NULL, idx, NULL, clause, NULL FROM b WHERE NOT EXISTS (SELECT 1 FROM j WHERE j.doc_id = b.doc_id AND j.best = b.idx AND j.status <> 'removed')"""
+)
 def compare_contracts(spark, sf_dir):
     """Both versions of every contract, by hashed word vectors."""
     paragraphs = corpus(spark, sf_dir)
     return match.compare(paragraphs, revised(paragraphs))
 
 
-_CLAUSES_SQL = f"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1)::INT AS idx, clause FROM (SELECT doc_id, clause, min(para_idx) AS p FROM (SELECT doc_id, para_idx, {S.strip(S.sub('text', r'\s+', ' '))} AS clause FROM ({REVISED_SQL}) AS r) AS n WHERE clause <> '' GROUP BY doc_id, clause) AS f"
-
-
-@query(_CLAUSES_SQL)
+@query(_clauses_sql(REVISED_SQL))
 def clause_dedupe(spark, sf_dir):
     return match.preprocess(revised(corpus(spark, sf_dir)))
 
@@ -325,11 +467,31 @@ def summary_sections(spark, sf_dir):
     return summary.sections(corpus(spark, sf_dir).select("doc_id", F.col("para_idx").alias("sentence_no"), F.col("text").alias("sentence")))
 
 
-@query()
-def contract_summaries(spark, sf_dir):
+def _summaries(spark, sf_dir):
     return summary.summarise(joined(corpus(spark, sf_dir)))
 
 
+@query(folds.summaries(_JOINED_SQL))
+def contract_summaries(spark, sf_dir):
+    """Lists as texts, a line for each entry."""
+    lists = ("key_points", "obligations", "payment_terms", "termination", "risks")
+    return _summaries(spark, sf_dir).select("doc_id", "overall_summary", *(F.array_join(c, "\n").alias(c) for c in lists))
+
+
+_EXPLAINED_SQL = f"SELECT doc_id, summary, key_points, {S.quote(summary.PLAIN_PROMPT)} || summary AS prompt, CASE WHEN len(first) > 0 THEN 'In short: ' || array_to_string(first, ' ') ELSE '' END AS explanation FROM (SELECT doc_id, overall_summary AS summary, key_points, {folds.sentences('overall_summary')}[:2] AS first FROM ({folds.summaries(_JOINED_SQL)}) AS s WHERE trim(overall_summary) <> '') AS e"
+
+
+@query(_EXPLAINED_SQL)
+def summary_explanations(spark, sf_dir):
+    """Each summary with the request for a plain-language explanation, and the default answer to it."""
+    return summary.explained(_summaries(spark, sf_dir)).withColumn("key_points", F.array_join("key_points", "\n"))
+
+
+@query(f"SELECT doc_id, concat_ws(chr(10), nullif({S.strip('summary')}, ''), chr(10) || '**Key points**' || chr(10) || '- ' || replace(key_points, chr(10), chr(10) || '- '), CASE WHEN trim(explanation) <> '' THEN chr(10) || '**In plain language**' || chr(10) || {S.strip('explanation')} END) AS message FROM ({_EXPLAINED_SQL}) AS m")
+def summary_messages(spark, sf_dir):
+    return summary.summary_message(summary.explained(_summaries(spark, sf_dir)))
+
+
 # Chat -----------------------------------------------------------------------------------------------------------------
 
 #: Questions put before each message, by conversation and turn, as the messages themselves hold no intent.
@@ -402,6 +564,25 @@ def user_sessions_30m(spark, sf_dir):
     return sessions.sessions(table(spark, sf_dir, "events"))
 
 
+@query(f"SELECT user_id, event_id, s::INT AS session_no, row_number() OVER (PARTITION BY user_id, s ORDER BY ts, event_id) = 1 AS created, least(row_number() OVER (PARTITION BY user_id, s ORDER BY ts, event_id), 6)::INT AS n_messages FROM ({_GAPS_SQL.replace('SELECT user_id, ts,', 'SELECT user_id, event_id, ts,')}) AS g")
+def session_states(spark, sf_dir):
+    return sessions.session_states(table(spark, sf_dir, "events"))
+
+
+@query("SELECT conv_id, turn, text, CASE WHEN turn % 2 = 0 THEN true ELSE turn % 3 = 0 END AS use_preprocessing, CASE WHEN turn % 2 = 0 THEN false ELSE turn % 5 = 0 END AS use_hybrid, CASE WHEN trim(text) = '' THEN 'empty_text' END AS problem FROM conversations")
+def raw_requests(spark, sf_dir):
+    """Messages as requests; those of odd turns name their flags."""
+    odd = F.col("turn") % 2 == 1
+    asked = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("request_id"), "text", F.when(odd, F.col("turn") % 3 == 0).alias("use_preprocessing"), F.when(odd, F.col("turn") % 5 == 0).alias("use_hybrid"))
+    return sessions.raw_requests(asked).select("request_id.*", "text", "use_preprocessing", "use_hybrid", "problem")
+
+
+@query("SELECT event_id, CASE upper(event_type) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in sessions.TASK_STATES.items()) + " ELSE 'pending' END AS shown, CASE WHEN event_id % 5 < 3 THEN (5 * 2 ** (event_id % 5))::INT END AS delay FROM (SELECT event_id, ['success', 'started', 'FAILURE', 'odd'][(event_id % 4 + 1)::INT] AS event_type FROM events) AS e")
+def task_states(spark, sf_dir):
+    state = F.element_at(F.array(*map(F.lit, ("success", "started", "FAILURE", "odd"))), (F.col("event_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", sessions.shown_state(state).alias("shown"), sessions.retry_delay(F.col("event_id") % 5).alias("delay"))
+
+
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n_events, round(sum(value), 4) AS total_value FROM events GROUP BY 1, 2")
 def events_tumbling(spark, sf_dir):
     return sessions.tumbling(table(spark, sf_dir, "events"))
@@ -439,7 +620,7 @@ def upload_checks(spark, sf_dir):
     return _uploads(spark, sf_dir).select("uploaded_at", T.stored_name(F.col("contract_id").cast("string"), F.col("name")).alias("stored"), T.upload_problem(F.col("name"), F.col("size")).alias("problem"))
 
 
-@query(f"SELECT contract_id, name, size, uploaded_at FROM ({_UPLOADS_SQL}) AS u QUALIFY row_number() OVER (PARTITION BY contract_id ORDER BY uploaded_at DESC) = 1")
+@query(f"SELECT contract_id, name, size, uploaded_at FROM ({_UPLOADS_SQL}) AS u QUALIFY row_number() OVER (PARTITION BY contract_id ORDER BY uploaded_at DESC, name DESC) = 1")
 def contract_registry(spark, sf_dir):
     return sessions.registry(_uploads(spark, sf_dir))
 
@@ -496,12 +677,12 @@ def stratified_split(spark, sf_dir):
 @query()
 def clause_classifier(spark, sf_dir):
     """A classifier trained on the rules' labels of four fifths of the corpus, and its metrics on the rest."""
-    rows = learn.stratified_split(classify.detect_clauses(corpus(spark, sf_dir)).filter("label <> 'other'").withColumn("key", F.concat_ws("-", "doc_id", "para_idx")), "key", "label").cache()
+    rows = learn.stratified_split(classify.detect_clauses(corpus(spark, sf_dir)).filter("label <> 'other'").withColumn("key", F.concat_ws("-", "doc_id", "para_idx")), "key", "label")
     predict = learn.train(rows.filter("split = 'train'").select("text", "label"))
     return learn.metrics(learn.confusion(predict(rows.filter("split = 'test'").select("doc_id", "text", "label")), "label", "ml_label"))
 
 
-@query()
+@query("SELECT doc_id, lang FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 10000")
 def tuning_order(spark, sf_dir):
     return quality.shuffled_first(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
 

@@ -49,6 +49,22 @@ RISK_TEMPLATES: dict[str, str] = {
 }
 GENERIC_TEMPLATE = "The phrase '{phrase}' may carry legal risk and should be reviewed."
 
+# Notes of the risk service by what a category's name holds, the first that does; the keys are fixed values.
+CATEGORY_NOTES: tuple[tuple[str, str], ...] = (
+    ("liability", "Liability: without a cap one side may owe far more than the contract is worth. Ask for a limit."),
+    ("termination", "Termination: check the notice period, and who may leave without a cause."),
+    ("confidentiality", "Confidentiality: check what counts as confidential, and for how long."),
+    ("indemnification", "Indemnification: a promise to bear all claims should be mutual and limited."),
+    ("dispute_resolution", "Disputes: a distant forum or forced arbitration makes claims costly."),
+    ("non_compete", "Non-compete: check its time, its area and its trade."),
+    ("intellectual_property", "Intellectual property: state who owns earlier work and what is made later."),
+    ("force_majeure", "Force majeure: a wide definition may excuse too much."),
+    ("payment_terms", "Payment: look for rising prices, late fees and short terms."),
+    ("governing_law", "Governing law: foreign law and courts raise the cost of any dispute."),
+    ("warranties", "Warranties: check that they are mutual and not all disclaimed."),
+)
+OTHER_NOTE, NO_RISK_NOTE = "A risk of the kind '{category}' was found. Review it with care.", "No notable legal risk was found in the text."
+
 # Summary sections (unanchored, on lower-cased sentences).
 SECTION_PATTERNS: dict[str, str] = {
     "obligations": r"oblig|duty|duties|shall|must provide|must deliver",

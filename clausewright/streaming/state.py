@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from clausewright.operators.sessions import HISTORY, RATE, RATE_SECONDS, RateState, sessions, sliding, tumbling
+from clausewright.operators.sessions import HISTORY, IDLE_SECONDS, RATE, RATE_SECONDS, RateState, sessions, sliding, tumbling
 
 
 def stream_sessions(events: DataFrame, late: str = "10 minutes") -> DataFrame:
@@ -45,15 +45,23 @@ def stream_rate_decisions(requests: DataFrame, most: int = RATE, seconds: float
     return timed.groupBy("user_id").applyInPandasWithState(decide, "user_id long, event_id long, allowed boolean", "count int, start double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_histories(messages: DataFrame, most: int = HISTORY) -> DataFrame:
-    """ST3 on a stream: (conv_id, turns) of the last messages, updated as they come."""
+def stream_histories(messages: DataFrame, most: int = HISTORY, idle: int = IDLE_SECONDS, late: str = "10 minutes") -> DataFrame:
+    """ST1 and ST3 on a stream: messages (conv_id, turn, ts) to (conv_id, turns) of the last messages, updated as they
+    come. A conversation is created by its first message and forgotten once the watermark has passed `idle` seconds
+    beyond its last: a later message finds none and begins anew."""
 
     def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held, last = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
         for batch in batches:
             held += batch["turn"].tolist()
+            last = max(last, int(batch["at"].max()))
         held = sorted(held)[-most:]
-        state.update((held,))
+        state.update((held, last))
+        state.setTimeoutTimestamp(max(last + idle * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"conv_id": [key[0]], "turns": [held]})
 
-    return messages.select("conv_id", "turn").groupBy("conv_id").applyInPandasWithState(keep, "conv_id long, turns array<long>", "turns array<long>", "update", GroupStateTimeout.NoTimeout)
+    timed = messages.withWatermark("ts", late).select("conv_id", "turn", "ts", (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long").alias("at"))
+    return timed.groupBy("conv_id").applyInPandasWithState(keep, "conv_id long, turns array<long>", "turns array<long>, last long", "update", GroupStateTimeout.EventTimeTimeout)

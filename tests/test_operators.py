@@ -25,10 +25,14 @@ def paragraphs(spark, texts):
 
 
 def test_rule_literals_are_required():
+    """Wherever a rule matches, its literal stands: in the corpus' phrases, and in each rule's plainest match."""
+    matched = 0
     for patterns in rules.CLAUSE_PATTERNS.values():
         for p in patterns:
-            sample = re.sub(r"\\b|\[s\]\?|s\?|\.\*", "", p).replace("(?:is|are)", "is").replace("(in|herein)", "in").replace("(?:y|ication)", "y").replace("(?:es)?", "").replace("(?:y|ies)", "y").replace("(?:a )?", "").replace("(?:e|or)", "e")
-            assert re.search(p, sample, re.I) is None or rules.required_literal(p) in sample.lower(), p
+            for found in re.finditer(p, " ".join(PHRASES), re.I):
+                matched += 1
+                assert rules.required_literal(p) in found[0].lower(), p
+    assert matched > 60
 
 
 def test_detection_against_a_plain_loop(spark):
@@ -48,7 +52,7 @@ def test_hybrid_methods(spark):
     learned = spark.createDataFrame([(1, 0, "other", 0.99), (1, 1, "termination", 0.5), (1, 2, "termination", 0.5)], "doc_id int, para_idx int, ml_label string, ml_confidence double")
     got = classify.hybrid(ruled, learned).orderBy("para_idx").collect()
     assert [(r["label"], r["method"]) for r in got] == [("parties", "rule_based"), ("termination", "ml_fallback"), ("parties", "rule_based_low_confidence")]
-    assert classify.cascade(ruled, lambda unsure: learned.join(unsure, ["doc_id", "para_idx"], "left_semi")).orderBy("para_idx").collect() == got
+    assert classify.cascade(ruled, lambda unsure: unsure.join(learned, ["doc_id", "para_idx"])).orderBy("para_idx").collect() == got
 
 
 def test_page_numbers_and_groups(spark):
@@ -94,7 +98,7 @@ def test_comparison_statuses(spark):
 def test_blocked_search_is_exact(spark, small):
     vectors = table(spark, small, "embeddings").limit(60)
     asked = vectors.filter("vec_id % 20 = 0")
-    one, many = (sorted(map(tuple, match.top_k_blocked(asked, vectors, 4, broadcast_rows=n).collect())) for n in (50_000, 7))
+    one, many = (sorted(map(tuple, match.top_k_blocked(asked, vectors, 4, block_rows=n).collect())) for n in (4096, 7))
     assert one == many and len(one) == 4 * asked.count()
 
 
@@ -120,10 +124,10 @@ def test_chat_rules(spark):
     assert classify.answered(frame).filter("message_id = 3").first()["response"] == rules.FALLBACK_ANSWER
     remote = lambda m: m.select("message_id", F.when(F.col("message_id") == 3, "remote").alias("remote_response"))
     assert classify.answered(frame, remote).filter("message_id = 3").first()["response"] == "remote"
-    asked = ["map all clauses and give a summary", "summarise this", "any risks", "compare them", "draft one", "so", " "]
+    asked = ["map the clauses and give a summary", "summarise this", "any risks", "compare them", "draft one", "so", " "]
     intents, sure = classify.intent(F.col("m"))
     rows = spark.createDataFrame(list(enumerate(asked)), "i int, m string").select("i", intents.alias("intent"), sure.alias("sure")).orderBy("i").collect()
-    assert [r["intent"] for r in rows] == ["GENERAL", "SUMMARY", "RISK", "COMPARE", "DRAFT", "GENERAL", "GENERAL"] or rows[0]["intent"] in ("CLAUSE_MAP", "SUMMARY")
+    assert [r["intent"] for r in rows] == ["CLAUSE_MAP", "SUMMARY", "RISK", "COMPARE", "DRAFT", "GENERAL", "GENERAL"]
     assert [r["sure"] for r in rows[-2:]] == [0.5, 1.0]
 
 
@@ -179,7 +183,7 @@ def test_streams_agree_with_batch(spark, small, tmp_path):
 
 
 def test_histories_stream(spark, small, tmp_path):
-    messages = table(spark, small, "conversations")
+    messages = table(spark, small, "conversations").select("conv_id", "turn", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn")).alias("ts"))
     messages.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(messages.schema).parquet(str(tmp_path / "in"))
     run = state.stream_histories(stream, 3).writeStream.format("memory").queryName("histories").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
@@ -188,6 +192,18 @@ def test_histories_stream(spark, small, tmp_path):
     assert sorted(map(tuple, spark.table("histories").collect())) == sorted(map(tuple, last.collect()))
 
 
+def test_idle_histories_are_forgotten(spark, tmp_path):
+    at = lambda conv, turn, seconds: (conv, turn, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=seconds))
+    batches = [[at(1, 1, 0), at(1, 2, 10)], [at(2, 1, 3000)], [at(2, 2, 3001)], [at(1, 3, 3100)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, "conv_id long, turn long, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in" / f"{i}"))
+    stream = spark.readStream.schema("conv_id long, turn long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    run = state.stream_histories(stream, 3, late="1 second").writeStream.format("memory").queryName("forgotten").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    rows = sorted(map(tuple, spark.table("forgotten").collect()))
+    assert (1, [1, 2]) in rows and (1, [3]) in rows and (2, [1, 2]) in rows
+
+
 def test_task_states(spark):
     frame = spark.createDataFrame([("SUCCESS", 0), ("odd", 2), ("STARTED", 3)], "s string, n int")
     got = frame.select(sessions.shown_state(F.col("s")).alias("s"), sessions.retry_delay(F.col("n")).alias("d")).collect()
@@ -273,3 +289,134 @@ def test_drafts(spark):
     row = drafts.drafts(spark.createDataFrame([("A", " ", "now")], "party_a string, party_b string, date string"), "nda").first()
     assert row["draft"] == "NON-DISCLOSURE AGREEMENT between A and [Party B], effective now. Each party keeps the other's confidential information secret for [Duration]."
     assert sessions.search_landmarks(sessions.landmark_cards(spark), "smoke BALL").count() == 1
+    assert sessions.search_landmarks(sessions.landmark_cards(spark), "field: torts").count() == 1
+    saved = spark.createDataFrame([("a", 1), ("b", 2)], "id string, n int")
+    assert drafts.without(saved, "a").collect() == [("b", 2)]
+
+
+def test_plain_language(spark):
+    text = "The buyer shall pay the price within ten days of delivery. Either party may terminate on notice given in writing. A third sentence ends the text of this."
+    rows = summary.explained(summary.summarise(spark.createDataFrame([(1, text)], "doc_id int, text string")))
+    first = rows.first()
+    assert first["prompt"] == summary.PLAIN_PROMPT + text and first["explanation"] == "In short: " + ". ".join(text.split(". ")[:2]) + "."
+    asked = summary.explained(summary.summarise(spark.createDataFrame([(1, text)], "doc_id int, text string")), lambda prompt: F.concat(F.lit("n="), F.length(prompt).cast("string")))
+    assert asked.first()["explanation"] == f"n={len(summary.PLAIN_PROMPT + text)}"
+    message = summary.summary_message(rows).first()["message"]
+    assert message.startswith(text + "\n\n**Key points**\n- The buyer") and message.endswith("in writing.") and "**In plain language**" in message
+    assert summary.summary_message(spark.createDataFrame([(1, " ", [], "")], "doc_id int, summary string, key_points array<string>, explanation string")).first()["message"] == ""
+
+
+def test_wrapped_lines(spark):
+    texts = {"one two three four": "one two\nthree\nfour", "extraordinarily a b": "extraordinarily\na b", "": ""}
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", summary.wrapped(F.col("t"), 8).alias("w")).collect()
+    assert dict(map(tuple, got)) == texts
+
+
+def test_risk_service(spark):
+    texts = ["The Supplier accepts unlimited liability.", "A penalty of 5 applies.", "A penalty of 9 applies."]
+    found = risk.risk_matches(paragraphs(spark, texts), risk.rule_table(spark))
+    row = risk.service_report(risk.risk_report(paragraphs(spark, texts), found), found).first()
+    assert row["explanation"] == rules.CATEGORY_NOTES[0][1] + "\n\n" + rules.OTHER_NOTE.replace("{category}", "penalty clauses")
+    assert (row["risky_count"], row["total_paragraphs"]) == (1, 3)
+    clean = risk.risk_matches(paragraphs(spark, ["Clean."]), risk.rule_table(spark))
+    assert risk.service_report(risk.risk_report(paragraphs(spark, ["Clean."]), clean), clean).first()["explanation"] == rules.NO_RISK_NOTE
+    told = risk.risk_matches(paragraphs(spark, texts), risk.rule_table(spark), explain=lambda rows: F.upper(rows["matched_phrase"]))
+    assert {r["explanation"] for r in told.collect()} == {"UNLIMITED LIABILITY", "PENALTY OF"}
+
+
+def test_comparison_answers(spark):
+    of = lambda rows: spark.createDataFrame(rows, "doc_id int, text string")
+    a = of([(1, "1. The fee is due within 30 days.\n2. Old clause about parking cars here."), (2, "1. Same.")])
+    b = of([(1, "1. The fee is due within 30 days.\n2. Something entirely new stands at this place."), (2, "1. Same.")])
+    changes = match.compare_texts(a, b)
+    rows = {r["doc_id"]: r for r in match.response(changes, a.unionByName(of([(3, "x")]))).collect()}
+    assert rows[1]["added_clauses"] == ["2. Something entirely new stands at this place."]
+    assert [(x["clause_a"], x["clause_b"], x["status"]) for x in rows[1]["removed_clauses"]] == [("2. Old clause about parking cars here.", None, "removed")]
+    assert [x["status"] for x in rows[1]["similar_clauses"]] == ["identical"] and rows[1]["modified_clauses"] == []
+    assert [rows[3][c] for c in ("added_clauses", *match.RESPONSE)] == [[], [], [], []]
+    assert "[added] - -> 2. Something" in match.report(changes.filter("doc_id = 1"), "text").first()["report"]
+    assert json.loads(match.report(changes.filter("doc_id = 2"), "dict").first()["report"])["similar_clauses"][0]["clause_a"] == "1. Same."
+    assert match.report(changes, "report").count() == 2
+    with pytest.raises(ValueError, match="output format"):
+        match.report(changes, "pdf")
+
+
+def test_blocks_give_the_same_pairs(spark, small, monkeypatch):
+    vectors = table(spark, small, "embeddings").select(F.col("label").alias("doc_id"), F.col("vec_id").cast("int").alias("idx"), F.col("embedding").alias("vector"))
+    a, b = vectors.filter("idx % 2 = 0"), vectors.filter("idx % 2 = 1")
+    whole = [sorted(map(tuple, f.collect())) for f in (match.similarities(a, b), match.best(a, b), match.top_k(a, b, 3))]
+    monkeypatch.setattr(match, "BLOCK_ROWS", 3)
+    assert [sorted(map(tuple, f.collect())) for f in (match.block_similarities(match_rows(a, 3), match_rows(b, 3)), match.best(a, b), match.top_k(a, b, 3))] == whole
+    wide = match.matrix(match.similarities(a, b), 4)
+    assert wide.columns == ["doc_id", "idx_a", "0", "1", "2", "3"]
+
+
+def match_rows(clauses, rows):
+    return clauses.repartition(rows)
+
+
+def test_embedding_with_a_model(spark):
+    clauses = spark.createDataFrame([(1, 0, "abc"), (1, 1, "")], "doc_id int, idx int, clause string")
+    got = match.embed_with(clauses, lambda texts: [[len(t) * 3.0, len(t) * 4.0] for t in texts]).orderBy("idx").collect()
+    assert [round(x, 4) for x in got[0]["vector"]] == [0.6, 0.8] and list(got[1]["vector"]) == [0.0, 0.0]
+
+
+def test_comparable_requests(spark):
+    known = spark.createDataFrame([("a",), ("b",)], "contract_id string")
+    asked = spark.createDataFrame([("a", "b"), ("a", "a"), ("a", "z")], "id_a string, id_b string")
+    assert [r["problem"] for r in match.comparable(asked, known).orderBy("id_b").collect()] == ["same_contract", None, "unknown_contract"]
+
+
+def test_contract_texts(spark):
+    contracts = spark.createDataFrame([("a", "text")], "contract_id string, text string")
+    got = sessions.contract_text(spark.createDataFrame([("a",), ("z",)], "contract_id string"), contracts).orderBy("contract_id").collect()
+    assert [r["text"] for r in got] == ["text", None]
+
+
+def test_prompts_and_numbered_lines(spark, tmp_path):
+    rows = quality.prompt_text(spark.createDataFrame([("q", "a")], "prompt string, completion string"))
+    assert rows.first()["training_text"] == "### Instruction:\nq\n\n### Response:\na"
+    text = "\n".join(f"line {i}" for i in range(2000))
+    (tmp_path / "lines.txt").write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        got = files.read_numbered_lines(spark, str(tmp_path / "lines.txt")).orderBy("line_no").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r["line_no"], r["raw"]) for r in got] == [(i + 1, f"line {i}") for i in range(2000)]
+
+
+def test_pages_one_by_one(spark):
+    layer = spark.createDataFrame([("a", 1, "a text layer that is long enough to stand"), ("a", 2, "short"), ("a", 3, " "), ("a", 4, "")], "path string, page_no int, text string")
+    read = spark.createDataFrame([("a", 1, "other"), ("a", 2, "read by the recogniser"), ("a", 3, "")], "path string, page_no int, text string")
+    got = files.chosen_pages(layer, read).orderBy("page_no").collect()
+    assert [(r["page_no"], r["text"]) for r in got] == [(1, "a text layer that is long enough to stand"), (2, "read by the recogniser")]
+
+
+def test_image_steps(spark):
+    images = spark.createDataFrame([("a", 1, b"x"), ("a", 2, b"y")], "path string, page_no int, content binary")
+    angles = spark.createDataFrame([("a", 1, i, float(a)) for i, a in enumerate((1, 2, 9))] + [("a", 2, 0, 0.2)], "path string, page_no int, line_no int, angle double")
+
+    def broken(image):
+        raise ValueError
+
+    steps = {"grayscale": lambda c: c + b"g", "denoise": broken, "threshold": lambda c: c + b"t", "deskew": lambda c, a: c + str(a).encode()}
+    content = lambda f: [bytes(r["content"]) for r in f.orderBy("page_no").collect()]
+    assert content(files.cleaned_images(images, steps, angles=angles)) == [b"xgt2.0", b"ygt"]
+    assert content(files.cleaned_images(images, steps, off=("grayscale", "deskew"), angles=angles)) == [b"xt", b"yt"]
+    assert [r["angle"] for r in files.median_angle(angles).orderBy("page_no").collect()] == [2.0, 0.0]
+
+
+def test_model_files(spark, small, tmp_path):
+    rows = classify.detect_clauses(corpus(spark, small)).filter("label IN ('termination', 'confidentiality')").select("text", "label")
+    predict = learn.train(rows)
+    sinks.save_model(predict.model, learn.metrics(learn.confusion(predict(rows), "label", "ml_label")), str(tmp_path))
+    from pyspark.ml import PipelineModel
+
+    assert len(PipelineModel.load(str(tmp_path / "model")).stages) == 7 and spark.read.json(str(tmp_path / "metrics")).first()["accuracy"] > 0.9
+
+
+def test_registry_ties(spark):
+    uploads = spark.createDataFrame([("c", "a.pdf", 1), ("c", "b.pdf", 1)], "contract_id string, name string, uploaded_at int")
+    for frame in (uploads, uploads.orderBy(F.desc("name"))):
+        assert sessions.registry(frame).first()["name"] == "b.pdf"

@@ -37,9 +37,10 @@ def test_query(spark, duck, small, name):
     assert sorted((tuple(plain(r[c]) for c in columns) for r in frame.collect()), key=repr) == expected
 
 
-@pytest.mark.parametrize("name", ["clause_map_summary", "merge_short_orphans", "overlap_chunks", "contract_summaries", "risk_report_json", "compare_contracts"])
-def test_other_queries_have_rows(spark, small, name):
-    assert QUERIES[name](spark, small).count() > 0
+def test_queries_without_sql(spark, small):
+    assert QUERIES["risk_report_json"](spark, small).count() > 0
+    # Trained on the rules' own labels: near them, but not the same on every engine.
+    assert QUERIES["clause_classifier"](spark, small).first()["accuracy"] > 0.9
 
 
 def test_entry(spark):
