@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from clausewright.llm.common import table
 from clausewright.llm.decontaminate import contamination_digest
 from clausewright.llm.licenses import license_digest
-from clausewright.llm.mixing import MIX_SQL, mix_digest
+from clausewright.llm.mixing import mix_digest
 from clausewright.llm.neighbours import classify_quality
 from clausewright.llm.passages import passages_digest
 from clausewright.llm.repeats import repeats_digest
 from clausewright.llm.rules import quality_rules
 from clausewright.llm.secrets import secret_digest
 from clausewright.llm.simhash import near_duplicates
+from clausewright.llm.sql import ORACLE_SQL
 from clausewright.llm.tokens import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,4 +39,4 @@ QUERIES: dict[str, Query] = {
     "op10_source_mixing": on_documents(mix_digest),
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_source_mixing": MIX_SQL}
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -7,13 +7,16 @@ import random
 import re
 import time
 
+import duckdb
 import pytest
 
 from clausewright.llm.automaton import Parser, determinise
-from clausewright.llm.common import table
+from clausewright.llm.common import shared_folder, table
 from clausewright.llm.decontaminate import contamination_digest, drop_contaminated, find_contamination
 from clausewright.llm.licenses import NOTICES, PHRASES, finder, find_licenses, license_digest
+from clausewright.llm.queries import QUERIES
 from clausewright.llm.secrets import BASE_KINDS, RULES, find_secrets, longest, redact_secrets, scanner, secret_digest, text_spans
+from clausewright.llm.sql import ORACLE_SQL
 from clausewright.llm.tokens import MARK, Trie, count_tokens, load_pieces
 from tests.llm.plain import plain_contamination, plain_secrets, plain_words
 
@@ -211,3 +214,32 @@ def test_long_tokens_outside_the_trie():
     assert trie.count(word) == plain_tokens(word, trie) and len(trie.children) == 1
     for n in (5, 40, 999):
         assert trie.count(word[:n]) == trie.count_long(word[:n])
+
+
+def test_no_folder_of_its_own_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session())
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_queries_against_sql(spark, small, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+    frame = QUERIES[name](spark, small)
+    columns = sorted(frame.columns)
+    result = con.execute(ORACLE_SQL[name])
+    names = [d[0] for d in result.description]
+    plain = lambda v: round(v, 6) if isinstance(v, float) else v
+    expected = sorted(tuple(plain(r[names.index(c)]) for c in columns) for r in result.fetchall())
+    assert sorted(names) == columns and sorted(tuple(plain(r[c]) for c in columns) for r in frame.collect()) == expected
