@@ -156,12 +156,13 @@ def removed(spark: SparkSession, *tables: DataFrame) -> None:
 
 def numbered(docs: DataFrame) -> DataFrame:
     """(doc_id, doc, text): doc orders the documents and tells them apart. It is doc_id itself unless that is null or
-    repeated somewhere; then it is the rank among the distinct (doc_id, text), nulls first, found by a distributed sort.
+    repeated somewhere; then it grows with (doc_id, digest of the text), nulls first, by a distributed sort.
     Rows that repeat both are one document."""
     own = texts(docs)
     if not own.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").limit(1).count():
-        # The filter holds for every row; it makes inner and outer joins read one exchange of the texts.
         return own.select("doc_id", F.col("doc_id").alias("doc"), "text").filter("doc IS NOT NULL")
     keyed = own.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_digest"), F.coalesce("text", F.lit("")).alias("text"))
-    ranks = keyed.select("doc_id", "_digest").distinct().orderBy(F.col("doc_id").asc_nulls_first(), "_digest").rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF("_id long, _of string, doc long")
+    # A table, as the numbers of a sort can differ from one run of it to the next.
+    order = keyed.select("doc_id", "_digest").distinct().orderBy(F.col("doc_id").asc_nulls_first(), "_digest")
+    ranks = written(order.select(F.col("doc_id").alias("_id"), F.col("_digest").alias("_of"), F.monotonically_increasing_id().alias("doc")), "order")
     return keyed.join(ranks, keyed["doc_id"].eqNullSafe(ranks["_id"]) & (keyed["_digest"] == ranks["_of"])).select("doc_id", "doc", "text").filter("doc IS NOT NULL")

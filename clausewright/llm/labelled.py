@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Tasks that share the sample, which a limit leaves in one.
+PARTS = 12
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows: int, where: F.Column | None = None) -> DataFrame:
     """(doc_id, text, label) of at most `rows` labelled documents, the first by a digest of doc_id, so that reruns agree.
     Null ids and labels are left out; an id labelled twice counts with its larger label, an id with several texts with
@@ -18,4 +22,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows: int,
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = own.join(F.broadcast(chosen), "doc_id")
     # An id may stand for many rows: the bound holds for rows too, the first by digests of id and text.
-    return found.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text").limit(rows)
+    few = found.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text").limit(rows)
+    return few.repartition(PARTS)

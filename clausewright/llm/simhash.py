@@ -202,7 +202,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found.view(np.int64))], ["doc_id", "digest", "fp"])
 
     nodes = cut(texts(known, digest.alias("digest")).mapInArrow(run, "doc_id long, digest string, fp long"))
-    least = nodes.join(components_of(nodes), "fp").groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("least"))
+    first = nodes.groupBy("fp").agg(F.min(F.struct("doc_id", "digest")).alias("first"))  # before the join: copies share a fingerprint
+    least = first.join(components_of(nodes), "fp").groupBy("component").agg(F.min("first").alias("least"))
     chosen = least.select(F.col("least.doc_id").alias("kept_id"), F.col("least.digest").alias("kept"))
     kept = known.join(chosen, (ids == chosen["kept_id"]) & (digest == chosen["kept"]), "left_semi")
     if not nodes.groupBy("doc_id", "digest").count().filter("count > 1").limit(1).isEmpty():
