@@ -36,11 +36,14 @@ def computed(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 
 def clause_scores(paragraphs: DataFrame, patterns: dict[str, tuple[str, ...]] = rules.CLAUSE_PATTERNS) -> DataFrame:
-    """C1's counts: paragraphs with one column score_<class> each. Wide, so that no paragraph is joined to 145 rules.
-    A null text scores 0."""
+    """C1's counts: paragraphs with one column score_<class> each. Wide, so that no paragraph is joined to 145 rules. A
+    column per rule comes first: with so many, rules are evaluated one by one, where the sums of a class would become
+    one method too large to be compiled. A null text scores 0."""
     with_low = paragraphs.withColumn("_low", folded(F.col("text")))
-    counts = {f"score_{c}": F.coalesce(reduce(lambda a, b: a + b, (rule_count(F.col("text"), F.col("_low"), p) for p in ps)), F.lit(0)) for c, ps in patterns.items()}
-    return computed(with_low, counts).drop("_low")
+    counts = {f"_rule_{c}_{i}": F.coalesce(rule_count(F.col("text"), F.col("_low"), p), F.lit(0)) for c, ps in patterns.items() for i, p in enumerate(ps)}
+    each = computed(with_low, counts)
+    sums = (reduce(lambda a, b: a + b, (F.col(f"_rule_{c}_{i}") for i in range(len(ps)))).alias(f"score_{c}") for c, ps in patterns.items())
+    return each.select(*paragraphs.columns, *sums)
 
 
 def decided(scored: DataFrame, classes: tuple[str, ...] = CLASSES) -> DataFrame:

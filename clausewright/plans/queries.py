@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -342,9 +343,34 @@ def html_text_extract(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html_text(F.col("html")).alias("text"))
 
 
-@query(f"SELECT doc_id, para_idx AS id, text, length(text)::INT AS char_count FROM ({CORPUS_SQL}) AS c")
+@query(f"SELECT doc_id, para_idx AS id, text, {folds.split_heading('text')} AS is_heading, length(text)::INT AS char_count FROM ({CORPUS_SQL}) AS c")
 def pipeline_records(spark, sf_dir):
-    return segment.pipeline_records(corpus(spark, sf_dir)).drop("is_heading")
+    return segment.pipeline_records(corpus(spark, sf_dir))
+
+
+@query(f"SELECT doc_id, len(l)::INT AS n_sentences, md5(array_to_string(l, '|')) AS digest FROM (SELECT doc_id, {folds.sentences('text')} AS l FROM documents) AS d")
+def sentence_split(spark, sf_dir):
+    found = T.sentences(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(found).alias("n_sentences"), F.md5(F.array_join(found, "|")).alias("digest"))
+
+
+@query(f"SELECT doc_id, md5({S.strip(S.sub(S.sub('lower(text)', '[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}\\s]', ' '), '\\s+', ' '))}) AS digest FROM documents")
+def lexical_normalise(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.lexical(F.col("text"))).alias("digest"))
+
+
+@query(r"SELECT doc_id, md5(array_to_string(list_filter(string_split(regexp_replace(text, '[\x00-\x08\x0B-\x1F]', '', 'g'), chr(10)), lambda x: trim(x, ' ' || chr(9)) <> ''), chr(10) || chr(10))) AS digest, 0::BIGINT AS num_pages, 'docx' AS source_type FROM documents")
+def docx_extract(spark, sf_dir):
+    """Every document as a DOCX file, a paragraph for each line, and its text read back."""
+
+    @F.pandas_udf("binary")
+    def written(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: files.docx_file(t.split("\n")))
+
+    plain = F.regexp_replace("text", r"[\x00-\x08\x0B-\x1F]", "")
+    stored = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".docx")).alias("path"), written(plain).alias("content"))
+    found = files.extract_documents(stored)
+    return found.select(F.regexp_extract("path", r"^(-?\d+)", 1).cast("long").alias("doc_id"), F.md5("raw_text").alias("digest"), "num_pages", "source_type")
 
 
 # Matching -------------------------------------------------------------------------------------------------------------
@@ -697,6 +723,77 @@ def landmark_search(spark, sf_dir):
     return sessions.search_landmarks(sessions.landmark_cards(spark), "Constitution").select("id", "title")
 
 
+@query(
+    f"""SELECT doc_id, para_idx, rule_ord, category, severity, matched_phrase FROM ({S.risk_matches().replace(S.risk_rules(), '(SELECT * FROM ' + S.risk_rules() + f" WHERE category <> 'Penalty Clauses' UNION ALL SELECT {len(rules.RISK_RULES)}, 'Season', 'LOW', x.i, x.k FROM (VALUES (0, 'harvest'), (1, 'valley')) AS x(i, k)) AS rules")}) AS m"""
+)
+def custom_risk_rules(spark, sf_dir):
+    """One category off, one rule of our own more."""
+    own = risk.add_rule(risk.disable_category(risk.rule_table(spark), "Penalty Clauses"), "Season", "LOW", ["harvest", "valley"])
+    return risk.risk_matches(corpus(spark, sf_dir), own).select("doc_id", "para_idx", "rule_ord", "category", "severity", "matched_phrase")
+
+
+_LABEL_IDS = " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(rules.MODEL_LABELS))
+
+
+@query(f"SELECT doc_id, para_idx, label, (CASE label {_LABEL_IDS} END)::INT AS label_id FROM ({S.decided(CORPUS_SQL)}) AS d WHERE label IN ({', '.join(map(S.quote, rules.MODEL_LABELS))}) AND {S.strip('text')} <> ''")
+def label_ids(spark, sf_dir):
+    """Training rows: known labels by number, blank paragraphs left out."""
+    found = classify.detect_clauses(corpus(spark, sf_dir))
+    known = learn.labelled_paragraphs(found.filter(F.col("label").isin(*rules.MODEL_LABELS)))
+    return learn.encode_labels(known).select("doc_id", "para_idx", "label", "label_id")
+
+
+_ANSWERS = " ".join(f"WHEN {S.quote(k)} THEN {S.quote(a)}" for k, a in rules.ANSWERS.items())
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 THEN 'remote ' || turn ELSE coalesce(CASE k {_ANSWERS} END, {S.quote(rules.FALLBACK_ANSWER)}) END AS response FROM (SELECT conv_id, turn, {S.first_match('message', rules.KNOWLEDGE_PATTERNS + rules.RESPONDER_PATTERNS)} AS k FROM ({_MESSAGES_SQL}) AS m) AS a")
+def remote_answers(spark, sf_dir):
+    """A remote responder that knows every fifth conversation; the stored answers stand in for the rest."""
+    asked = _messages(spark, sf_dir).withColumn("message_id", F.struct("conv_id", "turn"))
+    remote = lambda m: m.select("message_id", F.when(F.col("message_id.conv_id") % 5 == 0, F.concat(F.lit("remote "), F.col("message_id.turn").cast("string"))).alias("remote_response"))
+    return classify.answered(asked.select("message_id", "message"), remote).select("message_id.conv_id", "message_id.turn", "response")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_custkey = o_orderkey % 2000 THEN 'same_contract' WHEN a.c_custkey IS NULL OR b.c_custkey IS NULL THEN 'unknown_contract' END AS problem FROM orders LEFT JOIN customer a ON o_custkey = a.c_custkey LEFT JOIN customer b ON o_orderkey % 2000 = b.c_custkey")
+def compare_requests(spark, sf_dir):
+    asked = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("id_a"), (F.col("o_orderkey") % 2000).alias("id_b"))
+    return match.comparable(asked, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("contract_id"))).select("o_orderkey", "problem")
+
+
+@query(f"SELECT o_orderkey, o_custkey + o_orderkey % 2 * 1000000 AS contract_id, md5(text) AS digest FROM orders LEFT JOIN ({_JOINED_SQL}) AS j ON o_custkey + o_orderkey % 2 * 1000000 = j.doc_id")
+def contract_texts(spark, sf_dir):
+    """Texts by contract id; half of the requests name none that is known."""
+    asked = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") + F.col("o_orderkey") % 2 * 1_000_000).alias("contract_id"))
+    known = joined(corpus(spark, sf_dir)).withColumnRenamed("doc_id", "contract_id")
+    return sessions.contract_text(asked, known).select("o_orderkey", "contract_id", F.md5("text").alias("digest"))
+
+
+@query("SELECT to_json({'event_id': event_id, 'user_id': user_id, 'event_type': event_type})::VARCHAR AS value FROM events")
+def event_log(spark, sf_dir):
+    return sessions.event_log(table(spark, sf_dir, "events"), ["event_id", "user_id", "event_type"])
+
+
+@query("SELECT a.conv_id, a.turn, '### Instruction:' || chr(10) || a.text || chr(10) || chr(10) || '### Response:' || chr(10) || b.text AS training_text FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant'")
+def tuning_prompts(spark, sf_dir):
+    """Each question with the answer that follows, as a training prompt."""
+    said = table(spark, sf_dir, "conversations")
+    asked = said.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("prompt"))
+    answers = said.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("completion"))
+    return quality.prompt_text(asked.join(answers, ["conv_id", "turn"])).select("conv_id", "turn", "training_text")
+
+
+@query(f"SELECT line_no, json_valid(raw) AS good, CASE WHEN json_valid(raw) THEN json_extract_string(raw, '$.prompt') END AS prompt FROM ({_TUNING_SQL}) AS t WHERE trim(raw) <> ''")
+def jsonl_rows(spark, sf_dir):
+    return files.parsed_jsonl(tuning_lines(spark, sf_dir).withColumnRenamed("raw", "value")).select("line_no", "good", "prompt")
+
+
+@query("SELECT path, page_no, CASE WHEN abs(median(angle)) >= 0.5 THEN median(angle) ELSE 0.0 END AS angle FROM (SELECT user_id AS path, (event_id % 2)::INT AS page_no, value - 10 AS angle, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY event_id) AS n FROM events) AS e WHERE n <= 50 GROUP BY path, page_no")
+def page_angles(spark, sf_dir):
+    """Event values stand in for the angles of a page's lines."""
+    angles = table(spark, sf_dir, "events").select(F.col("user_id").alias("path"), (F.col("event_id") % 2).cast("int").alias("page_no"), F.col("event_id").alias("line_no"), (F.col("value") - 10).alias("angle"))
+    return files.median_angle(angles)
+
+
 @query("SELECT o_orderkey, 'SALE AGREEMENT between ' || coalesce(nullif(trim(c_name), ''), '[Party A]') || ' and [Party B], effective [Date]. Goods: [Goods]. Price: ' || floor(o_totalprice)::BIGINT || '.' AS draft FROM orders JOIN customer ON o_custkey = c_custkey")
 def draft_render(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))

@@ -420,3 +420,15 @@ def test_registry_ties(spark):
     uploads = spark.createDataFrame([("c", "a.pdf", 1), ("c", "b.pdf", 1)], "contract_id string, name string, uploaded_at int")
     for frame in (uploads, uploads.orderBy(F.desc("name"))):
         assert sessions.registry(frame).first()["name"] == "b.pdf"
+
+
+def test_pages_as_a_table_function(spark):
+    def decoder(content):
+        if content == b"bad":
+            raise ValueError
+        return ((i, p) for i, p in enumerate(content.decode().split("|"), 1))
+
+    spark.udtf.register("pages_of_file", files.page_table(decoder))
+    spark.createDataFrame([("a", b"x|y"), ("b", b"bad")], "path string, content binary").createOrReplaceTempView("held_files")
+    rows = spark.sql("SELECT path, page_no, text FROM held_files, LATERAL pages_of_file(content)").collect()
+    assert sorted(map(tuple, rows)) == [("a", 1, "x"), ("a", 2, "y")]

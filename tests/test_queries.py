@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import sys
 
 import duckdb
 import pytest
@@ -48,3 +49,10 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_entry_without_training_operators(monkeypatch):
+    import __spark_entry__
+
+    monkeypatch.setitem(sys.modules, "clausewright.llm", None)
+    assert set(__spark_entry__.queries()) == set(QUERIES) and set(__spark_entry__.oracle_sql()) == set(ORACLE_SQL)
