@@ -35,7 +35,7 @@ HOT_SEGMENTS = 256
 #: Window starts of one vectorised piece (places take 22 bits), and text bytes of one suffix array.
 PIECE, SHARD_BYTES = 2_000_000, 1_000_000
 #: Text bytes anchored at once: some 150 bytes of arrays each.
-STEP = 800_000
+STEP = 500_000
 #: Bytes of text whose segments share a bucket, on average; bytes of text whose segments one parcel of a bucket holds.
 BUCKET_BYTES, PARCEL_BYTES = 8_000_000, 8_000_000
 _PLACE = np.uint64((1 << 22) - 1)
@@ -187,11 +187,12 @@ def classes(found: DataFrame, buckets: int, most: int) -> DataFrame:
     return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _PARCEL)
 
 
-PLACES = "doc long, ranges array<struct<low:long,high:long>>, compare array<struct<anchor:long,low:long,n:long>>, divide array<struct<anchor:long,low:long,n:long>>"
+PLACES = "doc long, ranges array<struct<low:long,high:long>>, asked array<struct<kind:long,anchor:long,low:long,n:long>>, n_hot long"
 
 
 def by_document(found: DataFrame) -> DataFrame:
-    """Parcels of places to one row per document: merged ranges of the EARLIER ones, and lists of the others."""
+    """Parcels of places to one row per document: merged ranges of the EARLIER ones, the others by start, and how many of
+    these are to DIVIDE."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in groupby(parcels(batches), key=lambda r: r[0]):
@@ -205,11 +206,10 @@ def by_document(found: DataFrame) -> DataFrame:
             ids = np.unique(doc)
             gone = kind == EARLIER
             d, a, b = merged(doc[gone], low[gone], low[gone] + count[gone] - 1 + LENGTH)
-            columns = [pa.array(ids), listed(ids, d, {"low": a, "high": b})]
-            for k in (COMPARE, DIVIDE):
-                own = kind == k
-                columns.append(listed(ids, doc[own], {"anchor": anchor[own], "low": low[own], "n": count[own]}))
-            whole = pa.RecordBatch.from_arrays(columns, ["doc", "ranges", "compare", "divide"])
+            own = ~gone
+            asked = listed(ids, doc[own], {"kind": kind[own], "anchor": anchor[own], "low": low[own], "n": count[own]})
+            hot = np.bincount(np.searchsorted(ids, doc[kind == DIVIDE]), minlength=len(ids))
+            whole = pa.RecordBatch.from_arrays([pa.array(ids), listed(ids, d, {"low": a, "high": b}), asked, pa.array(hot)], ["doc", "ranges", "asked", "n_hot"])
             for i in range(0, len(ids), 2000):
                 yield whole.slice(i, 2000)
 
@@ -222,19 +222,26 @@ def listed(ids: np.ndarray, doc: np.ndarray, columns: dict[str, np.ndarray]) ->
     return pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(doc, ids), len(doc)).astype(np.int32)), inner)
 
 
-def cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(anchor, doc, low, text) of wanted (doc, asked): each document once, with its segments."""
+def cut_out(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """(kind, anchor, doc, low, text) of the places asked for, from texts (doc, at, text) that hold them: each text
+    once, with what is asked of its document. A window's place is in one of a document's texts alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             out = []
-            for doc, data, asked in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist()):
-                out += [(x["anchor"], doc, x["low"], data[x["low"] : x["low"] + x["n"] - 1 + LENGTH]) for x in asked]
-            columns = list(zip(*out))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], ["anchor", "doc", "low", "text"])
+            inner = batch.column(3)
+            for row, (doc, at, data) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)))):
+                asked = inner[row].values
+                low = asked.field("low").to_numpy(zero_copy_only=False)
+                i, j = np.searchsorted(low, [at, at + len(data) - LENGTH + 1]).tolist()
+                held = zip(*(asked.field(c)[i:j].to_pylist() for c in ("kind", "anchor", "low", "n")))
+                out += [(kind, anchor, doc, a, data[a - at : a - at + n - 1 + LENGTH]) for kind, anchor, a, n in held]
+            if out:
+                columns = list(zip(*out))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())], ["kind", "anchor", "doc", "low", "text"])
 
-    joined = docs.join(wanted.filter(F.size("asked") > 0), "doc").select("doc", "text", "asked")
-    return joined.mapInArrow(run, "anchor long, doc long, low long, text binary")
+    joined = texts.join(places.filter(F.size("asked") > 0).select("doc", "asked"), "doc").select("doc", "at", "text", "asked")
+    return joined.mapInArrow(run, "kind long, anchor long, doc long, low long, text binary")
 
 
 def repeated_windows(docs: list[int], lows: list[int], parts: list[bytes]) -> list[tuple[int, int, int]]:
@@ -267,7 +274,7 @@ def repeated_windows(docs: list[int], lows: list[int], parts: list[bytes]) -> li
 
 
 def compare_segments(cuts: DataFrame) -> DataFrame:
-    """cuts (anchor, doc, low, text) to the ranges (doc, low, high) of windows that start earlier in another of the
+    """cuts (kind, anchor, doc, low, text) to the ranges (doc, low, high) of windows that start earlier in another of the
     anchor's segments. Anchors stay whole; whole anchors fill shards of SHARD_BYTES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +285,7 @@ def compare_segments(cuts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["doc", "low", "high"])
 
         for batch in batches:
-            for anchor, doc, low, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for anchor, doc, low, text in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
                 if anchor != current and held > SHARD_BYTES:
                     yield from flush()
                     docs, lows, parts, held = [], [], [], 0
@@ -295,21 +302,23 @@ def compare_segments(cuts: DataFrame) -> DataFrame:
 def repeated_ranges(docs: DataFrame, size: int) -> DataFrame:
     """docs (doc, text) of `size` bytes to ranges (doc, low, high) of bytes to remove; ranges may overlap."""
     spark = docs.sparkSession
-    out, texts = [], docs.select("doc", F.lit(0).cast("long").alias("at"), "text")
+    out, texts, last = [], docs.select("doc", F.lit(0).cast("long").alias("at"), F.col("text").cast("binary").alias("text")), None
     for gram in GRAMS:
         buckets, bits = 1 + size // BUCKET_BYTES, min(62, (size // 16 + 1).bit_length() + 8)
         most = HOT_SEGMENTS if gram < LENGTH else size
         places = written(by_document(classes(segments(texts, gram, buckets, bits), buckets, most)), "places")
-        if gram != GRAMS[0]:
-            removed(spark, texts)
         out.append(places.select("doc", F.explode("ranges").alias("r")).select("doc", "r.low", "r.high"))
-        cuts = cut_out(docs, places.select("doc", F.col("compare").alias("asked")))
-        out.append(written(compare_segments(cuts), "compared"))
-        hot = places.select("doc", F.col("divide").alias("asked"))
-        if hot.filter(F.size("asked") > 0).isEmpty():
+        cuts, hot = cut_out(texts, places), not places.filter("n_hot > 0").isEmpty()
+        if hot:
+            # The texts move once for both; what is divided goes on from its own pieces.
+            cuts = written(cuts, "cuts")
+        out.append(written(compare_segments(cuts.filter(F.col("kind") == COMPARE)), "compared"))
+        if last is not None:
+            removed(spark, last)
+        if not hot:
             break
-        pieces = written(cut_out(docs, hot).select("doc", F.col("low").alias("at"), "text"), "pieces")
-        texts, size = pieces, pieces.agg(F.sum(F.octet_length("text"))).first()[0]
+        texts, last = cuts.filter(F.col("kind") == DIVIDE).select("doc", F.col("low").alias("at"), "text"), cuts
+        size = texts.agg(F.sum(F.octet_length("text"))).first()[0]
     ranges = out[0]
     for more in out[1:]:
         ranges = ranges.unionByName(more)
