@@ -54,7 +54,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 
     A source's target is its weight's share of all words, but at most `most` times its size; what is cut off goes to the
     others by weight until none is above. That fixed point is a water level: with sources by rising size per weight,
-    those whose limit lies under the level of the rest are full. One row per source takes part."""
+    those whose limit lies under the level of the rest are full. One row per source takes part, and one task sorts them:
+    sources are names of collections, thousands at most, not addresses of documents."""
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(by_name) - 1) % len(weights) + 1)

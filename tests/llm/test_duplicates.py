@@ -18,6 +18,7 @@ from clausewright.llm import passages, repeats, simhash
 from clausewright.llm.common import table
 from clausewright.llm.components import connected_components
 from clausewright.llm.mixing import MIX_SQL
+from clausewright.llm.packing import packed, unpacked
 from clausewright.llm.suffixes import common_prefixes, suffix_array
 from tests.llm.plain import plain_contamination, plain_rules, plain_secrets
 
@@ -467,3 +468,77 @@ def test_passages_of_nothing(spark):
     odd = spark.createDataFrame([(1, None, 1), (1, None, 2), (None, "a b", 3), (3, "x " * 40_000, 4), (4, "x " * 40_000, 5)], "doc_id long, text string, passages int")
     found = {(r["doc_id"], r["n_passages"], r["n_dup_words"]) for r in passages.passages_digest(odd).collect()}
     assert found == {(1, 0, 0), (None, 0, 0), (3, 0, 0), (4, 1, 40_000)}
+
+
+def test_packed_columns_come_back():
+    choose = random.Random(4)
+    columns = [np.array([choose.choice([0, 1, -1, 2**62, -(2**62)]) for _ in range(50)]), np.arange(50) * 3, np.arange(50, dtype=np.uint64) << np.uint64(58)]
+    back = unpacked(packed(columns, (8, 2, 8)), 50, (8, 2, 8))
+    assert all((a.astype(np.int64) == b.view(np.int64)).all() for a, b in zip(columns, back))
+    data = passages.packed_chains(np.array([5, -7]), np.array([1, 2]), np.array([1, 2, 3]), np.array([4, 5, 6]))
+    assert list(passages.unpacked_chains(data)) == [(5, [[1, 4]]), (-7, [[2, 5], [3, 6]])]
+
+
+def test_words_inside_spans():
+    choose = random.Random(5)
+    for _ in range(200):
+        spans = [(choose.randrange(4), a := choose.randrange(30), a + choose.randrange(1, 12)) for _ in range(choose.randint(0, 8))]
+        asked = [(choose.randrange(5), a := choose.randrange(40), a + choose.randrange(1, 10)) for _ in range(10)]
+        covered = {(d, i) for d, a, b in spans for i in range(a, b)}
+        got = passages.inside(*(np.array(c) for c in zip(*asked)), tuple(np.array(c, dtype=np.int64) for c in zip(*spans)) if spans else (np.zeros(0, np.int64),) * 3)
+        assert got.tolist() == [all((d, i) in covered for i in range(a, b)) for d, a, b in asked]
+
+
+def test_certain_words_are_in_passages():
+    """Whatever certain() says without the words, alignment finds with them."""
+    choose, told = random.Random(6), 0
+    for _ in range(300):
+        part = [b"w%d" % choose.randrange(200) for _ in range(choose.randint(20, 90))]
+        edited: list[bytes] = []
+        for w in part:
+            how = choose.random()
+            edited += [b"x%d" % choose.randrange(999)] if how < 0.04 else [] if how < 0.06 else [w, w] if how < 0.08 else [w]
+        mine, held = [b"a%d" % i for i in range(choose.randint(0, 9))] + edited, [b"b%d" % i for i in range(choose.randint(0, 9))] + part
+        seeds: dict[tuple, int] = {}
+        for j in range(len(held) - 4):
+            seeds.setdefault(tuple(held[j : j + 5]), j)
+        points = [(i, seeds[k]) for i in range(len(mine) - 4) if (k := tuple(mine[i : i + 5])) in seeds]
+        if not points:
+            continue
+        x, y = (np.array(c) for c in zip(*points))
+        doc, holder, counts, x, y = passages.collected(np.full(len(x), 9), x, np.full(len(x), 1), y)
+        covered, at = set(), 0
+        for n in counts.tolist():
+            found = passages.aligned(mine, list(zip(x[at : at + n].tolist(), y[at : at + n].tolist())), tiles_from([*held, *[b"end"] * 200]))
+            covered |= {i for p in found or () for i in range(p[0], p[1])}
+            at += n
+        for _, start, end in zip(*passages.certain(doc, counts, x, y)):
+            told += 1
+            assert covered >= set(range(start, end))
+    assert told > 200
+
+
+def test_neighbours_never_rule_out_a_passage():
+    choose, ruled_out, kept = random.Random(7), 0, 0
+    for _ in range(1000):
+        word = lambda: b"%d" % choose.randrange(30)
+        mine = [word() for _ in range(choose.randint(5, 90))]
+        held = [w if choose.random() < choose.choice([0.1, 0.75, 0.9]) else word() for w in mine]
+        at = choose.randrange(len(mine) - 4)
+        held[at : at + 5] = mine[at : at + 5]
+        first = at
+        while first and mine[first - 1] == held[first - 1]:
+            first -= 1
+        end = at + 5
+        while end < len(mine) and mine[end] == held[end]:
+            end += 1
+        n = end - first
+        if n >= passages.MIN_WORDS:
+            continue
+        views = [passages.neighbours(*passages.word_hashes([b" ".join(w)]), np.array([0]), np.array([first])) for w in (mine, held)]
+        grows = bool(passages.may_grow(*views, np.array([n]))[0])
+        points = [(first + i, first + i) for i in sorted({*range(0, n - 4, 5), n - 5})]
+        found = passages.aligned(mine, points, tiles_from([*held, *[b"end"] * 200]))
+        assert grows or found == []
+        ruled_out, kept = ruled_out + (not grows), kept + bool(found)
+    assert ruled_out > 50 and kept > 50
