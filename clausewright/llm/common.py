@@ -128,8 +128,8 @@ def merged(doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarr
     return doc[fresh], low[fresh], (reach - shift)[last]
 
 
-#: While a table is written: its query's exchanges are released when it ends, and rows reach Python in small batches.
-_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+#: Releases the exchanges of a query when it ends.
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -137,14 +137,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     that made it are released as soon as it stands."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    before = {k: spark.conf.get(k) for k in _WHILE_WRITING}
-    for k, v in _WHILE_WRITING.items():
-        spark.conf.set(k, v)
+    before = spark.conf.get(_RELEASE)
+    spark.conf.set(_RELEASE, "true")
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+        spark.conf.set(_RELEASE, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -69,7 +69,8 @@ def anchored(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, gram: in
     low, place, doc = start[begins], place[begins], doc[begins]
     raw, digest = memoryview(data.tobytes()), xxhash.xxh3_128_digest
     whole = np.frombuffer(b"".join([digest(raw[a:b]) for a, b in zip(low.tolist(), (low + count - 1 + LENGTH).tolist())]), dtype="<u8").reshape(-1, 2)
-    return doc, low, count, pieces[place], whole[:, 0], whole[:, 1] >> np.uint64(32)
+    # Least hashes are small numbers: mixed again, they spread over all buckets.
+    return doc, low, count, mix64(pieces[place]), whole[:, 0], whole[:, 1] >> np.uint64(32)
 
 
 def long_pieces(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
