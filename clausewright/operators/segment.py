@@ -134,27 +134,37 @@ def restructure(paragraphs: DataFrame) -> DataFrame:
     return merged.select("doc_id", F.col("group_no").alias("para_idx"), T.clean_paragraph(F.col("text")).alias("text")).filter("text <> ''")
 
 
-def hard_split(words: Column, limit: int) -> Column:
-    """Pieces of `limit` words."""
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(limit)), lambda i: F.array_join(F.slice(words, i + 1, limit), " "))
+def hard_split(size: Column, limit: int) -> Column:
+    """(first, n) of the pieces of `limit` words of so many."""
+    return F.transform(F.sequence(F.lit(0), size - 1, F.lit(limit)), lambda i: F.struct(i.alias("first"), F.least(size - i, F.lit(limit)).alias("n")))
 
 
 def overlap_chunks(text: Column, limit: int = 700) -> Column:
     """S3: chunks of whole sentences up to `limit` words, each begun with the last words of the one before. A sentence
-    over the limit is emitted in pieces at once, before the chunk that is still open. A fold, within the JVM."""
+    over the limit is emitted in pieces at once, before the chunk that is still open. A fold over the sentences' lengths
+    alone: a chunk is a run of consecutive words, those of the sentences within the limit or of those over it."""
     overlap = max(50, limit // 10)
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("now"))
-
-    def step(acc: Column, sentence: Column) -> Column:
-        own = T.words(sentence)
-        long = F.size(own) > limit
-        full = F.size(acc["now"]) + F.size(own) > limit
-        flushed = F.when(F.size(acc["now"]) > 0, F.array_append(acc["out"], F.array_join(acc["now"], " "))).otherwise(acc["out"])
-        tail = F.slice(acc["now"], F.greatest(F.size(acc["now"]) - overlap + 1, F.lit(1)), F.lit(overlap))
+    piece = "struct<over:boolean,first:int,n:int>"
+    start = F.struct(F.array().cast(f"array<{piece}>").alias("out"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("over"))
+    of = lambda over, first, n: F.struct(F.lit(over).alias("over"), first.alias("first"), n.alias("n"))
+
+    def step(acc: Column, size: Column) -> Column:
+        long, full = size > limit, acc["b"] - acc["a"] + size > limit
+        pieces = F.transform(hard_split(size, limit), lambda x: of(True, acc["over"] + x["first"], x["n"]))
+        flushed = F.when(acc["b"] > acc["a"], F.array_append(acc["out"], of(False, acc["a"], acc["b"] - acc["a"]))).otherwise(acc["out"])
         return F.struct(
-            F.when(long, F.concat(acc["out"], hard_split(own, limit))).when(full, flushed).otherwise(acc["out"]).alias("out"),
-            F.when(long, acc["now"]).when(full, F.concat(tail, own)).otherwise(F.concat(acc["now"], own)).alias("now"),
+            F.when(long, F.concat(acc["out"], pieces)).when(full, flushed).otherwise(acc["out"]).alias("out"),
+            F.when(~long & full, F.greatest(acc["a"], acc["b"] - overlap)).otherwise(acc["a"]).alias("a"),
+            F.when(long, acc["b"]).otherwise(acc["b"] + size).alias("b"),
+            F.when(long, acc["over"] + size).otherwise(acc["over"]).alias("over"),
         )
 
-    done = lambda acc: F.when(F.size(acc["now"]) > 0, F.array_append(acc["out"], F.array_join(acc["now"], " "))).otherwise(acc["out"])
-    return F.aggregate(T.sentences(T.clean_summary(text)), start, step, done)
+    done = lambda acc: F.when(acc["b"] > acc["a"], F.array_append(acc["out"], of(False, acc["a"], acc["b"] - acc["a"]))).otherwise(acc["out"])
+
+    def chunked(found: Column) -> Column:
+        own = lambda keep: F.flatten(F.filter(found, keep))
+        found_pieces = F.aggregate(F.transform(found, F.size), start, step, done)
+        joined = lambda within, over: F.transform(found_pieces, lambda x: F.array_join(F.slice(F.when(x["over"], over).otherwise(within), x["first"] + 1, x["n"]), " "))
+        return let(own(lambda w: F.size(w) <= limit), lambda within: let(own(lambda w: F.size(w) > limit), lambda over: joined(within, over)))
+
+    return let(F.transform(T.sentences(T.clean_summary(text)), T.words), chunked)
