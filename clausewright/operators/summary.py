@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clausewright import rules
 from clausewright.functions import text as T
-from clausewright.operators.segment import overlap_chunks
+from clausewright.operators.segment import let, overlap_chunks
 
 PER_SECTION, KEY_POINTS = 8, 8
 
@@ -29,21 +29,33 @@ def sections(found: DataFrame, most: int = PER_SECTION) -> DataFrame:
 
 def lead(chunk: Column, words: int = 80) -> Column:
     """S4's default: the first words, marked if any are left out."""
-    own = T.words(chunk)
-    return F.when(F.size(own) > words, F.concat(F.array_join(F.slice(own, 1, words), " "), F.lit(" …"))).otherwise(F.array_join(own, " "))
+    cut = lambda own: F.when(F.size(own) > words, F.concat(F.array_join(F.slice(own, 1, words), " "), F.lit(" …"))).otherwise(F.array_join(own, " "))
+    return let(T.words(chunk), cut)
 
 
 def combined(parts: Column, second_pass=None, most: int = 200) -> Column:
     """Nothing, the one summary, or all joined; beyond `most` words a second pass if there is one."""
-    own = F.filter(F.transform(parts, T.strip), lambda p: p != "")
-    joined = F.array_join(own, " ")
-    return F.when(F.size(own) == 0, "").when(F.size(own) == 1, F.get(own, F.lit(0))).otherwise(F.when(T.word_total(joined) <= most, joined).otherwise(second_pass(joined) if second_pass else joined))
 
+    def whole(own: Column) -> Column:
+        joined = F.array_join(own, " ")
+        several = joined if second_pass is None else F.when(T.word_total(joined) <= most, joined).otherwise(second_pass(joined))
+        return F.when(F.size(own) == 0, "").when(F.size(own) == 1, F.get(own, F.lit(0))).otherwise(several)
 
-def sections_within(found: Column, most: int = PER_SECTION) -> dict[str, Column]:
-    """S1 within one text: the array of its sentences to one array per section, as sections() gives them."""
-    long = F.filter(found, lambda s: T.word_total(s) > 5)
-    return {name: F.array_distinct(F.slice(F.filter(long, lambda s: F.lower(s).rlike(pattern)), 1, most)) for name, pattern in rules.SECTION_PATTERNS.items()}
+    # A model's function cannot stand inside a lambda; nothing else needs the parts twice.
+    kept = F.filter(F.transform(parts, T.strip), lambda p: p != "")
+    return let(kept, whole) if second_pass is None else whole(kept)
+
+
+SECTION_FIELDS = {"obligations": "obligations", "payment": "payment_terms", "termination": "termination", "risk": "risks"}
+
+
+def sections_within(found: Column, most: int = PER_SECTION) -> Column:
+    """S1 within one text: the array of its sentences to a struct of one array per section, as sections() gives them.
+    What is asked of a sentence is computed once."""
+    named = F.transform(found, lambda s: F.struct(s.alias("s"), F.lower(s).alias("low")))
+    long = F.filter(named, lambda x: T.word_total(x["s"]) > 5)
+    of = lambda kept, pattern: F.array_distinct(F.slice(F.transform(F.filter(kept, lambda x: x["low"].rlike(pattern)), lambda x: x["s"]), 1, most))
+    return let(long, lambda kept: F.struct(*(of(kept, pattern).alias(SECTION_FIELDS[name]) for name, pattern in rules.SECTION_PATTERNS.items())))
 
 
 def summarise(docs: DataFrame, summarise_chunk=lead, second_pass=None, limit: int = 700) -> DataFrame:
@@ -51,11 +63,11 @@ def summarise(docs: DataFrame, summarise_chunk=lead, second_pass=None, limit: in
     no row, as they are an error in a single call. summarise_chunk: column to column; a model is a pandas UDF. Nothing
     leaves its row."""
     real = docs.filter(T.strip(F.coalesce("text", F.lit(""))) != "")
-    chunked = real.select("doc_id", T.sentences(T.clean_summary(F.col("text"))).alias("_s"), combined(F.transform(overlap_chunks(F.col("text"), limit), lambda c: summarise_chunk(c)), second_pass).alias("overall_summary"))
-    points = F.slice(F.filter(T.sentences(F.col("overall_summary")), lambda s: T.word_total(s) > 6), 1, KEY_POINTS)
-    names = {"obligations": "obligations", "payment": "payment_terms", "termination": "termination", "risk": "risks"}
-    listed = [c.alias(names[s]) for s, c in sections_within(F.col("_s")).items()]
-    return chunked.select("doc_id", "overall_summary", points.alias("key_points"), *listed).withColumn("key_points", F.when(F.size("key_points") > 0, F.col("key_points")).otherwise(F.array("overall_summary")))
+    overall = combined(F.transform(overlap_chunks(F.col("text"), limit), lambda c: summarise_chunk(c)), second_pass)
+    chunked = real.select("doc_id", sections_within(T.sentences(T.clean_summary(F.col("text")))).alias("_sections"), overall.alias("overall_summary"))
+    points = lambda text: F.slice(F.filter(T.sentences(text), lambda s: T.word_total(s) > 6), 1, KEY_POINTS)
+    found = let(F.col("overall_summary"), lambda text: let(points(text), lambda own: F.when(F.size(own) > 0, own).otherwise(F.array(text))))
+    return chunked.select("doc_id", "overall_summary", found.alias("key_points"), *(F.col(f"_sections.{c}") for c in SECTION_FIELDS.values()))
 
 
 def wrapped(text: Column, width: int) -> Column:
