@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from clausewright.llm.common import table
 from clausewright.llm.decontaminate import contamination_digest
+from clausewright.llm.fingerprints import fingerprint_digest
+from clausewright.llm.infill import infill_digest
 from clausewright.llm.licenses import license_digest
 from clausewright.llm.mixing import mix_digest
 from clausewright.llm.neighbours import classify_quality
@@ -37,6 +39,8 @@ QUERIES: dict[str, Query] = {
     "op8_simhash_near_dedup": on_documents(near_duplicates),
     "op9_benchmark_decontamination": on_documents(contamination_digest, "benchmark"),
     "op10_source_mixing": on_documents(mix_digest),
+    "op11_document_fingerprints": on_documents(fingerprint_digest),
+    "op13_fill_in_middle": on_documents(infill_digest),
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
