@@ -14,6 +14,7 @@ from clausewright.llm.licenses import license_digest
 from clausewright.llm.mixing import mix_digest
 from clausewright.llm.neighbours import classify_quality
 from clausewright.llm.passages import passages_digest
+from clausewright.llm.phrases import collocations
 from clausewright.llm.repeats import repeats_digest
 from clausewright.llm.rules import quality_rules
 from clausewright.llm.secrets import secret_digest
@@ -40,6 +41,7 @@ QUERIES: dict[str, Query] = {
     "op9_benchmark_decontamination": on_documents(contamination_digest, "benchmark"),
     "op10_source_mixing": on_documents(mix_digest),
     "op11_document_fingerprints": on_documents(fingerprint_digest),
+    "op12_phrase_collocations": on_documents(collocations),
     "op13_fill_in_middle": on_documents(infill_digest),
 }
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from clausewright.llm.decontaminate import WINDOW
 from clausewright.llm.infill import INFILL_SQL
 from clausewright.llm.mixing import MIX_SQL
+from clausewright.llm.phrases import PHRASES_SQL
 from clausewright.llm.repeats import LENGTH
 from clausewright.llm.secrets import BASE_KINDS, RULES, Rule
 
@@ -62,4 +63,4 @@ LEFT JOIN (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT i
 LEFT JOIN (SELECT doc_id, string_agg(low || ':' || high, ',' ORDER BY low) AS hits FROM r GROUP BY doc_id) AS s ON d.doc_id = s.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_secret_scans": SECRETS_SQL, "op2_suffix_array_dedup": REPEATS_SQL, "op9_benchmark_decontamination": LEAKS_SQL, "op10_source_mixing": MIX_SQL, "op13_fill_in_middle": INFILL_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_secret_scans": SECRETS_SQL, "op2_suffix_array_dedup": REPEATS_SQL, "op9_benchmark_decontamination": LEAKS_SQL, "op10_source_mixing": MIX_SQL, "op12_phrase_collocations": PHRASES_SQL, "op13_fill_in_middle": INFILL_SQL}
