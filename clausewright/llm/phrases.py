@@ -143,13 +143,16 @@ def shard_tries(docs: DataFrame, shard_bytes: int = SHARD_BYTES, sampled: int =
         held: list[tuple[bytes, bytes]] = []
         size = 0
 
-        def row() -> pa.RecordBatch:
+        def made() -> Iterator[pa.RecordBatch]:
             trie, totals = shard_trie(held)
+            held.clear()
+            if not len(trie.leaves):
+                return
             picked = trie.leaves[sampled // 2 :: sampled].tolist()
             sample = [[trie.words[i - 1][:SAMPLE_WORD] if i else b"" for i in leaf] for leaf in picked]
             whole, data = trie.packed()
             langs = [(lang.decode(), n) for lang, n in totals.items() if n]
-            return pa.RecordBatch.from_arrays([pa.array([langs], pa.map_(pa.string(), pa.int64())), pa.array([len(trie.leaves)], pa.int64()), pa.array([sample], pa.list_(pa.list_(pa.binary()))), pa.array([whole], pa.int64()), pa.array([data], pa.binary())], names=["langs", "n_leaves", "sample", "size", "trie"])
+            yield pa.RecordBatch.from_arrays([pa.array([langs], pa.map_(pa.string(), pa.int64())), pa.array([len(trie.leaves)], pa.int64()), pa.array([sample], pa.list_(pa.list_(pa.binary()))), pa.array([whole], pa.int64()), pa.array([data], pa.binary())], names=["langs", "n_leaves", "sample", "size", "trie"])
 
         for batch in batches:
             for lang, text in zip(text_bytes(batch.column(0)), (x.as_py() for x in batch.column(1).cast(pa.large_binary()))):
@@ -157,11 +160,10 @@ def shard_tries(docs: DataFrame, shard_bytes: int = SHARD_BYTES, sampled: int =
                     held.append((lang, part))
                     size += len(part)
                     if size >= shard_bytes:
-                        yield row()
-                        held.clear()
+                        yield from made()
                         size = 0
         if held:
-            yield row()
+            yield from made()
 
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, TRIES)
 
