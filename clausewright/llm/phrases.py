@@ -18,7 +18,7 @@ from clausewright.llm.common import cut, removed, text_bytes, written
 
 LONGEST, LEAST, KEPT, NO_LANG = 5, 100, 2000, "und"
 #: Text bytes of a shard, and leaves of all shards that one prefix range has, more or less.
-SHARD_BYTES, RANGE_LEAVES = 8_000_000, 1_500_000
+SHARD_BYTES, RANGE_LEAVES = 8_000_000, 750_000
 #: Leaves between those that a shard names as a sample, and bytes of their words that are looked at.
 SAMPLED, SAMPLE_WORD = 4096, 64
 #: Ranges of one dealing: their bounds go to every task. More are made by dealing each range again.
@@ -220,14 +220,16 @@ NODES = "lang string, phrase string, m int, a long, lefts array<long>, open bool
 
 
 def merged(tries: list[Trie]) -> Trie:
-    """One trie of many, each in sorted order: words get common numbers, equal leaves add up."""
+    """One trie of many, each in sorted order: words get common numbers, equal leaves add up. Empties the list."""
     numbers, words = sorted_words(pa.array([w for t in tries for w in t.words], pa.large_binary()))
-    at, rows = 0, []
+    rows = np.empty((sum(len(t.leaves) for t in tries), WIDTH), dtype=np.int32)
+    counts, at, done = np.concatenate([t.counts for t in tries]), 0, 0
     for t in tries:
         own = np.concatenate((np.zeros(1, np.int32), numbers[at : at + len(t.words)]))
-        rows.append(own[t.leaves])
-        at += len(t.words)
-    return counted(np.concatenate(rows), np.concatenate([t.counts for t in tries]), words)
+        rows[done : done + len(t.leaves)] = own[t.leaves]
+        at, done = at + len(t.words), done + len(t.leaves)
+    tries.clear()
+    return counted(rows, counts, words)
 
 
 def frequent_nodes(trie: Trie, least: int) -> pa.RecordBatch:
@@ -269,7 +271,6 @@ def merged_ranges(dealt: DataFrame, parts: int, least: int) -> DataFrame:
                 part, size, data = (c[i].as_py() for c in batch.columns)
                 if part != current and held:
                     yield frequent_nodes(merged(held), least)
-                    held = []
                 current = part
                 held.append(unpacked(size, data))
         if held:
