@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -16,6 +17,9 @@ from clausewright.plans import folds
 from clausewright.plans import sql as S
 from clausewright.sources import files
 from clausewright.sources.files import html_text
+from clausewright.sources.pdf import pdf_pages, scan_pdf
+from clausewright.sources.pdf_writer import pdf_file
+from clausewright.sources.shared import shared_folder, write_files
 from clausewright.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -373,6 +377,44 @@ def docx_extract(spark, sf_dir):
     return found.select(F.regexp_extract("path", r"^(-?\d+)", 1).cast("long").alias("doc_id"), F.md5("raw_text").alias("digest"), "num_pages", "source_type")
 
 
+#: Lines as a PDF can show them: without controls, single blanks, none at the ends; pages of forty. The second page of
+#: some files is broken.
+_PRINTED_SQL = r"SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS n FROM (SELECT doc_id, line_no, trim(regexp_replace(regexp_replace(line, '[\x00-\x08\x0B-\x1F]', '', 'g'), '[ \t]+', ' ', 'g'), ' ') AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents) AS a) AS b WHERE line <> ''"
+PAGE_LINES = 40
+
+
+def _printed(spark, sf_dir, broken=False):
+    """(path, content): every document as a PDF file, by its id with or without compression, whole lines or words."""
+
+    @F.pandas_udf("binary")
+    def written(doc_id: pd.Series, shown: pd.Series) -> pd.Series:
+        make = lambda i, own: pdf_file([list(own[k : k + PAGE_LINES]) for k in range(0, len(own), PAGE_LINES)], i % 2 == 0, i % 3 == 0, (2,) if broken and i % 7 == 3 else ())
+        return pd.Series([make(i, own) for i, own in zip(doc_id, shown)], dtype=object)
+
+    clean = lambda line: F.trim(T.sub(T.sub(line, r"[\x00-\x08\x0B-\x1F]", ""), r"[ \t]+", " "))
+    shown = F.filter(F.transform(F.split("text", "\n"), clean), lambda line: line != "")
+    return table(spark, sf_dir, "documents").select("doc_id", shown.alias("shown")).select(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), written("doc_id", "shown").alias("content"))
+
+
+@query(f"SELECT doc_id, (n // {PAGE_LINES} + 1)::INT AS page_no, md5(string_agg(line, chr(10) ORDER BY n)) AS digest FROM ({_PRINTED_SQL}) AS p GROUP BY doc_id, n // {PAGE_LINES} HAVING NOT (doc_id % 7 = 3 AND n // {PAGE_LINES} = 1)")
+def pdf_text_layer(spark, sf_dir):
+    """Every document as a PDF file in the shared folder, read back by ranges of pages; broken pages are left out."""
+    folder = f"{shared_folder(spark)}/pdf-{uuid.uuid4().hex}"
+    write_files(_printed(spark, sf_dir, broken=True), folder)
+    return scan_pdf(spark, folder, 20_000).select(F.regexp_extract("path", r"(-?\d+)\.pdf$", 1).cast("long").alias("doc_id"), "page_no", F.md5("text").alias("digest"))
+
+
+@query(
+    f"""SELECT d.doc_id, md5(coalesce(r.text, '')) AS digest, coalesce(num_pages, 0) AS num_pages, CASE WHEN coalesce(size, 0) < 100 THEN 'scanned' ELSE 'digital' END AS source_type
+    FROM documents AS d LEFT JOIN (SELECT doc_id, string_agg(page, chr(10) ORDER BY n) AS text, count(*) AS num_pages, avg(length(page)) FILTER (n < 3) AS size
+    FROM (SELECT doc_id, n // {PAGE_LINES} AS n, string_agg(line, chr(10) ORDER BY n) AS page FROM ({_PRINTED_SQL}) AS p GROUP BY doc_id, n // {PAGE_LINES}) AS q GROUP BY doc_id) AS r ON d.doc_id = r.doc_id"""
+)
+def pdf_extract(spark, sf_dir):
+    """The same files by the format dispatch, which takes the text layer page by page."""
+    found = files.extract_documents(_printed(spark, sf_dir), pdf_pages)
+    return found.select(F.regexp_extract("path", r"^(-?\d+)", 1).cast("long").alias("doc_id"), F.md5("raw_text").alias("digest"), "num_pages", "source_type")
+
+
 # Matching -------------------------------------------------------------------------------------------------------------
 
 THRESHOLDS = {"identical": 0.40, "modified": 0.37, "related": 0.34}
