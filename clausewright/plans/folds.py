@@ -111,3 +111,39 @@ l AS (SELECT doc_id, list_filter({sentences(clean_summary('text'))}, lambda x: {
 t AS (SELECT doc_id, {tagged} FROM l)
 SELECT k.doc_id, overall_summary, CASE WHEN len(points) > 0 THEN array_to_string(points, chr(10)) ELSE overall_summary END AS key_points, obligations, payment_terms, termination, risks FROM k JOIN t ON k.doc_id = t.doc_id
 """
+
+
+# Trained sentence boundaries ------------------------------------------------------------------------------------------
+
+
+def sentence_parts(source: str) -> str:
+    """CTEs tok, words, totals, abbr, pairs, coll, starters over a source (doc_id, text), as operators/sentences.py has
+    them: every token with its word, how it ends and begins, and its neighbours."""
+    ratio = lambda k, n1, n2, n: "2 * (" + " + ".join(f"{sign}({_part(a, p)} + {_part(f'({b}) - ({a})', f'1 - ({p})')})" for sign, a, b, p in (("", k, n1, f"({k})::DOUBLE / ({n1})"), ("", f"({n2}) - ({k})", f"({n}) - ({n1})", f"CASE WHEN ({n}) = ({n1}) THEN 0 ELSE (({n2}) - ({k}))::DOUBLE / (({n}) - ({n1})) END"), ("-1 * ", k, n1, f"({n2})::DOUBLE / ({n})"), ("-1 * ", f"({n2}) - ({k})", f"({n}) - ({n1})", f"({n2})::DOUBLE / ({n})"))) + ")"
+    return rf"""
+raw AS (SELECT doc_id, unnest(l) AS token, generate_subscripts(l, 1) - 1 AS place FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\f\r]+[ \t\n\f\r]*') AS l FROM ({source}) AS s) AS a),
+core AS (SELECT *, regexp_replace(regexp_replace(token, '[ \t\n\f\r]+$', ''), '^["''(\[{{]+|["'')\]}}]+$', '', 'g') AS c FROM raw),
+word AS (SELECT doc_id, place, token, c, lower(regexp_replace(c, '[.,;:!?]+$', '')) AS w FROM core),
+tok AS MATERIALIZED (SELECT *, lead(word) OVER o AS next, lead(upper) OVER o AS next_upper, lead(low) OVER o AS next_low, coalesce(lag(ends) OVER o, false) AS after_end FROM (
+  SELECT doc_id, place, token, CASE WHEN regexp_matches(w, '^[0-9][0-9.,/-]*$') THEN '##' ELSE w END AS word, regexp_matches(c, '[^.!?]\.$') AS stop, regexp_matches(c, '[.!?]$') AS ends, regexp_matches(c, '[!?]$') AS loud, regexp_matches(c, '^\p{{Lu}}') AS upper, regexp_matches(c, '^\p{{Ll}}') AS low FROM word) AS b WINDOW o AS (PARTITION BY doc_id ORDER BY place)),
+words AS MATERIALIZED (SELECT word, count(*) AS n, count(*) FILTER (stop) AS stops, count(*) FILTER (low) AS lowers, count(*) FILTER (upper AND NOT after_end AND place > 0) AS uppers FROM tok WHERE word <> '' GROUP BY word),
+totals AS (SELECT sum(n)::DOUBLE AS n, sum(stops)::DOUBLE / sum(n) AS p FROM words),
+abbr AS MATERIALIZED (SELECT * FROM (SELECT word, stops, 2 * (stops * ln(0.99::DOUBLE / p) + CASE WHEN w.n > stops THEN (w.n - stops) * ln(0.01::DOUBLE / (1 - p)) ELSE 0 END) * exp(-length(replace(word, '.', ''))) * (length(word) - length(replace(word, '.', '')) + 1) * pow(length(replace(word, '.', ''))::DOUBLE, -(w.n - stops)) AS score
+  FROM words AS w CROSS JOIN totals AS t WHERE stops > 0 AND regexp_matches(word, '\p{{L}}')) AS a WHERE score >= 0.3),
+pairs AS MATERIALIZED (SELECT word, next, count(*) AS k FROM tok WHERE stop AND next <> '' AND word <> '' GROUP BY word, next),
+coll AS MATERIALIZED (SELECT word, next FROM (SELECT p.word, p.next, k, a.stops, w.n AS n2, t.n FROM pairs AS p JOIN abbr AS a ON p.word = a.word JOIN words AS w ON p.next = w.word CROSS JOIN totals AS t WHERE regexp_matches(p.next, '\p{{L}}')) AS c WHERE {ratio('k', 'stops', 'n2', 'n')} >= 7.88 AND k * n > stops * n2),
+sure AS MATERIALIZED (SELECT next, sum(k)::BIGINT AS k FROM pairs WHERE regexp_matches(word, '\p{{L}}') AND NOT regexp_matches(word, '^\p{{L}}$') AND word NOT IN (SELECT word FROM abbr) GROUP BY next),
+starters AS MATERIALIZED (SELECT next AS word FROM (SELECT s.next, s.k, b.k AS breaks, w.n AS n2, t.n FROM sure AS s JOIN words AS w ON s.next = w.word CROSS JOIN totals AS t CROSS JOIN (SELECT sum(k)::BIGINT AS k FROM sure) AS b WHERE regexp_matches(s.next, '\p{{L}}')) AS c WHERE {ratio('k', 'breaks', 'n2', 'n')} >= 30 AND k * n > breaks * n2)"""
+
+
+def _part(count: str, share: str) -> str:
+    return f"CASE WHEN ({count}) > 0 THEN ({count}) * ln({share}) ELSE 0 END"
+
+
+def trained_sentences(source: str) -> str:
+    """(doc_id, place, token, last): whether a sentence ends with the token."""
+    return rf"""WITH {sentence_parts(source)}
+SELECT t.doc_id, t.place, t.token, CASE WHEN t.next IS NULL OR loud THEN true WHEN NOT stop THEN ends AND next_upper
+  WHEN t.word = '##' THEN NOT next_low
+  WHEN (a.word IS NOT NULL AND regexp_matches(t.word, '\p{{L}}')) OR regexp_matches(t.word, '^\p{{L}}$') THEN c.word IS NULL AND next_upper AND (s.word IS NOT NULL OR coalesce(n.lowers > 0 AND n.uppers = 0, false)) ELSE true END AS last
+FROM tok AS t LEFT JOIN abbr AS a ON t.word = a.word LEFT JOIN coll AS c ON t.word = c.word AND t.next = c.next LEFT JOIN starters AS s ON t.next = s.word LEFT JOIN words AS n ON t.next = n.word"""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from clausewright import rules
 from clausewright.corpus import CORPUS_SQL, REVISED_SQL, corpus, joined, revised
 from clausewright.functions import text as T
-from clausewright.operators import classify, drafts, learn, match, quality, risk, segment, sessions, summary
+from clausewright.operators import classify, drafts, learn, match, quality, risk, segment, sentences, sessions, summary
 from clausewright.plans import folds
 from clausewright.plans import sql as S
 from clausewright.sources import files
@@ -358,6 +358,36 @@ def sentence_split(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(found).alias("n_sentences"), F.md5(F.array_join(found, "|")).alias("digest"))
 
 
+#: Some words always carry a period within sentences, as abbreviations do.
+_ABBREVIATED_SQL = r"SELECT doc_id, regexp_replace(text, '(^| )(tion|ist|zu|en|el|ou) ', '\1\2. ', 'g') AS text FROM documents"
+
+
+def _abbreviated(spark, sf_dir):
+    return table(spark, sf_dir, "documents").withColumn("text", F.regexp_replace("text", "(^| )(tion|ist|zu|en|el|ou) ", "$1$2. "))
+
+
+@query(f"WITH {folds.sentence_parts(_ABBREVIATED_SQL)} SELECT 'abbreviation' AS kind, word, NULL AS next, round(score, 3) AS score FROM abbr UNION ALL SELECT 'collocation', word, next, NULL FROM coll UNION ALL SELECT 'starter', word, NULL, NULL FROM starters")
+def sentence_model(spark, sf_dir):
+    """Abbreviations, collocations and sentence starters, learned from all documents."""
+    model = sentences.train(_abbreviated(spark, sf_dir))
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = model.abbreviations.select(F.lit("abbreviation").alias("kind"), "word", none("string").alias("next"), F.round("score", 3).alias("score"))
+    rows = rows.unionByName(model.collocations.select(F.lit("collocation").alias("kind"), "word", "next", none("double").alias("score")))
+    return rows.unionByName(model.starters.select(F.lit("starter").alias("kind"), "word", none("string").alias("next"), none("double").alias("score")))
+
+
+@query(
+    f"""SELECT d.doc_id, coalesce(n, 0) AS n_sentences, md5(coalesce(whole, '')) AS digest FROM documents AS d LEFT JOIN (SELECT doc_id, count(*)::INT AS n, string_agg(sentence, '|' ORDER BY g) AS whole
+    FROM (SELECT doc_id, g, regexp_replace(string_agg(token, '' ORDER BY place), '[ \\t\\n\\f\\r]+$', '') AS sentence FROM (SELECT *, coalesce(sum(last::INT) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g
+    FROM ({folds.trained_sentences(_ABBREVIATED_SQL)}) AS a) AS b GROUP BY doc_id, g) AS c GROUP BY doc_id) AS e ON d.doc_id = e.doc_id"""
+)
+def sentence_boundaries(spark, sf_dir):
+    """Sentences of all documents by the model that they themselves give."""
+    docs = _abbreviated(spark, sf_dir)
+    found = sentences.boundaries(docs, sentences.train(docs))
+    return found.select("doc_id", F.size("sentences").alias("n_sentences"), F.md5(F.array_join("sentences", "|")).alias("digest"))
+
+
 @query(f"SELECT doc_id, md5({S.strip(S.sub(S.sub('lower(text)', '[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}\\s]', ' '), '\\s+', ' '))}) AS digest FROM documents")
 def lexical_normalise(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.lexical(F.col("text"))).alias("digest"))

@@ -43,3 +43,11 @@ def write_files(files: DataFrame, folder: str) -> int:
             yield pd.DataFrame({"n": [len(batch)]})
 
     return files.select("path", "content").mapInPandas(run, "n long").agg({"n": "sum"}).first()[0] or 0
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder, for small results that are read several times."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
