@@ -58,12 +58,16 @@ def sections_within(found: Column, most: int = PER_SECTION) -> Column:
     return let(long, lambda kept: F.struct(*(of(kept, pattern).alias(SECTION_FIELDS[name]) for name, pattern in rules.SECTION_PATTERNS.items())))
 
 
-def summarise(docs: DataFrame, summarise_chunk=lead, second_pass=None, limit: int = 700) -> DataFrame:
+def summarise(docs: DataFrame, summarise_chunk=lead, second_pass=None, limit: int = 700, summarise_chunks=None) -> DataFrame:
     """(doc_id, overall_summary, key_points, obligations, payment_terms, termination, risks). Blank texts give
-    no row, as they are an error in a single call. summarise_chunk: column to column; a model is a pandas UDF. Nothing
-    leaves its row."""
+    no row, as they are an error in a single call. summarise_chunk: column to column, of built-in functions;
+    summarise_chunks: rows (doc_id, text, _chunks) to the same with _parts, the chunks' summaries, such as central_parts
+    or a model over batches. Nothing leaves its row."""
     real = docs.filter(T.strip(F.coalesce("text", F.lit(""))) != "")
-    overall = combined(F.transform(overlap_chunks(F.col("text"), limit), lambda c: summarise_chunk(c)), second_pass)
+    chunks = overlap_chunks(F.col("text"), limit)
+    if summarise_chunks:
+        real = summarise_chunks(real.select("doc_id", "text", chunks.alias("_chunks")))
+    overall = combined(F.col("_parts") if summarise_chunks else F.transform(chunks, lambda c: summarise_chunk(c)), second_pass)
     chunked = real.select("doc_id", sections_within(T.sentences(T.clean_summary(F.col("text")))).alias("_sections"), overall.alias("overall_summary"))
     points = lambda text: F.slice(F.filter(T.sentences(text), lambda s: T.word_total(s) > 6), 1, KEY_POINTS)
     found = let(F.col("overall_summary"), lambda text: let(points(text), lambda own: F.when(F.size(own) > 0, own).otherwise(F.array(text))))

@@ -113,6 +113,30 @@ SELECT k.doc_id, overall_summary, CASE WHEN len(points) > 0 THEN array_to_string
 """
 
 
+# Central sentences ----------------------------------------------------------------------------------------------------
+
+
+def central_chunks(source: str, start: int, own: int, flows: int, rounds: int, most: int) -> str:
+    """(doc_id, chunk_no, n_sentences, ranks, summary) over the overlapping chunks of a source (doc_id, text)."""
+    steps = [f"r0 AS (SELECT doc_id, chunk_no, i, {start}::BIGINT AS r FROM sent)"]
+    for k in range(rounds):
+        steps.append(f"r{k + 1} AS MATERIALIZED (SELECT s.doc_id, s.chunk_no, s.i, ({own} + coalesce(sum({flows} * r * w // d), 0))::BIGINT AS r FROM sent AS s LEFT JOIN edge AS e ON s.doc_id = e.doc_id AND s.chunk_no = e.chunk_no AND s.i = e.i LEFT JOIN r{k} AS r ON e.doc_id = r.doc_id AND e.chunk_no = r.chunk_no AND e.j = r.i GROUP BY ALL)")
+    return rf"""WITH ck AS MATERIALIZED ({overlapping(source)}),
+sent AS MATERIALIZED (SELECT doc_id, chunk_no, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, chunk_no, {sentences('chunk')} AS l FROM ck) AS a),
+wd AS MATERIALIZED (SELECT DISTINCT doc_id, chunk_no, i, w FROM (SELECT doc_id, chunk_no, i, unnest(regexp_extract_all(lower(s), '[a-z0-9]+')) AS w FROM sent) AS a),
+size AS MATERIALIZED (SELECT doc_id, chunk_no, i, count(*) AS n FROM wd GROUP BY ALL),
+pair AS MATERIALIZED (SELECT a.doc_id, a.chunk_no, a.i, b.i AS j, count(*) AS c FROM wd AS a JOIN wd AS b ON a.doc_id = b.doc_id AND a.chunk_no = b.chunk_no AND a.w = b.w AND a.i <> b.i GROUP BY ALL),
+wide AS MATERIALIZED (SELECT b.*, 1000 * c // (x.n + y.n) AS w, least(x.n, y.n) AS least_n FROM pair AS b JOIN size AS x ON b.doc_id = x.doc_id AND b.chunk_no = x.chunk_no AND b.i = x.i JOIN size AS y ON b.doc_id = y.doc_id AND b.chunk_no = y.chunk_no AND b.j = y.i),
+edge AS MATERIALIZED (SELECT *, greatest(1000 * sum(w) OVER (PARTITION BY doc_id, chunk_no, j), 1)::BIGINT AS d FROM wide),
+{', '.join(steps)},
+ranked AS MATERIALIZED (SELECT s.*, r.r, z.n, row_number() OVER (PARTITION BY s.doc_id, s.chunk_no ORDER BY r.r DESC, s.i) AS place FROM sent AS s JOIN r{rounds} AS r ON s.doc_id = r.doc_id AND s.chunk_no = r.chunk_no AND s.i = r.i LEFT JOIN size AS z ON s.doc_id = z.doc_id AND s.chunk_no = z.chunk_no AND s.i = z.i),
+bad AS (SELECT DISTINCT e.doc_id, e.chunk_no, e.i FROM edge AS e JOIN ranked AS x ON e.doc_id = x.doc_id AND e.chunk_no = x.chunk_no AND e.i = x.i JOIN ranked AS y ON e.doc_id = y.doc_id AND e.chunk_no = y.chunk_no AND e.j = y.i WHERE y.place < x.place AND 2 * c >= least_n),
+good AS (SELECT *, sum(len(regexp_extract_all(s, '\S+'))) OVER (PARTITION BY doc_id, chunk_no ORDER BY place) AS total, row_number() OVER (PARTITION BY doc_id, chunk_no ORDER BY place) AS first FROM ranked AS r ANTI JOIN bad AS b ON r.doc_id = b.doc_id AND r.chunk_no = b.chunk_no AND r.i = b.i WHERE n IS NOT NULL),
+said AS (SELECT doc_id, chunk_no, string_agg(s, ' ' ORDER BY i) AS summary FROM good WHERE total <= {most} OR first = 1 GROUP BY ALL),
+told AS (SELECT doc_id, chunk_no, count(*)::INT AS n_sentences, string_agg(r::VARCHAR, ',' ORDER BY i) AS ranks FROM ranked GROUP BY ALL)
+SELECT c.doc_id, c.chunk_no, coalesce(n_sentences, 0) AS n_sentences, coalesce(ranks, '') AS ranks, coalesce(summary, '') AS summary FROM ck AS c LEFT JOIN told AS t ON c.doc_id = t.doc_id AND c.chunk_no = t.chunk_no LEFT JOIN said AS s ON c.doc_id = s.doc_id AND c.chunk_no = s.chunk_no"""
+
+
 # Trained sentence boundaries ------------------------------------------------------------------------------------------
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from clausewright import rules
 from clausewright.corpus import CORPUS_SQL, REVISED_SQL, corpus, joined, revised
 from clausewright.functions import text as T
-from clausewright.operators import classify, drafts, learn, match, quality, risk, segment, sentences, sessions, summary
+from clausewright.operators import centrality, classify, drafts, learn, match, quality, risk, segment, sentences, sessions, summary
 from clausewright.plans import folds
 from clausewright.plans import sql as S
 from clausewright.sources import files
@@ -20,6 +20,7 @@ from clausewright.sources.files import html_text
 from clausewright.sources.pdf import pdf_pages, scan_pdf
 from clausewright.sources.pdf_writer import pdf_file
 from clausewright.sources.shared import shared_folder, write_files
+from clausewright.streaming import keyed
 from clausewright.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -445,6 +446,48 @@ def pdf_extract(spark, sf_dir):
     return found.select(F.regexp_extract("path", r"^(-?\d+)", 1).cast("long").alias("doc_id"), F.md5("raw_text").alias("digest"), "num_pages", "source_type")
 
 
+# Streams --------------------------------------------------------------------------------------------------------------
+
+
+def _streamed(spark, sf_dir, run):
+    """The events as a stream of files, in a session of its own that has the state store which list states need."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", keyed.ROCKS)
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    events = own.readStream.schema(own.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events.parquet*")
+    run(own, events.withColumn("ts", F.col("ts").cast("timestamp")), folder)
+    return folder
+
+
+@query(
+    """SELECT user_id, event_id, session_start, created, len(history)::INT AS n_messages, array_to_string(history, ',') AS history FROM (
+    SELECT user_id, event_id, ts, created, min(ts) OVER (PARTITION BY user_id, n) AS session_start, list(event_id) OVER (PARTITION BY user_id, n ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS history
+    FROM (SELECT *, sum(created::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM (SELECT user_id, event_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 30 MINUTE, true) AS created FROM events) AS a) AS b) AS c"""
+)
+def stream_sessions_of_events(spark, sf_dir):
+    """Session states of all events, kept by a stream with list state and timers."""
+
+    def run(own, events, folder):
+        kept = keyed.stream_session_states(events.select("user_id", "event_id", "ts"))
+        kept.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out").trigger(availableNow=True).start().awaitTermination()
+
+    folder = _streamed(spark, sf_dir, run)
+    return spark.read.schema(keyed.ACCESS).parquet(f"{folder}/out").withColumn("history", F.array_join("history", ","))
+
+
+@query("SELECT user_id, max(ts) AS ts, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
+def stream_latest_events(spark, sf_dir):
+    """The latest event of each user, as a table that micro-batches keep."""
+    schema = "user_id bigint, ts timestamp, event_id bigint, event_type string"
+
+    def run(own, events, folder):
+        keyed.UpsertTable(own, f"{folder}/table", schema, "user_id", "ts").start(events, f"{folder}/checkpoint").awaitTermination()
+
+    folder = _streamed(spark, sf_dir, run)
+    return keyed.UpsertTable(spark, f"{folder}/table", schema, "user_id", "ts").read()
+
+
 # Matching -------------------------------------------------------------------------------------------------------------
 
 THRESHOLDS = {"identical": 0.40, "modified": 0.37, "related": 0.34}
@@ -576,6 +619,13 @@ def contract_summaries(spark, sf_dir):
     return _summaries(spark, sf_dir).select("doc_id", "overall_summary", *(F.array_join(c, "\n").alias(c) for c in lists))
 
 
+@query(f"SELECT doc_id, chunk_no, n_sentences, md5(ranks) AS ranks, md5(summary) AS summary FROM ({folds.central_chunks('SELECT doc_id, text FROM documents', centrality.START, centrality.OWN, centrality.FLOWS, centrality.ROUNDS, centrality.MOST_WORDS)}) AS c")
+def chunk_centrality(spark, sf_dir):
+    """Every chunk of every document with the ranks of its sentences and the summary that they give."""
+    found = centrality.central_chunks(overlap_chunks(spark, sf_dir))
+    return found.select("doc_id", "chunk_no", F.size("sentences").alias("n_sentences"), F.md5(F.concat_ws(",", F.col("ranks").cast("array<string>"))).alias("ranks"), F.md5("summary").alias("summary"))
+
+
 _EXPLAINED_SQL = f"SELECT doc_id, summary, key_points, {S.quote(summary.PLAIN_PROMPT)} || summary AS prompt, CASE WHEN len(first) > 0 THEN 'In short: ' || array_to_string(first, ' ') ELSE '' END AS explanation FROM (SELECT doc_id, overall_summary AS summary, key_points, {folds.sentences('overall_summary')}[:2] AS first FROM ({folds.summaries(_JOINED_SQL)}) AS s WHERE trim(overall_summary) <> '') AS e"
 
 
