@@ -68,7 +68,8 @@ def stream_session_states(accesses: DataFrame, idle: int = IDLE_SECONDS, most: i
     """session_states() on a stream: accesses (user_id, event_id, ts) as rows of ACCESS, each with its session's start,
     whether it made it, and the last messages. Rows behind the watermark are dropped; rows that are late within it belong
     to the open session. The state of a user is a row for each of few messages, and none once the session is over. Needs
-    the RocksDB state store."""
+    the RocksDB state store. By processing time a query runs batches on end, as state may expire at any time, so that the
+    trigger availableNow would not stop."""
     timed = accesses.withWatermark("ts", late) if event_time else accesses
     own = timed.select(F.col("user_id").cast("long").alias("user_id"), F.col("event_id").cast("long").alias("event_id"), *(["ts"] if event_time else []), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
     return own.groupBy("user_id").transformWithStateInPandas(statefulProcessor=Sessions(idle, most, event_time), outputStructType=ACCESS, outputMode="Append", timeMode="EventTime" if event_time else "ProcessingTime")

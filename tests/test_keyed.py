@@ -17,14 +17,14 @@ EVENT = "user_id long, event_id long, ts timestamp"
 class Files:
     """A stream that gets a file at a time, and what it has written so far."""
 
-    def __init__(self, spark, tmp_path, schema, make):
-        self.spark, self.root, self.schema, self.made = spark, tmp_path, schema, make
+    def __init__(self, spark, tmp_path, schema, make, **trigger):
+        self.spark, self.root, self.schema, self.made, self.trigger = spark, tmp_path, schema, make, trigger or {"availableNow": True}
         (tmp_path / "in").mkdir()
 
     def add(self, rows):
         self.spark.createDataFrame(rows, self.schema).coalesce(1).write.mode("append").parquet(str(self.root / "in"))
         stream = self.made(self.spark.readStream.schema(self.schema).parquet(str(self.root / "in")))
-        query = stream.writeStream.format("parquet").option("path", str(self.root / "out")).option("checkpointLocation", str(self.root / "cp")).trigger(availableNow=True).start()
+        query = stream.writeStream.format("parquet").option("path", str(self.root / "out")).option("checkpointLocation", str(self.root / "cp")).trigger(**self.trigger).start()
         query.awaitTermination()
 
     def out(self, schema):
@@ -68,7 +68,7 @@ def test_expiry_and_late_rows(spark, tmp_path):
 
 
 def test_sessions_expire_by_processing_time(spark, tmp_path):
-    files = Files(spark, tmp_path, EVENT, lambda s: stream_session_states(s, idle=8, event_time=False))
+    files = Files(spark, tmp_path, EVENT, lambda s: stream_session_states(s, idle=8, event_time=False), once=True)
     files.add([(1, 1, at(0))])
     files.add([(1, 2, at(1))])
     time.sleep(9)
