@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import uuid
 from collections.abc import Callable
 
@@ -16,6 +17,7 @@ from clausewright.operators import centrality, classify, drafts, learn, match, q
 from clausewright.plans import folds
 from clausewright.plans import sql as S
 from clausewright.sources import files
+from clausewright.sources.csv_blocks import read_quoted_csv
 from clausewright.sources.files import html_text
 from clausewright.sources.pdf import pdf_pages, scan_pdf
 from clausewright.sources.pdf_writer import pdf_file
@@ -488,6 +490,20 @@ def stream_latest_events(spark, sf_dir):
     return keyed.UpsertTable(spark, f"{folder}/table", schema, "user_id", "ts").read()
 
 
+@query("SELECT doc_id, md5(text) AS digest, source FROM documents")
+def csv_records(spark, sf_dir):
+    """All documents as quoted CSV files in the shared folder, read back by blocks that cut records anywhere."""
+
+    def made(batches):
+        for batch in batches:
+            name, held = f"{batch['doc_id'].iloc[0]}.csv", batch.to_csv(index=False, quoting=csv.QUOTE_MINIMAL, lineterminator="\n")
+            yield pd.DataFrame({"path": [name], "content": [held.encode()]})
+
+    folder = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    write_files(table(spark, sf_dir, "documents").select("doc_id", "text", "source").mapInPandas(made, "path string, content binary"), folder)
+    return read_quoted_csv(spark, folder, 200_000).select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("digest"), "source")
+
+
 # Matching -------------------------------------------------------------------------------------------------------------
 
 THRESHOLDS = {"identical": 0.40, "modified": 0.37, "related": 0.34}
