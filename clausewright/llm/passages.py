@@ -7,6 +7,10 @@ matches move packed, in buckets: those that only one place has never become rows
 chained in order, gaps cost what they skip, and a chain is aligned word by word between its seeds. Passages of MIN_WORDS
 words or more, alike to 0.8 or more, are the result.
 
+A passage that several earlier documents hold in parts meets none that holds all of it by its first holders. But in any
+two documents that have it the same holders stand side by side: each such pair leads to the first document that has it,
+and what both share with the holders is what they share with each other.
+
 Three kinds of matches are settled before any text moves. Documents with the same words as an earlier one are its copies
 as a whole. A chain that is one run of fewer than MIN_WORDS words needs equal words beside it: four bits of a hash of
 each neighbour show where that cannot be, and only the chains that remain ask for the holder's words. And a match within
@@ -38,6 +42,8 @@ GAP_COST, MOST_GAP, TILE = 0.1, 40, 32
 GIVE_UP = 8
 #: Words of a holder sent beyond either end of a chain at first, and how many times as many when a chain outgrows them.
 REACH, FURTHER = 26, 8
+#: Words of the chains of two holders that stand side by side in a document, at least, for it to be looked up by them.
+JOINT_WORDS = 7
 #: Neighbours on either side of a short run whose hashes are compared first.
 BESIDE = 24
 #: Seeds that share a bucket, on average; seeds of the texts that one parcel of every bucket is made from.
@@ -81,8 +87,9 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hash_bits(n_words: int) -> int:
-    """Bits of a seed's hash: of so many, unlike ones seldom share one (they are told apart by words)."""
-    return min(62, (n_words + 1).bit_length() + 10)
+    """Bits of a seed's hash: of so many, one seed in a million shares one with an unlike seed (they are told apart by
+    words, but the earlier of the two stands for both)."""
+    return min(62, (n_words + 1).bit_length() + 20)
 
 
 def all_seeds(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -362,7 +369,7 @@ def all_chains(doc: np.ndarray, word: np.ndarray, holder: np.ndarray, holder_wor
 
 #: Kinds of rows: the chains of a document, the tiles of holders that they need, and parcels: requests for neighbours
 #: (dealt by holder), replies, short chains (dealt by document).
-CHAINS, TILES, REQUEST, REPLY, SHORT, BODY = range(6)
+CHAINS, TILES, REQUEST, REPLY, SHORT, BODY, JOINT = range(7)
 _ROW, _ROW_NAMES = "kind int, bucket long, n long, doc long, holder long, low long, high long, data binary", ["kind", "bucket", "n", "doc", "holder", "low", "high", "data"]
 #: Bytes by which requests and replies (steps between holders, words) and short chains (steps between documents,
 #: holders, words on both sides, words of the run) are packed.
@@ -439,6 +446,77 @@ def short_rows(bucket: int, buckets: int, doc: np.ndarray, holder: np.ndarray, x
     yield rows_of(REQUEST, bucket=[b for b, _ in asked], n=[len(c[0]) for _, c in asked], doc=[bucket] * len(asked), data=[packed([np.diff(c[0], prepend=0), c[1]], _ASK_WIDTHS) for _, c in asked])
 
 
+def joint_rows(doc: np.ndarray, holder: np.ndarray, counts: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Where the chains of two holders stand side by side in a document, and are not both certain to be passages: a row
+    with the holders (the second as `low`) and both chains' points. Another document in which the same two meet may hold
+    what each of them holds a part of."""
+    if not len(doc):
+        return
+    ends = np.cumsum(counts)
+    begins = ends - counts
+    low, high = x[begins], x[ends - 1] + SEED_WORDS
+    size = np.flatnonzero(high - low >= JOINT_WORDS)
+    size = size[np.lexsort((high[size], low[size], doc[size]))]
+    if len(size) < 2:
+        return
+    a, b = size[:-1], size[1:]
+    sure = inside(doc, low, high, certain(doc, counts, x, y))
+    side = (doc[a] == doc[b]) & (holder[a] != holder[b]) & (low[b] - high[a] <= MOST_GAP) & (high[b] > high[a]) & ~(sure[a] & sure[b])
+    a, b = a[side], b[side]
+    for i in range(0, len(a), BATCH_ROWS):
+        packs = [packed_chains(np.array([holder[p], holder[q]]), np.array([counts[p], counts[q]]), np.concatenate([x[begins[p] : ends[p]], x[begins[q] : ends[q]]]), np.concatenate([y[begins[p] : ends[p]], y[begins[q] : ends[q]]])) for p, q in zip(a[i : i + BATCH_ROWS].tolist(), b[i : i + BATCH_ROWS].tolist())]
+        yield rows_of(JOINT, doc=doc[a[i : i + BATCH_ROWS]], holder=holder[a[i : i + BATCH_ROWS]], low=holder[b[i : i + BATCH_ROWS]], data=packs)
+
+
+def runs_of(points: list[list[int]]) -> list[tuple[int, int, int]]:
+    """(first holder word, words, words of the document ahead of the holder's) of the runs of equal words that a chain's
+    points stand for."""
+    out: list[list[int]] = []
+    for px, py in points:
+        if out and px - py == out[-1][2] and py <= out[-1][0] + out[-1][1]:
+            out[-1][1] = max(out[-1][1], py + SEED_WORDS - out[-1][0])
+        else:
+            out.append([py, SEED_WORDS, px - py])
+    return [tuple(r) for r in out]
+
+
+def composed(mine: bytes, other: bytes) -> list[tuple[int, int]]:
+    """Seeds that two documents share, from what each shares with the same holders: (word, word of the other)."""
+    theirs: dict[int, list[tuple[int, int, int]]] = {}
+    for holder, points in unpacked_chains(other):
+        theirs.setdefault(holder, []).extend(runs_of(points))
+    out = set()
+    for holder, points in unpacked_chains(mine):
+        for y, n, ahead in runs_of(points):
+            for y0, n0, ahead0 in theirs.get(holder, ()):
+                low, high = max(y, y0), min(y + n, y0 + n0)
+                out.update((k + ahead, k + ahead0) for k in range(low, high - SEED_WORDS + 1))
+    return sorted(out)
+
+
+def linked(found: DataFrame) -> DataFrame:
+    """Chains, and the tiles that they need, between documents in which the same two holders stand side by side: each
+    pair of holders leads to the first document that has it. Pairs in very many documents are counted before they move,
+    and meet one row."""
+    joints = found.filter(F.col("kind") == JOINT).select("doc", "holder", "low", "data")
+    firsts = joints.groupBy("holder", "low").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").drop("last")
+    heads = written(joints.join(firsts, ["holder", "low"]).filter("doc = first").groupBy("holder", "low").agg(F.first("first").alias("first"), F.min("data").alias("known")), "joints")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns: list[list[int]] = [[], [], [], []]
+            for doc, first, mine, other in zip(*(c.to_pylist() for c in batch.columns)):
+                for px, py in composed(mine, other):
+                    for column, value in zip(columns, (doc, px, first, py)):
+                        column.append(value)
+            own = np.array(columns, dtype=np.int64)
+            if own.size:
+                doc, holder, counts, x, y = collected(*own)
+                yield from chain_rows(doc, holder, counts, x, y)
+
+    return joints.join(heads, ["holder", "low"]).filter("doc > first").select("doc", "first", "data", "known").mapInArrow(run, _ROW)
+
+
 def chained(found: DataFrame, copies: DataFrame, buckets: int) -> DataFrame:
     """Parcels of matches and (doc, first) copies to the chains of documents that are no copies, a row for each document,
     but for chains of one run under MIN_WORDS words: these go on as parcels, with requests for what stands beside them
@@ -473,6 +551,7 @@ def chained(found: DataFrame, copies: DataFrame, buckets: int) -> DataFrame:
             short = ~broken & (words < MIN_WORDS)
             points = np.repeat(~short, counts)
             yield from chain_rows(doc[~short], holder[~short], counts[~short], x[points], y[points])
+            yield from joint_rows(doc, holder, counts, x, y)
             if short.any():
                 first = (ends - counts)[short]
                 yield from short_rows(int(bucket), buckets, doc[short], holder[short], x[first], y[first], words[short])
@@ -827,7 +906,8 @@ def fuzzy_passages(docs: DataFrame) -> DataFrame:
     told = written(replies(own, found.filter(F.col("kind") == REQUEST), buckets), "replies")
     alive = written(growing(own, found.filter(F.col("kind") == SHORT), told, buckets), "growing")
     removed(spark, told)
-    both = found.unionByName(alive)
+    more = written(linked(found), "linked")
+    both = found.unionByName(alive).unionByName(more)
     of_kind = lambda kind, *names: both.filter(F.col("kind") == kind).select(*names)
     first = last = written(judged(own, own, of_kind(CHAINS, "doc", "data"), of_kind(TILES, "doc", "holder", "low", "high"), REACH), "passages")
     later, reach = [], REACH
@@ -837,10 +917,10 @@ def fuzzy_passages(docs: DataFrame) -> DataFrame:
         some = own.join(left, "doc", "left_semi").dropDuplicates(["doc"])
         last = written(judged(some, own, left.select("doc", "data"), left.select("doc", F.inline("next")), reach), "passages")
         later.append(last.select("doc", "passages"))
-    removed(spark, own, found, alive)
+    removed(spark, own, found, alive, more)
     if later:
-        more = reduce(DataFrame.unionByName, later).groupBy("doc").agg(F.flatten(F.collect_list("passages")).alias("more"))
-        first = first.join(more, "doc", "left").withColumn("passages", F.concat("passages", F.coalesce("more", F.array().cast(PASSAGES))))
+        again = reduce(DataFrame.unionByName, later).groupBy("doc").agg(F.flatten(F.collect_list("passages")).alias("more"))
+        first = first.join(again, "doc", "left").withColumn("passages", F.concat("passages", F.coalesce("more", F.array().cast(PASSAGES))))
     # Ids of the firsts alone, a table of its own: a large group of copies is joined to it by broadcast or in parts.
     names = first.select(F.col("doc").alias("first"), F.col("doc_id").alias("first_id")).dropDuplicates(["first"])
     heads = written(copies.select("first").distinct().join(names, "first"), "heads")

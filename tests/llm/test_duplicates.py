@@ -463,6 +463,38 @@ def test_recall_of_edited_passages(spark, share):
     assert found >= 0.95 * sum(map(len, planted.values())) and not any(got[k] for k in got if k % 2 == 0)
 
 
+@pytest.mark.parametrize("share", [0.05, 0.08, 0.1])
+def test_recall_of_passages_that_several_hold_in_parts(spark, share):
+    """Three early documents hold overlapping 24-word parts of a passage, a fourth all 60 words, a fifth an edited form."""
+    choose = random.Random(int(share * 100))
+    word = lambda: "".join(choose.choice("abcdefghijklmnop") for _ in range(6))
+    fill = lambda n: [word() for _ in range(n)]
+    rows, planted = [], {}
+    for i in range(60):
+        part = fill(60)
+        edited: list[str] = []
+        for w in part:
+            how = choose.random() if choose.random() < share else 1
+            edited += [word()] if how < 0.5 else [] if how < 0.75 else [w, word()] if how < 1 else [w]
+        held = [part[0:24], part[18:42], part[36:60], part]
+        rows += [(10 * i + k, " ".join(fill(30) + own + fill(30))) for k, own in enumerate(held)]
+        rows.append((10 * i + 4, " ".join(fill(40) + edited + fill(40))))
+        planted[10 * i + 4] = set(range(40, 40 + len(edited)))
+    got = {r["doc_id"]: r["passages"] for r in passages.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = [len(w & set().union(*(range(p["start"], p["end"]) for p in got[k]))) if got[k] else 0 for k, w in planted.items()]
+    assert sum(found) >= 0.9 * sum(map(len, planted.values())) and sum(not f for f in found) <= 0.05 * len(found)
+    assert not any(got[k] for k in got if k % 10 < 3)
+
+
+def test_runs_meet_through_a_common_holder():
+    pack = lambda *chains: passages.packed_chains(np.array([h for h, _ in chains]), np.array([len(p) for _, p in chains]), np.array([x for _, p in chains for x, _ in p]), np.array([y for _, p in chains for _, y in p]))
+    mine = pack((7, [[10, 0], [15, 5], [21, 11]]), (9, [[40, 3]]))  # ten words from 0 on, five from 11; five of another
+    other = pack((7, [[100, 2], [105, 7]]), (9, [[140, 4]]), (11, [[1, 3]]))
+    assert passages.composed(mine, other) == [(x + 12, x + 100) for x in range(4)]
+    assert passages.composed(other, mine) == [(x + 100, x + 12) for x in range(4)]
+    assert passages.runs_of([[10, 0], [15, 5], [18, 8], [30, 20], [31, 22]]) == [(0, 13, 10), (20, 5, 10), (22, 5, 9)]
+
+
 def test_passages_of_nothing(spark):
     assert passages.fuzzy_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     odd = spark.createDataFrame([(1, None, 1), (1, None, 2), (None, "a b", 3), (3, "x " * 40_000, 4), (4, "x " * 40_000, 5)], "doc_id long, text string, passages int")
