@@ -1 +1 @@
-"""Training-data operators: ten corpus-scale components and their registered queries."""
+"""Training-data operators: thirteen corpus-scale components and their registered queries."""
