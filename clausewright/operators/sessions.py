@@ -106,11 +106,11 @@ def rate_decisions(requests: DataFrame, client: str = "user_id", most: int = RAT
     rows come sorted and stream through, so a client's history is never held."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current: Any = None
+        current: Any = ()  # no client yet; null clients are one
         state = RateState(most=most, seconds=seconds)
         for batch in batches:
             out = []
-            for who, at in zip(batch["client"], batch["at"]):
+            for who, at in zip(batch["client"].astype(object).where(batch["client"].notna(), None), batch["at"]):
                 if who != current:
                     current, state = who, RateState(most=most, seconds=seconds)
                 out.append(state.allow(at))

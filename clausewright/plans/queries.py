@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from clausewright import rules
 from clausewright.corpus import CORPUS_SQL, REVISED_SQL, corpus, joined, revised
 from clausewright.functions import text as T
-from clausewright.operators import centrality, classify, drafts, learn, match, quality, risk, segment, sentences, sessions, summary
+from clausewright.operators import centrality, classify, drafts, learn, match, quality, rate, risk, segment, sentences, sessions, summary
 from clausewright.plans import folds
 from clausewright.plans import sql as S
 from clausewright.sources import files
@@ -757,16 +757,23 @@ def events_sliding(spark, sf_dir):
     return sessions.sliding(table(spark, sf_dir, "events"))
 
 
-@query(
-    """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t FROM events),
+_RATE_SQL = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t FROM events),
     w AS (SELECT user_id, min(t) AS s FROM e GROUP BY user_id UNION ALL SELECT w.user_id, min(e.t) AS s FROM w JOIN e ON e.user_id = w.user_id AND e.t > w.s + 86400000000 GROUP BY w.user_id)
     SELECT user_id AS client, event_id, row_number() OVER (PARTITION BY user_id, s ORDER BY t, event_id) <= 2 AS allowed FROM (SELECT e.user_id, event_id, t, max(s) AS s FROM e JOIN w ON e.user_id = w.user_id AND w.s <= e.t GROUP BY e.user_id, event_id, t) AS x"""
-)
+
+
+@query(_RATE_SQL)
 def rate_limit_decisions(spark, sf_dir):
     """Two requests a day per user: at the usual limit no user of the table is ever stopped."""
     return sessions.rate_decisions(table(spark, sf_dir, "events"), most=2, seconds=86400)
 
 
+@query(_RATE_SQL)
+def rate_limit_windows(spark, sf_dir):
+    """The same by composed links, for clients of any size."""
+    return rate.rate_windows(table(spark, sf_dir, "events"), most=2, seconds=86400)
+
+
 @query("SELECT user_id AS task_id, max(ts) AS ts, arg_max(event_type, (ts, event_type)) AS status FROM events GROUP BY user_id")
 def task_latest_status(spark, sf_dir):
     return sessions.latest_status(table(spark, sf_dir, "events").select(F.col("user_id").alias("task_id"), "ts", F.col("event_type").alias("status")))
