@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausewright import rules
@@ -156,8 +156,21 @@ def search_landmarks(cards: DataFrame, query: str) -> DataFrame:
     return cards.filter(hit)
 
 
+def landmarks_found(query: Column) -> Column:
+    """P7 for a column of queries: the ids of the cards in any of whose six columns each occurs, in any case, in the
+    cards' order; none for null and blank queries. The cards are few and fixed, so they stand in the expression."""
+    cards = F.array(*(F.struct(F.lit(c[0]).alias("id"), F.array(*(F.lit(x.lower()) for x in (*c[1:], rules.ANSWERS[c[0]], details(c)))).alias("columns")) for c in rules.LANDMARKS))
+    low = F.lower(F.btrim(query))
+    hit = F.filter(cards, lambda card: F.exists(card["columns"], lambda x: x.contains(low)))
+    return F.when(low != "", F.transform(hit, lambda card: card["id"])).otherwise(F.array().cast("array<string>"))
+
+
+def details(card: tuple[str, ...]) -> str:
+    return f"{card[3]} ({card[4]}), {card[1]}; field: {card[2]}"
+
+
 def landmark_cards(spark) -> DataFrame:
-    rows = [(*card, rules.ANSWERS[card[0]], f"{card[3]} ({card[4]}), {card[1]}; field: {card[2]}") for card in rules.LANDMARKS]
+    rows = [(*card, rules.ANSWERS[card[0]], details(card)) for card in rules.LANDMARKS]
     return spark.createDataFrame(rows, "id string, region string, tag string, title string, citation string, summary string, details string")
 
 

@@ -868,6 +868,22 @@ def landmark_search(spark, sf_dir):
     return sessions.search_landmarks(sessions.landmark_cards(spark), "Constitution").select("id", "title")
 
 
+#: What a message of a conversation is taken to ask for, by its length.
+_ASKED = ("Constitution", "carlill", "PROPERTY", " 1980 ", "field: contract", "no such case", "personal liberty", " ")
+_CARD_COLUMNS = "(VALUES " + ", ".join("(" + ", ".join(map(S.quote, (c[0], *(x.lower() for x in (*c[1:], rules.ANSWERS[c[0]], sessions.details(c)))))) + ")" for c in rules.LANDMARKS) + ") AS cards(id, region, tag, title, citation, summary, details)"
+
+
+@query(
+    f"""SELECT conv_id, turn, count(id) AS n_hits, coalesce(string_agg(id, ',' ORDER BY id), '') AS ids FROM (SELECT conv_id, turn, lower(trim(([{', '.join(map(S.quote, _ASKED))}])[(length(coalesce(text, '')) % {len(_ASKED)} + 1)::INT])) AS q FROM conversations WHERE role = 'user') AS m
+    LEFT JOIN {_CARD_COLUMNS} ON q <> '' AND (contains(region, q) OR contains(tag, q) OR contains(title, q) OR contains(citation, q) OR contains(summary, q) OR contains(details, q)) GROUP BY conv_id, turn"""
+)
+def landmark_hits(spark, sf_dir):
+    """The search of the landmark cards for every message of a user."""
+    asked = F.element_at(F.array(*map(F.lit, _ASKED)), F.length(F.coalesce("text", F.lit(""))) % len(_ASKED) + 1)
+    found = table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", F.array_sort(sessions.landmarks_found(asked)).alias("ids"))
+    return found.select("conv_id", "turn", F.size("ids").cast("long").alias("n_hits"), F.array_join("ids", ",").alias("ids"))
+
+
 @query(
     f"""SELECT doc_id, para_idx, rule_ord, category, severity, matched_phrase FROM ({S.risk_matches().replace(S.risk_rules(), '(SELECT * FROM ' + S.risk_rules() + f" WHERE category <> 'Penalty Clauses' UNION ALL SELECT {len(rules.RISK_RULES)}, 'Season', 'LOW', x.i, x.k FROM (VALUES (0, 'harvest'), (1, 'valley')) AS x(i, k)) AS rules")}) AS m"""
 )
