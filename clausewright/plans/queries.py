@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from clausewright import rules
 from clausewright.corpus import CORPUS_SQL, REVISED_SQL, corpus, joined, revised
 from clausewright.functions import text as T
-from clausewright.operators import centrality, classify, drafts, learn, match, quality, rate, risk, segment, sentences, sessions, summary
+from clausewright.operators import centrality, classify, drafts, learn, match, models, nearest, quality, rate, risk, segment, sentences, sessions, summary
 from clausewright.plans import folds
 from clausewright.plans import sql as S
 from clausewright.sources import files
@@ -107,6 +107,44 @@ def hybrid_decision(spark, sf_dir):
     return classify.cascade(classify.detect_clauses(corpus(spark, sf_dir)), model)
 
 
+#: Paragraphs with the rules' decision, and what the chain model fitted on the sure ones says of each row of `asked`.
+_CHAIN_SQL = rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, para_idx, text, label, confidence FROM ({S.decided(CORPUS_SQL)}) AS x),
+w AS (SELECT doc_id, para_idx, label, confidence, regexp_extract_all(lower(text), '\w+') AS l FROM d),
+t AS MATERIALIZED (SELECT doc_id, para_idx, label, confidence, ('0x' || left(md5(step), 7))::BIGINT % {models.BUCKETS} AS bucket FROM (SELECT doc_id, para_idx, label, confidence, unnest(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN i = 1 THEN '{models.START}' ELSE l[i - 1] END || ' ' || l[i])) AS step FROM w) AS s),
+c AS (SELECT label AS k, bucket, count(*) AS n FROM t WHERE confidence >= 0.75 GROUP BY ALL),
+k AS (SELECT label AS k, ln(count(*) / (sum(count(*)) OVER ())) AS prior, coalesce((SELECT sum(n) FROM c WHERE c.k = label), 0) AS total FROM d WHERE confidence >= 0.75 GROUP BY label),
+z AS (SELECT doc_id, para_idx, k.k, sum(ln((coalesce(c.n, 0) + 1) / (total + {models.BUCKETS})::DOUBLE)) / sqrt(count(*)) AS likely FROM t CROSS JOIN k LEFT JOIN c ON c.k = k.k AND c.bucket = t.bucket WHERE <asked> GROUP BY ALL),
+g AS (SELECT a.doc_id, a.para_idx, k.k, prior + coalesce(likely, 0) AS logit FROM (SELECT * FROM d WHERE <asked>) AS a CROSS JOIN k LEFT JOIN z ON z.doc_id = a.doc_id AND z.para_idx = a.para_idx AND z.k = k.k),
+m AS (SELECT doc_id, para_idx, arg_max(k, logit) AS ml_label, round(1 / sum(exp(logit - top)), 4) AS ml_confidence FROM (SELECT *, max(logit) OVER (PARTITION BY doc_id, para_idx) AS top FROM g) AS h GROUP BY ALL)
+"""
+
+
+def _ruled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus with the rules' decision, written once."""
+    path = f"{shared_folder(spark)}/ruled-{uuid.uuid4().hex}"
+    classify.detect_clauses(corpus(spark, sf_dir)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query(
+    _CHAIN_SQL.replace("<asked>", "confidence < 0.75")
+    + """SELECT d.doc_id, d.para_idx, CASE WHEN ml_confidence > confidence THEN ml_label ELSE label END AS label, CASE WHEN ml_confidence > confidence THEN ml_confidence ELSE confidence END AS confidence,
+    CASE WHEN confidence >= 0.75 THEN 'rule_based' WHEN ml_confidence > confidence THEN 'ml_fallback' ELSE 'rule_based_low_confidence' END AS method, confidence AS rule_confidence, ml_confidence FROM d LEFT JOIN m ON m.doc_id = d.doc_id AND m.para_idx = d.para_idx"""
+)
+def hybrid_model_decision(spark, sf_dir):
+    """The hybrid decision with a fitted sequence model: sure rules teach it, unsure paragraphs ask it."""
+    return models.learned_cascade(_ruled_corpus(spark, sf_dir), "hybrid_model_decision")
+
+
+@query(_CHAIN_SQL.replace("<asked>", "true") + "SELECT d.doc_id, ml_label AS label, arg_min(d.para_idx, (-ml_confidence, d.para_idx)) AS para_idx, arg_min(text, (-ml_confidence, d.para_idx)) AS text, max(ml_confidence) AS confidence FROM d JOIN m ON m.doc_id = d.doc_id AND m.para_idx = d.para_idx WHERE ml_label <> 'other' GROUP BY ALL")
+def model_representatives(spark, sf_dir):
+    """The paragraph of each label that the fitted model is surest of, per document."""
+    ruled = _ruled_corpus(spark, sf_dir)
+    models.MODELS.register("model_representatives", models.fit_chain(ruled.filter("confidence >= 0.75")), replace=True)
+    return models.representatives(models.MODELS.predict(ruled, "model_representatives"))
+
+
 @query(folds.map_summary("SELECT doc_id, text FROM documents"))
 def clause_map_summary(spark, sf_dir):
     return classify.clause_map_summary(classify.clause_map(table(spark, sf_dir, "documents")))
@@ -543,6 +581,13 @@ def vector_search(spark, sf_dir):
     return match.top_k_blocked(vectors.filter("vec_id % 20 = 0"), vectors, 5)
 
 
+@query("SELECT q.vec_id AS query_id, m.vec_id AS match_id, round(list_dot_product(q.embedding::DOUBLE[], m.embedding::DOUBLE[]), 6) AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY similarity DESC, m.vec_id)::INT AS rank FROM embeddings q JOIN embeddings m ON q.vec_id % 20 = 0 QUALIFY rank <= 5")
+def vector_search_pruned(spark, sf_dir):
+    """The same neighbours from the blocks alone that bounds do not rule out."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest.top_k_pruned(vectors.filter("vec_id % 20 = 0"), vectors, 5)
+
+
 @query(_STATUS_SQL)
 def compare_status(spark, sf_dir):
     return match.classify_changes(*_sides(spark, sf_dir), **THRESHOLDS).drop("clause_a", "clause_b")
