@@ -16,7 +16,7 @@ from clausewright.functions import text as T
 from clausewright.operators import centrality, classify, drafts, learn, match, models, nearest, quality, rate, risk, segment, sentences, sessions, summary
 from clausewright.plans import folds
 from clausewright.plans import sql as S
-from clausewright.sources import files
+from clausewright.sources import files, images
 from clausewright.sources.csv_blocks import read_quoted_csv
 from clausewright.sources.files import html_text
 from clausewright.sources.pdf import pdf_pages, scan_pdf
@@ -1012,3 +1012,32 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = classify.detect_clauses(corpus(spark, sf_dir))
     n_types = found.filter("label <> 'other'").groupBy("doc_id").agg(F.countDistinct("label").alias("n_clause_types"))
     return risk_report(spark, sf_dir).join(n_types, "doc_id", "left")
+
+
+#: Words of a drawn page, and those from which on its angle must be found.
+_PAGE_WORDS, _ENOUGH_WORDS = 120, 60
+
+
+@query(
+    f"""SELECT doc_id, page_no::INT AS page_no, n_words::INT AS n_words, drawn, CASE WHEN n_words >= {_ENOUGH_WORDS} THEN true END AS found FROM (
+    SELECT doc_id, page_no, least({_PAGE_WORDS}, n - page_no * {_PAGE_WORDS}) AS n_words, ((doc_id * 7 + page_no * 3) % 41 - 20) / 2.0::DOUBLE AS drawn FROM (
+    SELECT doc_id, n, unnest(range(0, (n + {_PAGE_WORDS - 1}) // {_PAGE_WORDS})) AS page_no FROM (SELECT doc_id, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS n FROM ({_JOINED_SQL}) AS j) AS d) AS p) AS q"""
+)
+def image_line_angles(spark, sf_dir):
+    """Every contract drawn as pages at known angles, cleaned, and its lines' angles found again within half a degree."""
+    words = F.transform(F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0)), F.length)
+    docs = joined(corpus(spark, sf_dir)).select("doc_id", words.alias("w"))
+    numbered = docs.filter(F.size("w") > 0).select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / _PAGE_WORDS).cast("int"))).alias("page_no"))
+    pages = numbered.select(F.col("doc_id").cast("string").alias("path"), "doc_id", "page_no", F.slice("w", F.col("page_no") * _PAGE_WORDS + 1, _PAGE_WORDS).alias("w"), (((F.col("doc_id") * 7 + F.col("page_no") * 3) % 41 - 20) / 2.0).alias("drawn"))
+
+    @F.pandas_udf("binary")
+    def draw(lengths: pd.Series, angles: pd.Series, ids: pd.Series) -> pd.Series:
+        return pd.Series([images.drawn_page(list(w), a, int(i)) for w, a, i in zip(lengths, angles, ids)], dtype=object)
+
+    # Lengths of words move, pictures do not. The number is given, or so little would be joined to one task.
+    pages = pages.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "page_no")
+    cleaned = files.cleaned_images(pages.select("path", "page_no", draw("w", "drawn", "doc_id").alias("content")), images.STEPS, off=("deskew",))
+    angles = files.median_angle(images.angles_of(cleaned))
+    known = pages.select("path", "page_no", "doc_id", F.size("w").alias("n_words"), "drawn")
+    both = known.join(angles, ["path", "page_no"], "left")
+    return both.select("doc_id", "page_no", "n_words", "drawn", F.when(F.col("n_words") >= _ENOUGH_WORDS, F.coalesce(F.abs(F.col("angle") - F.col("drawn")) <= 0.5, F.lit(False))).alias("found"))
