@@ -19,6 +19,10 @@ from clausewright.llm.common import cut, removed, text_bytes, written
 LONGEST, LEAST, KEPT, NO_LANG = 5, 100, 2000, "und"
 #: Text bytes of a shard, and leaves of all shards that one prefix range has, more or less.
 SHARD_BYTES, RANGE_LEAVES = 8_000_000, 750_000
+#: Leaves of a shard's trie that are one row of the table of tries.
+ROW_LEAVES = 250_000
+#: Nodes of a range that leave it at once.
+NODE_ROWS = 20_000
 #: Leaves between those that a shard names as a sample, and bytes of their words that are looked at.
 SAMPLED, SAMPLE_WORD = 4096, 64
 #: Ranges of one dealing: their bounds go to every task. More are made by dealing each range again.
@@ -28,6 +32,23 @@ PIECES = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\x0a\x0b\x0c\x0d"
 WIDTH = 1 + LONGEST
 
 
+@dataclass
+class Words:
+    """Byte strings in order, in one Arrow array: a range holds a million words of its tries, which would each be an object."""
+
+    array: pa.LargeBinaryArray
+
+    def __len__(self) -> int:
+        return len(self.array)
+
+    def __getitem__(self, i: int) -> bytes:
+        return self.array[i].as_py()
+
+    def numbered(self, numbers: np.ndarray) -> pa.LargeBinaryArray:
+        """The words of the given numbers, from 1."""
+        return self.array.take(pa.array(numbers - 1))
+
+
 @dataclass
 class Trie:
     """A count trie as its leaves in sorted order: a row of word numbers for each (the language, then up to five words,
@@ -35,44 +56,56 @@ class Trie:
 
     leaves: np.ndarray
     counts: np.ndarray
-    words: list[bytes]
+    words: Words
 
     def branches(self) -> np.ndarray:
         """For every leaf, the first level on which it leaves the path of the one before; 0 for the first."""
         if not len(self.leaves):
             return np.zeros(0, np.uint8)
-        differ = self.leaves[1:] != self.leaves[:-1]
-        return np.concatenate(([0], differ.argmax(axis=1))).astype(np.uint8)
+        out = np.zeros(len(self.leaves), np.uint8)
+        for d in range(WIDTH - 1, -1, -1):
+            out[1:][self.leaves[1:, d] != self.leaves[:-1, d]] = d
+        return out
 
     def packed(self) -> tuple[int, bytes]:
         """Level by level: where paths branch off, and the number of each new node; the words that occur, once."""
-        used, own = np.unique(self.leaves, return_inverse=True)
-        own = own.reshape(self.leaves.shape)
+        # Numbers are marked and counted off, which takes a row a word and no sort of all leaves.
+        occurs = np.zeros(len(self.words) + 1, dtype=bool)
+        for d in range(WIDTH):
+            occurs[self.leaves[:, d]] = True
+        own = np.cumsum(occurs, dtype=np.int32) - 1
+        used = np.flatnonzero(occurs)
         branches = self.branches()
         small = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
-        nodes = [small(own[branches <= d, d]) for d in range(WIDTH)]
-        data = pickle.dumps((branches, nodes, small(self.counts), used[0] == 0, [self.words[i - 1] for i in used.tolist() if i]), protocol=5)
+        nodes = [small(own[self.leaves[branches <= d, d]]) for d in range(WIDTH)]
+        ends = bool(occurs[0])
+        data = pickle.dumps((branches, nodes, small(self.counts), ends, self.words.numbered(used[ends:])), protocol=5)
         return len(data), pa.compress(data, codec="zstd", asbytes=True)
 
+    def paths(self, first: int, every: int) -> list[list[bytes]]:
+        """The words of each `every`-th leaf from `first` on, cut to what a sample looks at."""
+        return [[self.words[i - 1][:SAMPLE_WORD] if i else b"" for i in leaf] for leaf in self.leaves[first::every].tolist()]
+
 
 def unpacked(size: int, data: bytes) -> Trie:
     branches, nodes, counts, ends, words = pickle.loads(pa.decompress(data, size, codec="zstd", asbytes=True))
     leaves = np.empty((len(branches), WIDTH), dtype=np.int32)
     for d, found in enumerate(nodes):
-        leaves[:, d] = found[np.cumsum(branches <= d) - 1]
-    return Trie(leaves if ends else leaves + 1, counts.astype(np.int64), words)
+        leaves[:, d] = found[np.cumsum(branches <= d, dtype=np.int32) - 1]
+    leaves += not ends
+    return Trie(leaves, counts.astype(np.int64), Words(words))
 
 
-def sorted_words(words: pa.Array) -> tuple[np.ndarray, list[bytes]]:
+def sorted_words(words: pa.Array) -> tuple[np.ndarray, Words]:
     """Numbers from 1 of the given words in byte order, and the distinct words."""
     coded = words.dictionary_encode()
     order = pc.array_sort_indices(coded.dictionary).to_numpy()
     rank = np.empty(len(order), dtype=np.int32)
     rank[order] = np.arange(1, len(order) + 1, dtype=np.int32)
-    return rank[coded.indices.to_numpy()], coded.dictionary.take(pa.array(order)).to_pylist()
+    return rank[coded.indices.to_numpy()], Words(coded.dictionary.take(pa.array(order)))
 
 
-def counted(rows: np.ndarray, weights: np.ndarray, words: list[bytes]) -> Trie:
+def counted(rows: np.ndarray, weights: np.ndarray, words: Words) -> Trie:
     """The trie of rows of word numbers: equal rows are one leaf. Columns are packed into as few keys as hold them."""
     bits = max(1, len(words).bit_length())
     per = max(1, 63 // bits)
@@ -80,7 +113,8 @@ def counted(rows: np.ndarray, weights: np.ndarray, words: list[bytes]) -> Trie:
     for at in range(0, WIDTH, per):
         key = np.zeros(len(rows), dtype=np.int64)
         for d in range(at, min(at + per, WIDTH)):
-            key = key << bits | rows[:, d]
+            key <<= bits
+            key |= rows[:, d]
         keys.append(key)
     order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
     fresh = np.zeros(len(rows), dtype=bool)
@@ -97,21 +131,27 @@ def shard_trie(parts: list[tuple[bytes, bytes]]) -> tuple[Trie, dict[bytes, int]
     word and what follows it, and the number of words of each language."""
     data = np.frombuffer(b"\n".join(text for _, text in parts).translate(PIECES), dtype=np.uint8)
     inside = (data != 32) & (data != 10)
-    edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
-    starts, lengths = edges[0::2], edges[1::2] - edges[0::2]
+    edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+    starts, lengths = edges[0::2].copy(), edges[1::2] - edges[0::2]
+    del edges
     n = len(starts)
     langs = sorted({lang for lang, _ in parts})
     offsets = np.concatenate(([0], np.cumsum(lengths)))
     found = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[inside])])
     numbers, words = sorted_words(pa.concat_arrays([found, pa.array(langs, pa.large_binary())]))
+    del inside, lengths, offsets, found
     of_lang = dict(zip(langs, numbers[n:].tolist()))
-    part = np.searchsorted(np.cumsum([len(text) + 1 for _, text in parts]), starts, side="right")
-    piece = np.searchsorted(np.flatnonzero(data == 10), starts)
     rows = np.zeros((n, WIDTH), dtype=np.int32)
-    rows[:, 0] = np.array([of_lang[lang] for lang, _ in parts], dtype=np.int32)[part] if n else 0
+    if n:
+        part = np.searchsorted(np.cumsum([len(text) + 1 for _, text in parts]), starts, side="right")
+        rows[:, 0] = np.array([of_lang[lang] for lang, _ in parts], dtype=np.int32)[part]
+        del part
+    piece = np.searchsorted(np.flatnonzero(data == 10), starts).astype(np.int32)
+    del data, starts
     for d in range(LONGEST):
         same = piece[d:] == piece[: n - d] if d < n else np.zeros(0, bool)
         rows[: n - d if d < n else 0, 1 + d] = np.where(same, numbers[d:n], 0)
+    del piece, numbers, same
     totals = np.bincount(rows[:, 0], minlength=len(words) + 1)
     return counted(rows, np.ones(n, dtype=np.int64), words), {lang: int(totals[k]) for lang, k in of_lang.items()}
 
@@ -136,8 +176,8 @@ TRIES = "langs map<string,long>, n_leaves long, sample array<array<binary>>, siz
 
 
 def shard_tries(docs: DataFrame, shard_bytes: int = SHARD_BYTES, sampled: int = SAMPLED) -> DataFrame:
-    """docs (lang, text) as one row of TRIES for each shard: words of each language, and its trie. Texts are read whole,
-    long ones in parts cut between pieces."""
+    """docs (lang, text) as rows of TRIES: of each shard its trie, ROW_LEAVES to a row, the first with the words of each
+    language. Texts are read whole, long ones in parts cut between pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[bytes, bytes]] = []
@@ -148,11 +188,13 @@ def shard_tries(docs: DataFrame, shard_bytes: int = SHARD_BYTES, sampled: int =
             held.clear()
             if not len(trie.leaves):
                 return
-            picked = trie.leaves[sampled // 2 :: sampled].tolist()
-            sample = [[trie.words[i - 1][:SAMPLE_WORD] if i else b"" for i in leaf] for leaf in picked]
-            whole, data = trie.packed()
             langs = [(lang.decode(), n) for lang, n in totals.items() if n]
-            yield pa.RecordBatch.from_arrays([pa.array([langs], pa.map_(pa.string(), pa.int64())), pa.array([len(trie.leaves)], pa.int64()), pa.array([sample], pa.list_(pa.list_(pa.binary()))), pa.array([whole], pa.int64()), pa.array([data], pa.binary())], names=["langs", "n_leaves", "sample", "size", "trie"])
+            # A row for some leaves, so that no reader of the table has a whole trie, or several, in one batch.
+            for low in range(0, len(trie.leaves), ROW_LEAVES):
+                own = Trie(trie.leaves[low : low + ROW_LEAVES], trie.counts[low : low + ROW_LEAVES], trie.words)
+                sample = own.paths((sampled // 2 - low) % sampled, sampled)
+                whole, data = own.packed()
+                yield pa.RecordBatch.from_arrays([pa.array([[] if low else langs], pa.map_(pa.string(), pa.int64())), pa.array([len(own.leaves)], pa.int64()), pa.array([sample], pa.list_(pa.list_(pa.binary()))), pa.array([whole], pa.int64()), pa.array([data], pa.binary())], names=["langs", "n_leaves", "sample", "size", "trie"])
 
         for batch in batches:
             for lang, text in zip(text_bytes(batch.column(0)), (x.as_py() for x in batch.column(1).cast(pa.large_binary()))):
@@ -198,8 +240,7 @@ def segments(tries: DataFrame, sampled: int | None = None) -> DataFrame:
                 for k, (low, high) in enumerate(zip(cuts, cuts[1:])):
                     if low < high:
                         own = Trie(trie.leaves[low:high], trie.counts[low:high], trie.words)
-                        picked = own.leaves[hash((part, k, high)) % sampled :: sampled].tolist() if sampled else []
-                        sample = [[own.words[j - 1][:SAMPLE_WORD] if j else b"" for j in leaf] for leaf in picked]
+                        sample = own.paths(hash((part, k, high)) % sampled, sampled) if sampled else []
                         out.append((part * MOST_RANGES + k, high - low, sample, *own.packed()))
                 if out:
                     columns = zip(zip(*out), (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.binary())), pa.int64(), pa.binary()))
@@ -221,7 +262,7 @@ NODES = "lang string, phrase string, m int, a long, lefts array<long>, open bool
 
 def merged(tries: list[Trie]) -> Trie:
     """One trie of many, each in sorted order: words get common numbers, equal leaves add up. Empties the list."""
-    numbers, words = sorted_words(pa.array([w for t in tries for w in t.words], pa.large_binary()))
+    numbers, words = sorted_words(pa.concat_arrays([t.words.array for t in tries]))
     rows = np.empty((sum(len(t.leaves) for t in tries), WIDTH), dtype=np.int32)
     counts, at, done = np.concatenate([t.counts for t in tries]), 0, 0
     for t in tries:
@@ -232,33 +273,32 @@ def merged(tries: list[Trie]) -> Trie:
     return counted(rows, counts, words)
 
 
-def frequent_nodes(trie: Trie, least: int) -> pa.RecordBatch:
+def frequent_nodes(trie: Trie, least: int) -> Iterator[pa.RecordBatch]:
     """The nodes with `least` occurrences or more, with the counts of the nodes above them, by a walk down the levels;
-    and those that the range's ends may divide, whatever their count: they are marked open."""
+    and those that the range's ends may divide, whatever their count: they are marked open. Some at a time, as columns:
+    where texts repeat, nearly all nodes of a range are frequent."""
     branches = trie.branches()
-    out: list[list] = [[] for _ in range(7)]
     number, totals = [], []
     for d in range(WIDTH):
         begin = np.flatnonzero(branches <= d)
         totals.append(np.add.reduceat(trie.counts, begin))
-        number.append(np.cumsum(branches <= d) - 1)
+        number.append(np.cumsum(branches <= d, dtype=np.int32) - 1)
         if not d:
             continue
-        last = len(begin) - 1
         divided = np.zeros(len(begin), dtype=bool)
-        divided[[0, last]] = True
+        divided[[0, -1]] = True
         kept = np.flatnonzero((trie.leaves[begin, d] > 0) & (divided | (totals[d] >= least)))
-        at = begin[kept]
-        above = [number[e][at] for e in range(1, d)]
-        n_open = sum(((x == 0) | (x == len(totals[e]) - 1)).astype(np.int32) for e, x in enumerate(above, 1)) if above else np.zeros(len(kept), np.int32)
-        lefts = np.stack([totals[e][x] for e, x in enumerate(above, 1)], axis=1).tolist() if above else [[] for _ in kept]
-        paths = trie.leaves[at, : d + 1].tolist()
-        out[0] += [trie.words[p[0] - 1] for p in paths]
-        out[1] += [b" ".join(trie.words[i - 1] for i in p[1:]) for p in paths]
-        for column, values in zip(out[2:], ([d] * len(kept), totals[d][kept].tolist(), lefts, divided[kept].tolist(), n_open.tolist())):
-            column += values
-    as_text = lambda c: pa.array(c, pa.binary()).cast(pa.string())
-    return pa.RecordBatch.from_arrays([as_text(out[0]), as_text(out[1]), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.list_(pa.int64())), pa.array(out[5], pa.bool_()), pa.array(out[6], pa.int32())], names=[f.split()[0] for f in NODES.split(", ")])
+        for some in (kept[i : i + NODE_ROWS] for i in range(0, len(kept), NODE_ROWS)):
+            at = begin[some]
+            above = [number[e][at] for e in range(1, d)]
+            n_open = sum((((x == 0) | (x == len(totals[e]) - 1)).astype(np.int32) for e, x in enumerate(above, 1)), np.zeros(len(some), np.int32))
+            lefts = np.stack([totals[e][x] for e, x in enumerate(above, 1)], axis=1).ravel() if above else np.zeros(0, np.int64)
+            path = [trie.words.numbered(trie.leaves[at, e]) for e in range(d + 1)]
+            as_text = lambda c: c.cast(pa.binary()).cast(pa.string())
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * (d - 1)), pa.array(lefts))
+            phrase = pc.binary_join_element_wise(*path[1:], pa.scalar(b" ", pa.large_binary()))
+            columns = [as_text(path[0]), as_text(phrase), pa.array(np.full(len(some), d, np.int32)), pa.array(totals[d][some]), listed, pa.array(divided[some]), pa.array(n_open)]
+            yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in NODES.split(", ")])
 
 
 def merged_ranges(dealt: DataFrame, parts: int, least: int) -> DataFrame:
@@ -270,11 +310,11 @@ def merged_ranges(dealt: DataFrame, parts: int, least: int) -> DataFrame:
             for i in range(batch.num_rows):
                 part, size, data = (c[i].as_py() for c in batch.columns)
                 if part != current and held:
-                    yield frequent_nodes(merged(held), least)
+                    yield from frequent_nodes(merged(held), least)
                 current = part
                 held.append(unpacked(size, data))
         if held:
-            yield frequent_nodes(merged(held), least)
+            yield from frequent_nodes(merged(held), least)
 
     moved = dealt.select("part", "size", "trie").repartitionById(parts, F.expr(f"CAST(part % {parts} AS int)"))
     return moved.sortWithinPartitions("part").mapInArrow(run, NODES)
