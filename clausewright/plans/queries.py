@@ -120,11 +120,16 @@ m AS (SELECT doc_id, para_idx, arg_max(k, logit) AS ml_label, round(1 / sum(exp(
 """
 
 
+def _written(rows: DataFrame, name: str) -> DataFrame:
+    """Rows as a table in the shared folder, for what is read several times."""
+    path = f"{shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def _ruled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus with the rules' decision, written once."""
-    path = f"{shared_folder(spark)}/ruled-{uuid.uuid4().hex}"
-    classify.detect_clauses(corpus(spark, sf_dir)).write.parquet(path)
-    return spark.read.parquet(path)
+    return _written(classify.detect_clauses(corpus(spark, sf_dir)), "ruled")
 
 
 @query(
@@ -893,7 +898,9 @@ def stratified_split(spark, sf_dir):
 @query()
 def clause_classifier(spark, sf_dir):
     """A classifier trained on the rules' labels of four fifths of the corpus, and its metrics on the rest."""
-    rows = learn.stratified_split(classify.detect_clauses(corpus(spark, sf_dir)).filter("label <> 'other'").withColumn("key", F.concat_ws("-", "doc_id", "para_idx")), "key", "label")
+    found = _ruled_corpus(spark, sf_dir).filter("label <> 'other'").select("doc_id", "text", "label", F.concat_ws("-", "doc_id", "para_idx").alias("key"))
+    # A fit reads its rows again and again: neither rules nor ranks are computed more than once.
+    rows = _written(learn.stratified_split(found, "key", "label"), "split")
     predict = learn.train(rows.filter("split = 'train'").select("text", "label"))
     return learn.metrics(learn.confusion(predict(rows.filter("split = 'test'").select("doc_id", "text", "label")), "label", "ml_label"))
 
