@@ -17,6 +17,8 @@ IDENTICAL, MODIFIED, RELATED = 0.90, 0.75, 0.60
 DIMENSIONS = 256
 #: Vectors of one block; a pair of blocks is one matrix product.
 BLOCK_ROWS = 512
+#: Queries of a block whose products with a block of the corpus stand at once.
+QUERY_ROWS = 256
 
 
 def preprocess(clauses: DataFrame) -> DataFrame:
@@ -143,9 +145,12 @@ def top_k_blocked(queries: DataFrame, corpus: DataFrame, k: int, block_rows: int
                 asked, known = (np.frombuffer(row[i], "<i8") for i in (0, 2))
                 left, right = (np.frombuffer(row[i], "<f4").astype(np.float64).reshape(n, -1) for i, n in ((1, len(asked)), (3, len(known))))
                 order = np.argsort(known, kind="stable")
-                products = np.round(left @ right[order].T, 6)
-                at, to = nearest(products, k)
-                yield pa.RecordBatch.from_arrays([pa.array(asked[at]), pa.array(known[order][to]), pa.array(products[at, to])], ["query_id", "match_id", "similarity"])
+                turned = right[order].T
+                # Some queries at a time: products of two whole blocks, and their order, would be several hundred MB.
+                for i in range(0, len(asked), QUERY_ROWS):
+                    products = np.round(left[i : i + QUERY_ROWS] @ turned, 6)
+                    at, to = nearest(products, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(asked[i : i + QUERY_ROWS][at]), pa.array(known[order][to]), pa.array(products[at, to])], ["query_id", "match_id", "similarity"])
 
     asked = packed_blocks(queries, block_rows).select(F.col("ids").alias("_q"), F.col("matrix").alias("_a"))
     pairs = asked.crossJoin(packed_blocks(corpus, block_rows)).mapInArrow(run, "query_id long, match_id long, similarity double")
