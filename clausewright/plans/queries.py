@@ -542,7 +542,8 @@ def csv_records(spark, sf_dir):
     """All documents as quoted CSV files in the shared folder, read back by blocks that cut records anywhere."""
 
     def made(batches):
-        for batch in batches:
+        # Files of some rows: one of a whole batch would stand in memory several times.
+        for batch in (whole.iloc[i : i + 1000] for whole in batches for i in range(0, len(whole), 1000)):
             name, held = f"{batch['doc_id'].iloc[0]}.csv", batch.to_csv(index=False, quoting=csv.QUOTE_MINIMAL, lineterminator="\n")
             yield pd.DataFrame({"path": [name], "content": [held.encode()]})
 
