@@ -27,29 +27,58 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"([^ \t\n\f\r]+[ \t\n\f\r]*)"), F.lit(1))
 
 
+_ENDS = r"[.!?]$"
+
+
+def _core(token: Column) -> Column:
+    """A token without blanks, quotes and brackets at its ends."""
+    return F.regexp_replace(F.regexp_replace(token, f"{BLANK}+$", ""), r"^[\"'(\[{]+|[\"')\]}]+$", "")
+
+
 def _known(token: Column) -> Column:
     """What is asked of a token: its word (lower case; numbers are `##`), how it ends, and how it begins."""
-    core = F.regexp_replace(F.regexp_replace(token, f"{BLANK}+$", ""), r"^[\"'(\[{]+|[\"')\]}]+$", "")
 
     def of(c: Column) -> Column:
         word = F.lower(F.regexp_replace(c, r"[.,;:!?]+$", ""))
         return F.struct(
             F.when(word.rlike(r"^[0-9][0-9.,/-]*$"), "##").otherwise(word).alias("word"),
             c.rlike(r"[^.!?]\.$").alias("stop"),
-            c.rlike(r"[.!?]$").alias("ends"),
+            c.rlike(_ENDS).alias("ends"),
             c.rlike(r"[!?]$").alias("loud"),
             c.rlike(r"^\p{Lu}").alias("upper"),
             c.rlike(r"^\p{Ll}").alias("lower"),
         )
 
-    return let(core, of)
+    return let(_core(token), of)
+
+
+def _may_end(token: Column) -> Column:
+    """Whether a token holds a mark that can end a sentence; most hold none, and nothing further is asked of those."""
+    return token.contains(".") | token.contains("!") | token.contains("?")
 
 
 def marked(docs: DataFrame) -> DataFrame:
-    """docs with `_tokens`, and `_known`: a struct a token with what is asked of it and of its neighbours."""
+    """docs with `_tokens`, and `_marks`: of each token that can end a sentence and has one behind it, its place (`at`) and
+    what is asked of it and of the next."""
     found = docs.withColumn("_tokens", tokens(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    beside = lambda own: F.transform(own, lambda x, i: F.struct(*(x[c].alias(c) for c in ("word", "stop", "ends", "loud", "upper", "lower")), F.get(own, i + 1)["word"].alias("next"), F.get(own, i + 1)["upper"].alias("next_upper"), F.get(own, i + 1)["lower"].alias("next_lower"), ((i > 0) & F.coalesce(F.get(own, i - 1)["ends"], F.lit(False))).alias("after_end"), (i == 0).alias("first")))
-    return found.withColumn("_known", let(F.transform("_tokens", _known), beside))
+    places = F.transform("_tokens", lambda x, i: F.when(_may_end(x), F.struct(i.alias("at"), x.alias("token"), F.get("_tokens", i + 1).alias("next"))))
+
+    def asked(x: Column) -> Column:
+        both = F.array(F.struct(_known(x["token"]).alias("t"), _known(x["next"]).alias("n")))
+        return F.get(F.transform(both, lambda y: F.struct(x["at"].alias("at"), *(y["t"][c].alias(c) for c in ("word", "stop", "ends", "loud")), y["n"]["word"].alias("next"), y["n"]["upper"].alias("next_upper"), y["n"]["lower"].alias("next_lower"))), F.lit(0))
+
+    return found.withColumn("_marks", F.transform(F.filter(places, lambda x: x["next"].isNotNull()), asked))
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """(token, within, next, n): tokens of all texts without their blanks, by whether they stand within a sentence, and the
+    token after those that hold a period. Equal ones are counted before they move, and only then is asked what they are."""
+    bare = F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"([^ \t\n\f\r]+)"), F.lit(1))
+    beside = lambda own: F.transform(own, lambda x, i: F.struct(x.alias("token"), F.get(own, i - 1).alias("prior"), F.when(x.contains("."), F.get(own, i + 1)).alias("next")))
+    # Outer, as a plain explode would be preceded by a filter that computes all of its array once more.
+    each = docs.select(F.explode_outer(let(bare, beside)).alias("t")).select("t.*").filter("token IS NOT NULL")
+    within = F.when(F.col("prior").isNull(), False).when(_may_end(F.col("prior")), ~_core(F.col("prior")).rlike(_ENDS)).otherwise(True)
+    return each.groupBy("token", within.alias("within"), "next").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _ratio(k: Column, n1: Column, n2: Column, n: Column) -> Column:
@@ -81,10 +110,12 @@ def is_initial(word: Column) -> Column:
 def train(docs: DataFrame) -> Model:
     """The model of all texts of docs (text). Counts are aggregated before they move; only four totals reach the driver.
     Null texts are empty; an empty corpus has an empty model, by which every period ends a sentence."""
-    # Outer, as a plain explode would be preceded by a filter that computes all of its array once more.
-    each = marked(docs.select("text")).select(F.explode_outer("_known").alias("t")).select("t.*").filter("word <> ''")
-    count = lambda c: F.count_if(c).alias
-    words = cut(each.groupBy("word").agg(F.count(F.lit(1)).alias("n"), count(F.col("stop"))("stops"), count(F.col("lower"))("lowers"), count(F.col("upper") & ~F.col("after_end") & ~F.col("first"))("uppers")))
+    held = cut(counted(docs.select("text")))
+    count = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0)).alias
+    bare = held.groupBy("token", "within").agg(F.sum("n").alias("n"))
+    # What is asked of a token passes through a generator of one row: each column and filter would ask it again.
+    each = bare.select(F.explode(F.array(_known(F.col("token")))).alias("t"), "within", "n").select("t.*", "within", "n").filter("word <> ''")
+    words = cut(each.groupBy("word").agg(F.sum("n").alias("n"), count(F.col("stop"))("stops"), count(F.col("lower"))("lowers"), count(F.col("upper") & F.col("within"))("uppers")))
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("stops"), F.lit(0)).alias("stops")).first()
     n, p = F.lit(float(max(total["n"], 1))), F.lit(total["stops"] / max(total["n"], 1))
     without = F.col("n") - F.col("stops")
@@ -93,7 +124,9 @@ def train(docs: DataFrame) -> Model:
     letters = F.length("word") - inner
     score = ratio * F.exp(-letters) * (inner + 1) * F.pow(letters.cast("double"), -without)
     abbreviations = cut(words.filter((F.col("stops") > 0) & has_letter(F.col("word"))).select("word", "stops", score.alias("score")).filter(F.col("score") >= ABBREVIATION))
-    pairs = cut(each.filter("stop AND next <> ''").groupBy("word", "next").agg(F.count(F.lit(1)).alias("k")))
+    beside = held.filter("next IS NOT NULL").groupBy("token", "next").agg(F.sum("n").alias("n"))
+    asked = beside.select(F.explode(F.array(F.struct(_known(F.col("token")).alias("t"), _known(F.col("next"))["word"].alias("next")))).alias("p"), "n").select("p.t.word", "p.t.stop", "p.next", "n")
+    pairs = cut(asked.filter("stop AND word <> '' AND next <> ''").groupBy("word", "next").agg(F.sum("n").alias("k")))
     counts = words.select(F.col("word").alias("next"), F.col("n").alias("n2"))
     known = lambda name: has_letter(F.col(name))
     met = pairs.join(small(abbreviations.select("word", "stops")), "word").filter(known("next")).join(counts, "next")
@@ -121,8 +154,8 @@ def boundaries(docs: DataFrame, model: Model) -> DataFrame:
     that share doc_id and text are alike, so that they need no key of their own."""
     key = ["doc_id", "_hash"]
     rows = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    own = marked(rows.select(*key, "text").dropDuplicates(key))
-    open_ = own.select(*key, F.posexplode_outer("_known").alias("at", "t")).select(*key, "at", "t.word", "t.next", "t.next_upper", "t.stop").filter(F.col("stop") & F.col("next").isNotNull() & has_letter(F.col("word")))
+    # Outer, as in counted(). Rows that are alike ask twice, and their places are one set.
+    open_ = marked(rows.select(*key, "text")).select(*key, F.explode_outer("_marks").alias("t")).select(*key, "t.at", "t.word", "t.next", "t.next_upper", "t.stop").filter(F.col("stop") & F.col("next").isNotNull() & has_letter(F.col("word")))
     short = small(model.abbreviations.select("word", F.lit(True).alias("_short")))
     asked = open_.join(short, "word", "left").filter(F.coalesce("_short", F.lit(False)) | is_initial(F.col("word")))
     nexts = model.words.select(F.col("word").alias("next"), ((F.col("lowers") > 0) & (F.col("uppers") == 0)).alias("_small"))
@@ -130,8 +163,9 @@ def boundaries(docs: DataFrame, model: Model) -> DataFrame:
     looked = looked.join(small(model.collocations.select("word", "next", F.lit(True).alias("_pair"))), ["word", "next"], "left")
     kept = F.coalesce("_pair", F.lit(False)) | ~F.col("next_upper") | ~(F.coalesce("_starts", F.lit(False)) | F.coalesce("_small", F.lit(False)))
     closed = looked.filter(kept).groupBy(*key).agg(F.collect_set("at").alias("_closed"))
-    joined = marked(rows).join(closed.withColumnsRenamed({"doc_id": "_i", "_hash": "_h"}), F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")), "left")
-    return joined.withColumn("sentences", _cut_at()).drop("_hash", "_i", "_h", "_closed", "_tokens", "_known")
+    joined = rows.join(closed.withColumnsRenamed({"doc_id": "_i", "_hash": "_h"}), F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")), "left")
+    # Texts are cut up behind the join, so that they and not their tokens move.
+    return marked(joined).withColumn("sentences", _cut_at()).drop("_hash", "_i", "_h", "_closed", "_tokens", "_marks")
 
 
 def _cut_at() -> Column:
@@ -139,9 +173,10 @@ def _cut_at() -> Column:
 
     def ends(x: Column) -> Column:
         number = F.when(x["word"] == "##", ~x["next_lower"]).otherwise(True)
-        return F.when(x["next"].isNull(), True).when(x["loud"], True).when(x["stop"], number).when(x["ends"], x["next_upper"]).otherwise(False)
+        return F.when(x["loud"], True).when(x["stop"], number).when(x["ends"], x["next_upper"]).otherwise(False)
 
-    listed = F.filter(F.transform("_known", lambda x, i: F.when(ends(x), i)), lambda i: i.isNotNull())
+    last = F.when(F.size("_tokens") > 0, F.array(F.size("_tokens") - 1)).otherwise(F.array().cast("array<int>"))
+    listed = F.concat(F.transform(F.filter("_marks", ends), lambda x: x["at"]), last)
     open_ = F.array_except(listed, F.coalesce("_closed", F.array().cast("array<int>")))
     strip = lambda c: F.regexp_replace(c, f"{BLANK}+$", "")
     whole = lambda own: F.transform(own, lambda end, i: strip(F.array_join(F.slice("_tokens", F.when(i == 0, 0).otherwise(F.get(own, i - 1) + 1) + 1, end - F.when(i == 0, -1).otherwise(F.get(own, i - 1))), "")))
