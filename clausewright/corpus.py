@@ -6,7 +6,7 @@ wording; it holds every clause class and risk category, escalations, headings, d
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clausewright.tables import table
@@ -62,18 +62,30 @@ FROM orders JOIN customer ON o_custkey = c_custkey
 """
 
 
+def _text() -> Column:
+    """The same text by a look-up of the phrase, as a case of thirty branches is one method too large to be compiled."""
+    phrase = F.get(F.array(*map(F.lit, PHRASES)), ((F.col("o_orderkey") * 7 + F.col("o_custkey")) % len(PHRASES)).cast("int"))
+    with_amount = F.replace(phrase, F.lit("{amount}"), F.floor("o_totalprice").cast("bigint").cast("string"))
+    return F.when(phrase.contains("{amount}"), with_amount).otherwise(phrase)
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, para_idx, text)."""
-    own = {name: table(spark, sf_dir, name) for name in ("orders", "customer")}
-    return spark.sql(CORPUS_SQL.replace("FROM orders JOIN customer", "FROM {orders} JOIN {customer}").replace("{name}", "").replace("{amount}", ""), **own)
+    """(doc_id, para_idx, text), as CORPUS_SQL gives them."""
+    orders, customer = (table(spark, sf_dir, name) for name in ("orders", "customer"))
+    met = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select("o_custkey", "o_orderkey", "c_name", _text().alias("_t"))
+    # The name comes last, so that nothing within it is taken for a place.
+    named = met.select("o_custkey", "o_orderkey", F.when(F.col("_t").contains("{name}"), F.replace("_t", F.lit("{name}"), F.col("c_name"))).otherwise(F.col("_t")).alias("text"))
+    order = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    return named.select(F.col("o_custkey").alias("doc_id"), (F.row_number().over(order) - 1).cast("int").alias("para_idx"), "text")
 
 
 def revised(paragraphs: DataFrame) -> DataFrame:
     """The second version of every contract: terms changed, some paragraphs gone, some new. Same rows in REVISED_SQL."""
     changed = F.replace(F.replace(F.col("text"), F.lit("30 days"), F.lit("60 days")), F.lit("London"), F.lit("Paris"))
-    kept = paragraphs.filter("(para_idx + doc_id) % 5 <> 3").select("doc_id", "para_idx", changed.alias("text"))
-    added = paragraphs.filter("para_idx = 1").select("doc_id", F.lit(1000).alias("para_idx"), F.lit("The Supplier keeps audit records of every delivery for six years.").alias("text"))
-    return kept.unionByName(added)
+    kept = F.when((F.col("para_idx") + F.col("doc_id")) % 5 != 3, F.struct("para_idx", changed.alias("text")))
+    added = F.when(F.col("para_idx") == 1, F.struct(F.lit(1000).alias("para_idx"), F.lit("The Supplier keeps audit records of every delivery for six years.").alias("text")))
+    # Both from one pass: a union would make the paragraphs twice.
+    return paragraphs.select("doc_id", F.explode(F.array(kept, added)).alias("x")).filter("x IS NOT NULL").select("doc_id", "x.*")
 
 
 REVISED_SQL = f"""

@@ -11,11 +11,12 @@ from pyspark.sql.types import StringType
 
 from clausewright import rules
 
-#: What Python's str.strip() and \s take for white space, as a Java class.
-SPACE = r"[\s\x1c-\x1f\x85\xa0  -     　]"
+#: What Python's str.strip() and \s take for white space, as a Java class. Java asks the parts of a class one by one: the
+#: first of an intersection rules out most characters at once, here and below.
+SPACE = r"[[^!-~]&&[\s\x1c-\x1f\x85\xa0  -     　]]"
 #: The same as a set of characters, for trims: a regular expression would try its end at every run of them.
 SPACE_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
-CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"
+CONTROLS = r"[[^ -~]&&[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]]"
 
 
 def sub(text: Column, pattern: str, replacement: str) -> Column:
@@ -108,7 +109,7 @@ def merges_with(current: Column, previous: Column) -> Column:
 
 def normalise_clause(text: Column) -> Column:
     """Controls and zero-width characters dropped, white space collapsed, trimmed."""
-    return strip(sub(sub(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F​-‏﻿]", ""), f"{SPACE}+", " "))
+    return strip(sub(sub(text, r"[[^ -~]&&[\x00-\x08\x0B\x0C\x0E-\x1F\x7F​-‏﻿]]", ""), f"{SPACE}+", " "))
 
 
 @F.pandas_udf(StringType())

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,8 @@ DIMENSIONS = 256
 BLOCK_ROWS = 512
 #: Queries of a block whose products with a block of the corpus stand at once.
 QUERY_ROWS = 256
+#: Pairs that leave a worker at once, and words whose buckets it keeps.
+OUT_ROWS, MOST_KNOWN = 50_000, 200_000
 
 
 def preprocess(clauses: DataFrame) -> DataFrame:
@@ -28,22 +31,38 @@ def preprocess(clauses: DataFrame) -> DataFrame:
     return firsts.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("para_idx")) - 1).alias("idx"), "clause")
 
 
+def worded(clauses: DataFrame) -> DataFrame:
+    """clauses with `words`: their words between single spaces, from which J2's default model makes vectors."""
+    return clauses.withColumn("words", T.lexical(F.col("clause")))
+
+
+def unit_counts(texts: Iterable[str | None], dimensions: int = DIMENSIONS, known: dict[str, int] | None = None) -> np.ndarray:
+    """Vectors of texts of words: hashed words and word pairs, unit length, in single precision. known: buckets found
+    before, kept by the caller and emptied when there are many."""
+    known, found, sizes = {} if known is None else known, [], []
+    if len(known) > MOST_KNOWN:
+        known.clear()
+    for text in texts:
+        own = [w for w in (text or "").split(" ") if w]
+        own += [f"{a} {b}" for a, b in zip(own, own[1:])]
+        for w in own:
+            if w not in known:
+                known[w] = int(hashlib.md5(w.encode()).hexdigest()[:7], 16) % dimensions
+        found += [known[w] for w in own]
+        sizes.append(len(own))
+    at = np.repeat(np.arange(len(sizes)) * dimensions, sizes) + np.array(found, dtype=np.int64)
+    counts = np.bincount(at, minlength=len(sizes) * dimensions).astype(np.float64).reshape(-1, dimensions)
+    return (counts / np.maximum(np.sqrt((counts * counts).sum(axis=1, keepdims=True)), 1e-12)).astype(np.float32)
+
+
 def embed(clauses: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
-    """J2's default model: hashed words and word pairs, unit length; adds `vector`, the same anywhere. Words become
-    buckets in the JVM; only the counting of buckets, which built-in functions do once per dimension, is in Arrow."""
-    pairs = F.zip_with(F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0))), F.slice("_w", 2, F.greatest(F.size("_w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    buckets = F.transform(F.concat("_w", pairs), lambda w: (F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("long") % dimensions).cast("int"))
+    """J2's default model: hashed words and word pairs, unit length; adds `vector`, the same anywhere."""
 
     @F.pandas_udf("array<float>")
-    def unit_counts(rows: pd.Series) -> pd.Series:
-        def one(row) -> np.ndarray:
-            counts = np.bincount(np.asarray(row, dtype=np.int64), minlength=dimensions).astype(np.float64)
-            return (counts / max(np.linalg.norm(counts), 1e-12)).astype(np.float32)
-
-        return rows.map(one)
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(unit_counts(texts, dimensions)))
 
-    tokens = F.filter(F.split(T.lexical(F.col("clause")), " "), lambda w: w != "")
-    return clauses.withColumn("_w", tokens).withColumn("vector", unit_counts(buckets)).drop("_w")
+    return worded(clauses).withColumn("vector", run("words")).drop("words")
 
 
 def embed_with(clauses: DataFrame, encode) -> DataFrame:
@@ -59,16 +78,20 @@ def embed_with(clauses: DataFrame, encode) -> DataFrame:
 
 
 def in_blocks(clauses: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
-    """(doc_id, block): the vectors of a contract by index, at most `rows` in a block."""
-    numbered = clauses.select("doc_id", F.floor(F.col("idx") / rows).alias("_k"), F.struct(F.col("idx").cast("int").alias("idx"), F.col("vector").cast("array<float>").alias("vector")).alias("v"))
+    """(doc_id, block): what stands for the clauses of a contract (`vector`, else `words`) by index, at most `rows` in a
+    block."""
+    held = F.col("vector").cast("array<float>").alias("vector") if "vector" in clauses.columns else F.col("words")
+    numbered = clauses.select("doc_id", F.floor(F.col("idx") / rows).alias("_k"), F.struct(F.col("idx").cast("int").alias("idx"), held).alias("v"))
     return numbered.groupBy("doc_id", "_k").agg(F.array_sort(F.collect_list("v"), lambda a, b: a["idx"] - b["idx"]).alias("block")).drop("_k")
 
 
-def block_of(column: pa.ListArray, row: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and vectors (in double) of a row's block."""
+def block_of(column: pa.ListArray, row: int, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Indices and vectors (in double) of a row's block; words become vectors only here, so that no vector moves."""
     inner = column[row].values
-    vectors = inner.field("vector")
-    return inner.field("idx").to_numpy(zero_copy_only=False), vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(inner), -1)
+    idx = inner.field("idx").to_numpy(zero_copy_only=False)
+    if inner.type.get_field_index("vector") < 0:
+        return idx, unit_counts(inner.field("words").to_pylist(), known=known).astype(np.float64)
+    return idx, inner.field("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(inner), -1)
 
 
 def nearest(products: np.ndarray, k: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -85,14 +108,23 @@ def block_similarities(a: DataFrame, b: DataFrame, k: int | None = None) -> Data
     similar of every block of b. Blocks meet in an equi-join on the contract, one matrix product per pair of blocks, so
     neither pairs nor vectors become rows."""
 
+    names = ["doc_id", "idx_a", "idx_b", "similarity"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
         for batch in batches:
+            held, size = [], 0
             for row in range(batch.num_rows):
-                (idx_a, left), (idx_b, right) = (block_of(batch.column(i), row) for i in (1, 2))
+                (idx_a, left), (idx_b, right) = (block_of(batch.column(i), row, known) for i in (1, 2))
                 products = np.round(left @ right.T, 6)
                 at, to = nearest(products, k)
-                docs = batch.column(0).take(pa.array(np.full(len(at), row)))
-                yield pa.RecordBatch.from_arrays([docs, pa.array(idx_a[at]), pa.array(idx_b[to]), pa.array(products[at, to])], ["doc_id", "idx_a", "idx_b", "similarity"])
+                held.append((np.full(len(at), row), idx_a[at], idx_b[to], products[at, to]))
+                size += len(at)
+                # Small contracts leave together: a batch for each would cost more than its products.
+                if size >= OUT_ROWS or row + 1 == batch.num_rows:
+                    rows, *found = (np.concatenate(c) for c in zip(*held))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *map(pa.array, found)], names)
+                    held, size = [], 0
 
     pairs = in_blocks(a).withColumnRenamed("block", "_a").join(in_blocks(b).withColumnRenamed("block", "_b"), "doc_id").select("doc_id", "_a", "_b")
     return pairs.mapInArrow(run, f"doc_id {a.schema['doc_id'].dataType.simpleString()}, idx_a int, idx_b int, similarity double")
@@ -165,7 +197,7 @@ def change_status(similarity: Column, identical: float = IDENTICAL, modified: fl
 def classify_changes(a: DataFrame, b: DataFrame, identical: float = IDENTICAL, modified: float = MODIFIED, related: float = RELATED) -> DataFrame:
     """(doc_id, status, idx_a, idx_b, clause_a, clause_b, similarity). A removed clause keeps its best
     similarity, but no partner; added clauses of b are those that no clause of a has as an at least related best. If b has
-    no clause at all, every clause of a is removed at -1. a and b: (doc_id, idx, clause, vector)."""
+    no clause at all, every clause of a is removed at -1. a and b: (doc_id, idx, clause, vector or words)."""
     found = a.select("doc_id", F.col("idx").alias("idx_a"), F.col("clause").alias("clause_a")).join(best(a, b), ["doc_id", "idx_a"], "left")
     judged = found.withColumn("similarity", F.coalesce("similarity", F.lit(-1.0))).withColumn("status", change_status(F.col("similarity"), identical, modified, related))
     matched = judged.withColumn("idx_b", F.when(F.col("status") != "removed", F.col("idx_b")))
@@ -177,7 +209,7 @@ def classify_changes(a: DataFrame, b: DataFrame, identical: float = IDENTICAL, m
 
 def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     """J7 and J9 on paragraphs (doc_id, para_idx, text) of both versions."""
-    return classify_changes(embed(preprocess(a)), embed(preprocess(b)))
+    return classify_changes(worded(preprocess(a)), worded(preprocess(b)))
 
 
 def change_summary(changes: DataFrame) -> DataFrame:
