@@ -97,4 +97,4 @@ SELECT doc_id, 1000 AS para_idx, 'The Supplier keeps audit records of every deli
 
 def joined(paragraphs: DataFrame, separator: str = "\n\n") -> DataFrame:
     """One text per contract, its paragraphs in order."""
-    return paragraphs.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para_idx", "text"))), lambda x: x["text"]), separator).alias("text"))
+    return paragraphs.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("para_idx", "text"))).getField("text"), separator).alias("text"))

@@ -40,6 +40,12 @@ def word_total(text: Column) -> Column:
     return F.size(words(text))
 
 
+def clean_words(text: Column) -> Column:
+    """words() of what clean_summary() leaves, where white space is spaces and line ends: a split at one character needs
+    no regular expression."""
+    return F.array_remove(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " "), F.lit(""))
+
+
 def clean_extracted(text: Column) -> Column:
     """G1: runs of spaces to one, blank lines to one, lines stripped, controls dropped, stripped."""
     t = sub(F.replace(text, F.lit("\x00"), F.lit("")), " +", " ")
@@ -125,9 +131,9 @@ def normalise_risk(text: Column, ascii_only: bool = False) -> Column:
 
 
 def clean_summary(text: Column) -> Column:
-    """G18."""
+    """G18. Of runs of blanks only those are looked for that are no single space already."""
     t = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    return strip(sub(sub(sub(t, r"\n{3,}", "\n\n"), r"[ \t]+", " "), r"[^\x20-\x7E\n]", " "))
+    return strip(sub(sub(sub(t, r"\n{3,}", "\n\n"), r"[ \t](?:(?<=\t)[ \t]*|[ \t]+)", " "), r"[^ -~\n]", " "))
 
 
 def sentences(text: Column) -> Column:

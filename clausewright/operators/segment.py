@@ -139,10 +139,11 @@ def hard_split(size: Column, limit: int) -> Column:
     return F.transform(F.sequence(F.lit(0), size - 1, F.lit(limit)), lambda i: F.struct(i.alias("first"), F.least(size - i, F.lit(limit)).alias("n")))
 
 
-def overlap_chunks(text: Column, limit: int = 700) -> Column:
-    """S3: chunks of whole sentences up to `limit` words, each begun with the last words of the one before. A sentence
-    over the limit is emitted in pieces at once, before the chunk that is still open. A fold over the sentences' lengths
-    alone: a chunk is a run of consecutive words, those of the sentences within the limit or of those over it."""
+def overlap_words(found: Column, limit: int = 700) -> Column:
+    """S3 on the words of a text's sentences: the words of each chunk of whole sentences up to `limit` words, each begun
+    with the last words of the one before. A sentence over the limit is emitted in pieces at once, before the chunk that is
+    still open. A fold over the sentences' lengths alone: a chunk is a run of consecutive words, those of the sentences
+    within the limit or of those over it."""
     overlap = max(50, limit // 10)
     piece = "struct<over:boolean,first:int,n:int>"
     start = F.struct(F.array().cast(f"array<{piece}>").alias("out"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("over"))
@@ -161,10 +162,13 @@ def overlap_chunks(text: Column, limit: int = 700) -> Column:
 
     done = lambda acc: F.when(acc["b"] > acc["a"], F.array_append(acc["out"], of(False, acc["a"], acc["b"] - acc["a"]))).otherwise(acc["out"])
 
-    def chunked(found: Column) -> Column:
-        own = lambda keep: F.flatten(F.filter(found, keep))
-        found_pieces = F.aggregate(F.transform(found, F.size), start, step, done)
-        joined = lambda within, over: F.transform(found_pieces, lambda x: F.array_join(F.slice(F.when(x["over"], over).otherwise(within), x["first"] + 1, x["n"]), " "))
-        return let(own(lambda w: F.size(w) <= limit), lambda within: let(own(lambda w: F.size(w) > limit), lambda over: joined(within, over)))
+    own = lambda keep: F.flatten(F.filter(found, keep))
+    pieces = F.aggregate(F.transform(found, F.size), start, step, done)
+    parts = lambda within, over: F.transform(pieces, lambda x: F.slice(F.when(x["over"], over).otherwise(within), x["first"] + 1, x["n"]))
+    return let(own(lambda w: F.size(w) <= limit), lambda within: let(own(lambda w: F.size(w) > limit), lambda over: parts(within, over)))
+
 
-    return let(F.transform(T.sentences(T.clean_summary(text)), T.words), chunked)
+def overlap_chunks(text: Column, limit: int = 700) -> Column:
+    """S3: overlap_words() of the cleaned text, as texts."""
+    found = F.transform(T.sentences(T.clean_summary(text)), T.clean_words)
+    return F.transform(let(found, lambda own: overlap_words(own, limit)), lambda chunk: F.array_join(chunk, " "))

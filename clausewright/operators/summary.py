@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausewright import rules
 from clausewright.functions import text as T
-from clausewright.operators.segment import let, overlap_chunks
+from clausewright.operators.segment import let, overlap_chunks, overlap_words
 
 PER_SECTION, KEY_POINTS = 8, 8
 
@@ -27,10 +29,14 @@ def sections(found: DataFrame, most: int = PER_SECTION) -> DataFrame:
     return unique.select("doc_id", "section", F.row_number().over(Window.partitionBy("doc_id", "section").orderBy("n")).alias("position"), "sentence")
 
 
+def leading(own: Column, words: int = 80) -> Column:
+    """The first of a chunk's words as a text, marked if any are left out."""
+    return F.when(F.size(own) > words, F.concat(F.array_join(F.slice(own, 1, words), " "), F.lit(" …"))).otherwise(F.array_join(own, " "))
+
+
 def lead(chunk: Column, words: int = 80) -> Column:
     """S4's default: the first words, marked if any are left out."""
-    cut = lambda own: F.when(F.size(own) > words, F.concat(F.array_join(F.slice(own, 1, words), " "), F.lit(" …"))).otherwise(F.array_join(own, " "))
-    return let(T.words(chunk), cut)
+    return let(T.words(chunk), lambda own: leading(own, words))
 
 
 def combined(parts: Column, second_pass=None, most: int = 200) -> Column:
@@ -49,13 +55,18 @@ def combined(parts: Column, second_pass=None, most: int = 200) -> Column:
 SECTION_FIELDS = {"obligations": "obligations", "payment": "payment_terms", "termination": "termination", "risk": "risks"}
 
 
-def sections_within(found: Column, most: int = PER_SECTION) -> Column:
-    """S1 within one text: the array of its sentences to a struct of one array per section, as sections() gives them.
-    What is asked of a sentence is computed once."""
-    named = F.transform(found, lambda s: F.struct(s.alias("s"), F.lower(s).alias("low")))
-    long = F.filter(named, lambda x: T.word_total(x["s"]) > 5)
-    of = lambda kept, pattern: F.array_distinct(F.slice(F.transform(F.filter(kept, lambda x: x["low"].rlike(pattern)), lambda x: x["s"]), 1, most))
-    return let(long, lambda kept: F.struct(*(of(kept, pattern).alias(SECTION_FIELDS[name]) for name, pattern in rules.SECTION_PATTERNS.items())))
+#: Words of the section patterns, which are alternatives without any other sign: looking for each needs no expression.
+SECTION_WORDS = {name: pattern.split("|") for name, pattern in rules.SECTION_PATTERNS.items()}
+
+
+def sections_within(found: Column, words: Column, most: int = PER_SECTION) -> Column:
+    """S1 within one text: the array of its sentences, with the words of each, to a struct of one array per section, as
+    sections() gives them. What is asked of a sentence is computed once."""
+    named = F.zip_with(found, words, lambda s, own: F.when(F.size(own) > 5, F.struct(s.alias("s"), F.lower(s).alias("low"))))
+    long = F.filter(named, lambda x: x.isNotNull())
+    held = lambda low, asked: reduce(lambda a, b: a | b, (low.contains(w) for w in asked))
+    of = lambda kept, asked: F.array_distinct(F.slice(F.filter(kept, lambda x: held(x["low"], asked)).getField("s"), 1, most))
+    return let(long, lambda kept: F.struct(*(of(kept, asked).alias(SECTION_FIELDS[name]) for name, asked in SECTION_WORDS.items())))
 
 
 def summarise(docs: DataFrame, summarise_chunk=lead, second_pass=None, limit: int = 700, summarise_chunks=None) -> DataFrame:
@@ -64,11 +75,16 @@ def summarise(docs: DataFrame, summarise_chunk=lead, second_pass=None, limit: in
     summarise_chunks: rows (doc_id, text, _chunks) to the same with _parts, the chunks' summaries, such as central_parts
     or a model over batches. Nothing leaves its row."""
     real = docs.filter(T.strip(F.coalesce("text", F.lit(""))) != "")
-    chunks = overlap_chunks(F.col("text"), limit)
     if summarise_chunks:
-        real = summarise_chunks(real.select("doc_id", "text", chunks.alias("_chunks")))
-    overall = combined(F.col("_parts") if summarise_chunks else F.transform(chunks, lambda c: summarise_chunk(c)), second_pass)
-    chunked = real.select("doc_id", sections_within(T.sentences(T.clean_summary(F.col("text")))).alias("_sections"), overall.alias("overall_summary"))
+        real = summarise_chunks(real.select("doc_id", "text", overlap_chunks(F.col("text"), limit).alias("_chunks")))
+    # A chunk's words are at hand for the default, which would only split them again.
+    short = lambda own: leading(own) if summarise_chunk is lead else summarise_chunk(F.array_join(own, " "))
+    parts_of = lambda words: F.col("_parts") if summarise_chunks else F.transform(overlap_words(words, limit), short)
+    both = lambda found, words: F.struct(sections_within(found, words).alias("sections"), parts_of(words).alias("parts"))
+    # Sentences and their words serve sections and chunks; within lambdas they are found once and written nowhere.
+    told = let(T.sentences(T.clean_summary(F.col("text"))), lambda found: let(F.transform(found, T.clean_words), lambda words: both(found, words)))
+    told = real.select("doc_id", told.alias("_told"))
+    chunked = told.select("doc_id", F.col("_told.sections").alias("_sections"), combined(F.col("_told.parts"), second_pass).alias("overall_summary"))
     points = lambda text: F.slice(F.filter(T.sentences(text), lambda s: T.word_total(s) > 6), 1, KEY_POINTS)
     found = let(F.col("overall_summary"), lambda text: let(points(text), lambda own: F.when(F.size(own) > 0, own).otherwise(F.array(text))))
     return chunked.select("doc_id", "overall_summary", found.alias("key_points"), *(F.col(f"_sections.{c}") for c in SECTION_FIELDS.values()))
