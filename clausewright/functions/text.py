@@ -142,8 +142,9 @@ def sentences(text: Column) -> Column:
 
 
 def lexical(text: Column) -> Column:
-    """Lower case, punctuation to spaces, collapsed."""
-    return strip(sub(sub(F.lower(text), r"(?U)[^\w\s]", " "), f"{SPACE}+", " "))
+    """Lower case, punctuation to spaces, collapsed. White space is no word character either, so that one class stands
+    for both; its first part rules out most characters at once."""
+    return strip(sub(sub(F.lower(text), r"(?U)[[^a-z0-9 ]&&\W]", " "), " {2,}", " "))
 
 
 def normalise_prompt(text: Column) -> Column:

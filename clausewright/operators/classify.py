@@ -22,12 +22,20 @@ def folded(text: Column) -> Column:
 
 
 def rule_count(text: Column, low: Column, pattern: str) -> Column:
-    """Matches of one rule. A literal that every match holds is looked for first: most paragraphs stop there."""
-    count = F.regexp_count(text, F.lit(FLAGS + pattern))
+    """Matches of one rule. A literal that every match holds is looked for first: most paragraphs stop there. Where a match
+    may begin is told by its first letter before the costlier test for the start of a word."""
+    first = rules.first_word(pattern)[:1]
+    count = F.regexp_count(text, F.lit(FLAGS + (f"(?={first})" if first else "") + pattern))
     literal = rules.required_literal(pattern)
     return F.when(low.contains(literal), count).otherwise(0) if literal else count
 
 
+def starts_pattern(starts: list[str]) -> str:
+    """An expression for any of the given starts at the start of a word, by first letter, so that few are tried."""
+    letters = sorted({x[0] for x in starts})
+    return "(?<![a-z])(?:" + "|".join(f"{a}(?:{'|'.join(sorted(x[1:] for x in starts if x[0] == a))})" for a in letters) + ")"
+
+
 def computed(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """rows with columns that later filters refer to as they are. They pass through a generator of one row: a plain
     projection would be copied, with all its rules, into every filter on a label, and planning would take minutes."""
@@ -36,14 +44,26 @@ def computed(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 
 def clause_scores(paragraphs: DataFrame, patterns: dict[str, tuple[str, ...]] = rules.CLAUSE_PATTERNS) -> DataFrame:
-    """C1's counts: paragraphs with one column score_<class> each. Wide, so that no paragraph is joined to 145 rules. A
-    column per rule comes first: with so many, rules are evaluated one by one, where the sums of a class would become
-    one method too large to be compiled. A null text scores 0."""
-    with_low = paragraphs.withColumn("_low", folded(F.col("text")))
-    counts = {f"_rule_{c}_{i}": F.coalesce(rule_count(F.col("text"), F.col("_low"), p), F.lit(0)) for c, ps in patterns.items() for i, p in enumerate(ps)}
-    each = computed(with_low, counts)
-    sums = (reduce(lambda a, b: a + b, (F.col(f"_rule_{c}_{i}") for i in range(len(ps)))).alias(f"score_{c}") for c, ps in patterns.items())
-    return each.select(*paragraphs.columns, *sums)
+    """C1's counts: paragraphs with one column score_<class> each. Wide, so that no paragraph is joined to 145 rules. The
+    starts of words with which rules begin are found in one pass; only classes and rules whose start is among them are
+    asked. A null text scores 0."""
+    low = F.col("_low")
+    own = {p: rules.first_word(p) for ps in patterns.values() for p in ps}
+    starts = rules.shortest_starts([w for w in own.values() if w])
+    found = F.regexp_extract_all(low, F.lit(starts_pattern(sorted(set(starts.values())))), F.lit(0)) if starts else F.array().cast("array<string>")
+
+    def asked(k: Column, pattern: str) -> Column:
+        count = rule_count(F.col("text"), low, pattern)
+        return F.when(F.array_contains(k, starts[own[pattern]]), count).otherwise(0) if own[pattern] else count
+
+    def score(k: Column, ps: tuple[str, ...]) -> Column:
+        total = reduce(lambda a, b: a + b, (asked(k, p) for p in ps))
+        some = F.arrays_overlap(k, F.array(*map(F.lit, sorted({starts[own[p]] for p in ps if own[p]})))) if all(own[p] for p in ps) else F.lit(True)
+        return F.coalesce(F.when(some, total), F.lit(0))
+
+    # Within a lambda, so that the rules are never one method too large to be compiled, and stand behind a generator.
+    made = F.explode(F.transform(F.array(found), lambda k: F.struct(*(score(k, ps).alias(f"score_{c}") for c, ps in patterns.items()))))
+    return paragraphs.withColumn("_low", folded(F.col("text"))).select(*paragraphs.columns, made.alias("_made")).select(*paragraphs.columns, "_made.*")
 
 
 def decided(scored: DataFrame, classes: tuple[str, ...] = CLASSES) -> DataFrame:

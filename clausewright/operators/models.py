@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ from clausewright.operators.learn import accept
 BUCKETS = 4096
 #: Before the first word of a text.
 START = "^"
+#: Steps whose weights stand at once in a worker, and steps whose buckets it keeps.
+MOST_STEPS, MOST_KNOWN = 20_000, 200_000
 
 Forward = Callable[[np.ndarray], np.ndarray]
 
@@ -93,17 +96,40 @@ def _udf(model: Model, batch: int):
     return predict_batch_udf(make, return_type=fields, batch_size=batch)
 
 
-def transitions(text: Column) -> Column:
-    """Buckets of a text's steps from each word to the next, the first from START."""
-    words = F.filter(F.split(T.lexical(F.coalesce(text, F.lit(""))), " "), lambda w: w != "")
-    steps = F.zip_with(F.slice(F.concat(F.array(F.lit(START)), words), 1, F.size(words)), words, lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.transform(steps, lambda s: (F.conv(F.substring(F.md5(s), 1, 7), 16, 10).cast("long") % BUCKETS).cast("int"))
+def steps_of(words: list[str], known: dict[tuple[str, str], int]) -> list[int]:
+    """Buckets of the steps from each of a text's words, as lexical() leaves them, to the next, the first from START.
+    known: buckets found before, kept by the caller and emptied when there are many."""
+    if len(known) > MOST_KNOWN:
+        known.clear()
+    pairs = list(zip([START, *words], words))
+    for pair in pairs:
+        if pair not in known:
+            known[pair] = int(hashlib.md5(" ".join(pair).encode()).hexdigest()[:7], 16) % BUCKETS
+    return [known[pair] for pair in pairs]
 
 
-def steps_of(words: list[str]) -> np.ndarray:
-    """The same buckets in a worker, of a text's words as lexical() leaves them."""
-    pairs = zip([START, *words], words)
-    return np.fromiter((int(hashlib.md5(f"{a} {b}".encode()).hexdigest()[:7], 16) % BUCKETS for a, b in pairs), np.int64, len(words))
+def split_words(text: str | None) -> list[str]:
+    return text.split(" ") if text else []
+
+
+def counted(rows: DataFrame, label: str) -> DataFrame:
+    """(label, bucket, n): how often each label's rows take the steps of each bucket; the rows themselves are bucket -1.
+    Each task counts its own rows, a label in BUCKETS numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[str, str], int] = {}
+        counts: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = counts.setdefault(name, np.zeros(BUCKETS + 1, dtype=np.int64))
+                own[-1] += 1
+                np.add.at(own, steps_of(split_words(text), known), 1)
+        for name, own in counts.items():
+            (at,) = np.nonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(np.where(at == BUCKETS, -1, at).astype(np.int32)), pa.array(own[at])], ["label", "bucket", "n"])
+
+    known = rows.filter(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("label"), T.lexical(F.coalesce("text", F.lit(""))).alias("words"))
+    return known.mapInArrow(run, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
 
 
 def fit_chain(rows: DataFrame, label: str = "label") -> Model:
@@ -111,10 +137,7 @@ def fit_chain(rows: DataFrame, label: str = "label") -> Model:
     smoothed by one. A text's logit of a label is the label's log share of the rows, plus the sum of its log transition
     chances over the root of their number, so that long texts do not become certain. Rows without label are left out; no
     row at all is an error. What is collected and sent to the workers is bounded by the labels and BUCKETS."""
-    known = rows.filter(F.col(label).isNotNull()).select(F.col(label).alias("label"), transitions(F.col("text")).alias("steps"))
-    # One pass: -1 counts the rows themselves.
-    counted = known.select("label", F.explode(F.concat(F.array(F.lit(-1)), "steps")).alias("bucket")).groupBy("label", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    found = counted.collect()
+    found = counted(rows, label).collect()
     labels = tuple(sorted({r["label"] for r in found}))
     if not labels:
         raise ValueError("no labelled row to fit on")
@@ -131,16 +154,35 @@ def fit_chain(rows: DataFrame, label: str = "label") -> Model:
 
     def load() -> Forward:
         first, each = sent.value
+        known: dict[tuple[str, str], int] = {}
 
         def forward(texts: np.ndarray) -> np.ndarray:
-            steps = (steps_of(t.split(" ") if t else []) for t in texts)
-            return np.stack([first + each[s].sum(axis=0) / np.sqrt(max(len(s), 1)) for s in steps])
+            out, held, size = [], [], 0
+            for i, text in enumerate(texts):
+                held.append(steps_of(split_words(text), known))
+                size += len(held[-1])
+                # The weights of many short texts are added up together.
+                if size >= MOST_STEPS or i + 1 == len(texts):
+                    out.append(sums(each, held))
+                    held, size = [], 0
+            return first + np.concatenate(out) if out else np.zeros((0, len(first)))
 
         return forward
 
     return Model(labels, load, T.lexical)
 
 
+def sums(each: np.ndarray, texts: list[list[int]]) -> np.ndarray:
+    """Sums of the weights of each text's steps, over the root of their number; zeros for a text without any."""
+    sizes = np.array([len(x) for x in texts])
+    out = np.zeros((len(texts), each.shape[1]))
+    some = np.flatnonzero(sizes)
+    if len(some):
+        begins = (np.cumsum(sizes) - sizes)[some]
+        out[some] = np.add.reduceat(each[np.concatenate([np.array(x, dtype=np.int64) for x in texts])], begins, axis=0) / np.sqrt(sizes[some])[:, None]
+    return out
+
+
 def learned_cascade(ruled: DataFrame, name: str = "clause_chain", threshold: float = 0.75, registry: Registry = MODELS) -> DataFrame:
     """C7 and C8 with a model that the sure rules teach: paragraphs whose rule is sure (label, confidence) are its labelled
     rows, and the others ask it. Registered under `name`. `ruled` is read three times: hand over a written table, so

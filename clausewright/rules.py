@@ -213,3 +213,17 @@ def required_literal(pattern: str) -> str:
     if "|" in re.sub(r"\((?:[^()]|\([^()]*\))*\)", "", pattern):
         return ""
     return max(plain.split("\0"), key=len).lower()
+
+
+def first_word(pattern: str) -> str:
+    """The plain letters, in lower case, with which every match of a rule begins at the start of a word. "" if there are
+    none for sure."""
+    found = re.match(r"\\b([A-Za-z]+)([?*{]?)", pattern)
+    if not found or "|" in re.sub(r"\((?:[^()]|\([^()]*\))*\)", "", pattern):
+        return ""
+    return (found[1][:-1] if found[2] else found[1]).lower()
+
+
+def shortest_starts(words: list[str]) -> dict[str, str]:
+    """Each word to the shortest of all that it begins with, so that no two results begin alike."""
+    return {w: min((x for x in words if w.startswith(x)), key=len) for w in words}
