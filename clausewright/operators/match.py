@@ -16,12 +16,16 @@ from clausewright.operators.segment import split_structural
 
 IDENTICAL, MODIFIED, RELATED = 0.90, 0.75, 0.60
 DIMENSIONS = 256
-#: Vectors of one block; a pair of blocks is one matrix product.
-BLOCK_ROWS = 512
+#: Indices that one block spans: as many vectors at most, far fewer where a contract's indices have gaps.
+BLOCK_ROWS = 8192
 #: Queries of a block whose products with a block of the corpus stand at once.
 QUERY_ROWS = 256
 #: Pairs that leave a worker at once, and words whose buckets it keeps.
 OUT_ROWS, MOST_KNOWN = 50_000, 200_000
+#: Products that are made at once, and pairs that are put in order before they leave, where all are asked for.
+PRODUCTS, MOST_PAIRS = 1 << 20, 1 << 23
+#: Parts into which the blocks of a contract's second version are dealt where all pairs are asked for.
+PARTS = 8
 
 
 def preprocess(clauses: DataFrame) -> DataFrame:
@@ -78,11 +82,11 @@ def embed_with(clauses: DataFrame, encode) -> DataFrame:
 
 
 def in_blocks(clauses: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
-    """(doc_id, block): what stands for the clauses of a contract (`vector`, else `words`) by index, at most `rows` in a
-    block."""
+    """(doc_id, _k, block): what stands for the clauses of a contract (`vector`, else `words`) by index, at most `rows` in
+    a block."""
     held = F.col("vector").cast("array<float>").alias("vector") if "vector" in clauses.columns else F.col("words")
     numbered = clauses.select("doc_id", F.floor(F.col("idx") / rows).alias("_k"), F.struct(F.col("idx").cast("int").alias("idx"), held).alias("v"))
-    return numbered.groupBy("doc_id", "_k").agg(F.array_sort(F.collect_list("v"), lambda a, b: a["idx"] - b["idx"]).alias("block")).drop("_k")
+    return numbered.groupBy("doc_id", "_k").agg(F.array_sort(F.collect_list("v"), lambda a, b: a["idx"] - b["idx"]).alias("block"))
 
 
 def block_of(column: pa.ListArray, row: int, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -105,28 +109,48 @@ def nearest(products: np.ndarray, k: int | None) -> tuple[np.ndarray, np.ndarray
 
 def block_similarities(a: DataFrame, b: DataFrame, k: int | None = None) -> DataFrame:
     """(doc_id, idx_a, idx_b, similarity) of the clauses of one contract: all pairs, or for each clause of a the k most
-    similar of every block of b. Blocks meet in an equi-join on the contract, one matrix product per pair of blocks, so
-    neither pairs nor vectors become rows."""
+    similar of every block of b. Blocks meet in an equi-join on the contract, matrix products of so many rows at a time,
+    so neither pairs nor vectors become rows. All pairs of a large contract are the work of several tasks, and leave a
+    worker by similarity: equal values lie together, which halves what files of them take."""
 
-    names = ["doc_id", "idx_a", "idx_b", "similarity"]
+    names, ordered = ["doc_id", "idx_a", "idx_b", "similarity"], k is None
+    most = MOST_PAIRS if ordered else OUT_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
+        # Rows of the batch and what was found there; pages that are not filled take no memory.
+        kept = [np.empty(most + PRODUCTS, dtype=t) for t in (np.int32, np.int32, np.int32, np.float64)]
+
+        def leave(contracts: pa.Array, size: int) -> Iterator[pa.RecordBatch]:
+            order = np.argsort(kept[3][:size]) if ordered else np.arange(size)
+            for i in range(0, size, OUT_ROWS):
+                rows, *found = (c[order[i : i + OUT_ROWS]] for c in kept)
+                yield pa.RecordBatch.from_arrays([contracts.take(pa.array(rows)), *map(pa.array, found)], names)
+
         for batch in batches:
-            held, size = [], 0
+            size = 0
             for row in range(batch.num_rows):
                 (idx_a, left), (idx_b, right) = (block_of(batch.column(i), row, known) for i in (1, 2))
-                products = np.round(left @ right.T, 6)
-                at, to = nearest(products, k)
-                held.append((np.full(len(at), row), idx_a[at], idx_b[to], products[at, to]))
-                size += len(at)
-                # Small contracts leave together: a batch for each would cost more than its products.
-                if size >= OUT_ROWS or row + 1 == batch.num_rows:
-                    rows, *found = (np.concatenate(c) for c in zip(*held))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *map(pa.array, found)], names)
-                    held, size = [], 0
-
-    pairs = in_blocks(a).withColumnRenamed("block", "_a").join(in_blocks(b).withColumnRenamed("block", "_b"), "doc_id").select("doc_id", "_a", "_b")
+                step = max(PRODUCTS // max(len(idx_b), 1), 1)
+                for i in range(0, len(idx_a), step):
+                    products = np.round(left[i : i + step] @ right.T, 6)
+                    at, to = nearest(products, k)
+                    for c, values in zip(kept, (row, idx_a[i : i + step][at], idx_b[to], products[at, to])):
+                        c[size : size + len(at)] = values
+                    size += len(at)
+                    # Small contracts leave together: a batch for each would cost more than its products.
+                    if size >= most:
+                        yield from leave(batch.column(0), size)
+                        size = 0
+            yield from leave(batch.column(0), size)
+
+    own, other, keys = in_blocks(a).withColumnRenamed("block", "_a"), in_blocks(b).withColumnRenamed("block", "_b"), ["doc_id"]
+    if k is None:
+        # Contracts may be few, and their pairs many: every block of a goes to each part of b's blocks. Tasks are made by
+        # what they read, and small blocks have much work: a broadcast would leave the pairs to a few of them.
+        own, keys = own.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), ["doc_id", "_part"]
+        other = other.withColumn("_part", F.pmod("_k", F.lit(PARTS)).cast("int")).hint("merge")
+    pairs = own.drop("_k").join(other.drop("_k"), keys).select("doc_id", "_a", "_b")
     return pairs.mapInArrow(run, f"doc_id {a.schema['doc_id'].dataType.simpleString()}, idx_a int, idx_b int, similarity double")
 
 
